@@ -20,6 +20,8 @@ def get_spark(app: str = "crowdgap", master: str | None = None, **conf) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # wide feature rows: methods above this size are never compiled by the JVM
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     for key, value in settings.items():
