@@ -7,6 +7,7 @@ from crowdgap.plans import queries_ranks  # noqa: F401
 from crowdgap.plans import queries_vectors  # noqa: F401
 from crowdgap.plans import queries_boards  # noqa: F401
 from crowdgap.plans import queries_models  # noqa: F401
+from crowdgap.plans import queries_io  # noqa: F401
 from crowdgap.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,7 @@ from crowdgap.functions import measures as m
 from crowdgap.operators.joins import attach_ratings
 from crowdgap.operators.ordering import dedupe
 from crowdgap.operators.rows import flag_disagreement, flag_hard_core
+from crowdgap.streaming.jobs import read_files
 
 LEVELS = ["p1", "p2", "p3", "p4"]
 
@@ -88,6 +89,15 @@ def attempts(spark, sf) -> DataFrame:
     return _frame(spark, sf, "events", _ATTEMPTS)
 
 
+def select_stream(spark, sf, table: str) -> DataFrame:
+    """The bound table as a stream of its file."""
+    schema = read(spark, sf, table).schema
+    columns = {"orders": _GAMES, "lineitem": _EVALS, "events": _ATTEMPTS}[table]
+    # a pattern, so that the table may be one file or a folder
+    source = read_files(spark, f"{sf}/{table}.parquet*", schema)
+    return source.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 def arrival() -> list:
     """Total order of the rows of one key: arrival first, then every payload column."""
     return ["batch", "game_id", "ply", "best_cp", F.col("second_cp").asc_nulls_first(),

@@ -76,8 +76,9 @@ def read_tagged(spark: SparkSession, path: str, fields: int = 8) -> DataFrame:
     lines = spark.read.text(path).where(F.size(parts) >= fields)
     if header is not None:
         lines = lines.where(F.col("value") != F.lit(header.value))
-    return lines.select(parts[0].alias("id"), parts[1].alias("fen"), parts[2].alias("moves"),
-                        F.filter(F.split(parts[fields - 1], r"\s+"), lambda t: t != "")
+    at = [F.get(parts, F.lit(i)) for i in (0, 1, 2, fields - 1)]
+    return lines.select(at[0].alias("id"), at[1].alias("fen"), at[2].alias("moves"),
+                        F.filter(F.split(at[3], r"\s+"), lambda t: t != "")
                         .alias("tags"), F.monotonically_increasing_id().alias("arrival"))
 
 
