@@ -23,9 +23,10 @@ def auc(df: DataFrame, y, p, by: Sequence[str] = (), ties: float = 0.5) -> DataF
     with one class has no AUC.
     """
     by = list(by)
-    per = _scored(df, y, p, by).groupBy(*by, "p").agg(
+    scored = _scored(df, y, p, by)
+    per = scored.groupBy(*by, "p").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    placed = with_prior(per, ["p"], {"neg": "neg"}, by)
+    placed = with_prior(per, ["p"], {"neg": "neg"}, by, cuts=scored)
     wins = F.sum(F.col("pos") * (F.col("prior_neg") + ties * F.col("neg")))
     pairs = F.sum("pos") * F.sum("neg")
     return placed.groupBy(*by).agg(

@@ -45,14 +45,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(1024, parallelism(df.sparkSession)))
 
 
-def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET) -> DataFrame:
+def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET,
+                     cuts: DataFrame | None = None) -> DataFrame:
     """Bucket a numeric order column on approximate quantiles (one aggregate pass).
 
-    The cut points only balance the work; the result is exact for any cut points.
+    The cut points only balance the work; the result is exact for any cut points. ``cuts`` is a
+    cheaper frame with the same column to take them from.
     """
     probs = [i / buckets for i in range(1, buckets)]
     number = _col(value).cast("double")
-    row = df.agg(F.percentile_approx(number, probs, 10 * buckets).alias("q")).first()
+    row = (df if cuts is None else cuts).agg(F.percentile_approx(number, probs, 10 * buckets).alias("q")).first()
     points = sorted({float(v) for v in (row.q or []) if v == v and abs(v) != float("inf")})
     splits = [float("-inf"), *(points or [0.0]), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="__ord", outputCol="__slot",
@@ -62,7 +64,8 @@ def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET) ->
 
 
 def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
-               by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+               by: Sequence[str] = (), bucket: Column | None = None,
+               cuts: DataFrame | None = None) -> DataFrame:
     """Add ``prior_<name>`` (sum over earlier rows) and ``total_<name>`` per group.
 
     ``order`` must be a total order inside a group. Without ``bucket`` its first column has to
@@ -70,7 +73,7 @@ def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
     """
     by = list(by)
     if bucket is None:
-        work = add_range_bucket(df, order[0], bucket_count(df))
+        work = add_range_bucket(df, order[0], bucket_count(df), cuts=cuts)
     else:
         work = df.withColumn(_BUCKET, bucket)
     sums = work.groupBy(*by, _BUCKET).agg(
@@ -133,9 +136,9 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float],
                     by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles ``q0..qN`` per group, from distinct-value counts."""
     by = list(by)
-    counts = (df.select(*by, _col(value).cast("double").alias("v")).where("v is not null")
-              .groupBy(*by, "v").agg(F.count("*").alias("n")))
-    placed = with_prior(counts, ["v"], {"n": "n"}, by)
+    values = df.select(*by, _col(value).cast("double").alias("v")).where("v is not null")
+    counts = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
+    placed = with_prior(counts, ["v"], {"n": "n"}, by, cuts=values)
     aggs = []
     for i, q in enumerate(probs):
         pos = F.lit(float(q)) * (F.col("total_n") - 1)

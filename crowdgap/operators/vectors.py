@@ -297,6 +297,56 @@ def contrast_direction(steps: DataFrame, side: str = "side", vec: str = "vec",
     return [float(x) / length for x in v], float(slack)
 
 
+def _sparse_direction(pos: np.ndarray, neg: np.ndarray, l1: float, steps: int) -> np.ndarray:
+    """The same objective for a few rows held by one task: accelerated proximal steps."""
+    x = np.vstack([pos, neg])
+    x = np.hstack([x, np.ones((len(x), 1))])
+    y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
+    rate = 4.0 * len(x) / max(np.linalg.norm(x, 2) ** 2, 1e-12)
+    w = ahead = np.zeros(x.shape[1])
+    t = 1.0
+    for _ in range(steps):
+        grad = -(x.T @ (y / (1 + np.exp(np.clip(y * (x @ ahead), -50, 50))))) / len(x)
+        raw = ahead - rate * grad
+        fresh = np.sign(raw) * np.maximum(np.abs(raw) - rate * l1, 0.0)
+        fresh[-1] = raw[-1]   # the threshold is free
+        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = fresh + (t - 1) / t_next * (fresh - w)
+        w, t = fresh, t_next
+    return w[:-1]
+
+
+def contrast_directions(steps: DataFrame, by: str, side: str = "side", vec: str = "vec",
+                        l1: float = 0.05, task_rows: int = 5000,
+                        max_iter: int = 300) -> DataFrame:
+    """One unit direction per group of steps.
+
+    Groups of at most ``task_rows`` steps are solved where they are; a larger group gets its own
+    distributed fit, so no task ever holds more than the bound.
+    """
+    sizes = steps.groupBy(by).agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= task_rows).select(by)
+    kind = steps.schema[by].dataType.simpleString()
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = (pdf["side"] == "pos").to_numpy()
+        x = stack(pdf["vec"])
+        v = _sparse_direction(x[hit], x[~hit], l1, max_iter) if hit.any() and not hit.all() \
+            else np.zeros(x.shape[1])
+        length = np.linalg.norm(v)
+        return pd.DataFrame({by: pdf[by].iloc[:1], "v": [v / length if length else v]})
+
+    ready = steps.select(by, col(side).alias("side"), as_double(vec).alias("vec"))
+    out = (ready.join(small, by, "left_semi").groupBy(by)
+           .applyInPandas(solve, f"{by} {kind}, v array<double>"))
+    for row in sizes.where(F.col("n") > task_rows).toLocalIterator():
+        v, _ = contrast_direction(ready.where(F.col(by).eqNullSafe(F.lit(row[by]))), "side",
+                                  "vec", l1)
+        one = steps.sparkSession.createDataFrame([(row[by], v)], f"{by} {kind}, v array<double>")
+        out = out.unionByName(one)
+    return out
+
+
 def concept_score(df: DataFrame, v: Sequence[float], vector: str = "embedding",
                   name: str = "score") -> DataFrame:
     return df.withColumn(name, products(np.asarray([v]))(as_double(vector))[0])

@@ -294,6 +294,16 @@ def contrast_direction(spark, sf):
         "nonzeros": F.lit(int(np.count_nonzero(np.abs(v) > 1e-9))), "slack": F.lit(slack)})
 
 
+@query("contrast_directions")
+def contrast_directions(spark, sf):
+    steps = _unit(spark, sf).select(
+        F.col("label").alias("pack_id"), F.col("u").alias("vec"),
+        F.when(F.col("vec_id") % 2 == 0, "pos").otherwise("neg").alias("side"))
+    vecs = vo.contrast_directions(steps, "pack_id", l1=0.01).select(
+        F.col("pack_id").alias("vid"), "v", F.array("pack_id").alias("own"))
+    return vo.generalisation(vo.separation(steps, vecs, "vid", "own"), "vid")
+
+
 @query("novelty")
 def novelty(spark, sf):
     unit = _unit(spark, sf)
