@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
 from crowdgap.functions.measures import col
-from crowdgap.functions.vectors import as_double, blocks, l2norm, stack
+from crowdgap.functions.vectors import as_double, blocks, l2norm, stack, sum_partials
 from crowdgap.operators.metrics import ari
 from crowdgap.operators.ordering import (
     bucket_count, md5_bucket, md5_int, shuffle_key, with_rank, with_shuffled_rank)
@@ -391,22 +391,6 @@ def density_report(df: DataFrame, key: str, flat: str, eps: float, min_pts: Sequ
 
 # ---------------------------------------------------------------- mixtures
 
-def _sum_partials(df: DataFrame, vector: str, step, width: int) -> np.ndarray:
-    """Run ``step(matrix) -> flat stats`` over all rows; partial sums per partition only."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(width)
-        for part in it:
-            if len(part):
-                total += step(stack(part.iloc[:, 0]))
-        yield pd.DataFrame({"i": np.arange(width), "x": total})
-
-    parts = df.select(as_double(vector).alias("v")).mapInPandas(run, "i long, x double")
-    out = np.zeros(width)
-    for r in parts.groupBy("i").agg(F.sum("x").alias("x")).collect():   # model-sized
-        out[r.i] = r.x
-    return out
-
-
 def gmm_fit(df: DataFrame, k: int, vector: str = "embedding", max_iter: int = 50,
             tol: float = 1e-3, seed: int = 0, reg: float = 1e-6) -> dict:
     """Diagonal Gaussian mixture by EM; every iteration is one pass of grouped sums."""
@@ -417,7 +401,7 @@ def gmm_fit(df: DataFrame, k: int, vector: str = "embedding", max_iter: int = 50
     def moments(x):
         return np.concatenate([[len(x)], x.sum(0), (x ** 2).sum(0)])
 
-    base = _sum_partials(df, vector, moments, 1 + 2 * d)
+    base = sum_partials(df, vector, moments, 1 + 2 * d)
     n, mean = base[0], base[1:1 + d] / base[0]
     spread = base[1 + d:] / n - mean ** 2 + reg
     mu = np.asarray(start.clusterCenters()) if start else mean[None, :]
@@ -434,7 +418,7 @@ def gmm_fit(df: DataFrame, k: int, vector: str = "embedding", max_iter: int = 50
             return np.concatenate([[total.sum()], r.sum(0), (r.T @ x).ravel(),
                                    (r.T @ (x ** 2)).ravel()])
 
-        stats = _sum_partials(df, vector, em, 1 + k + 2 * k * d)
+        stats = sum_partials(df, vector, em, 1 + k + 2 * k * d)
         loglik = float(stats[0])
         nk = stats[1:1 + k] + 1e-10
         mu = stats[1 + k:1 + k + k * d].reshape(k, d) / nk[:, None]
@@ -488,7 +472,7 @@ def dictionary_fit(df: DataFrame, key: str, n_atoms: int = 32, alpha: float = 0.
                 c = sparse_codes(x, atoms, alpha)
                 return np.concatenate([(c.T @ c).ravel(), (c.T @ x).ravel()])
 
-            flat = _sum_partials(unit, vector, stats, n * n + n * d)
+            flat = sum_partials(unit, vector, stats, n * n + n * d)
             a, b = flat[:n * n].reshape(n, n), flat[n * n:].reshape(n, d)
             for j in range(n):
                 if a[j, j] > 1e-10:

@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
@@ -122,10 +122,10 @@ def fit_score(train: DataFrame, test: DataFrame, make: Factory, keep: Sequence[s
     return scored.select(*keep, vector_to_array("probability")[1].alias(SCORE))
 
 
-def in_parallel(fn, items: Sequence, workers: int = 4) -> list:
+def in_parallel(spark: SparkSession, fn, items: Sequence, workers: int = 4) -> list:
     """Independent Spark fits submitted together; each thread keeps the session's settings."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        return list(pool.map(inheritable_thread_target(fn), items))
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
 
 
 def cross_validate(ready: DataFrame, k: int, make: Factory, keep: Sequence[str]) -> DataFrame:
@@ -134,7 +134,7 @@ def cross_validate(ready: DataFrame, k: int, make: Factory, keep: Sequence[str])
         return fit_score(ready.where(F.col("fold") != i), ready.where(F.col("fold") == i), make,
                          [*keep, "fold", LABEL])
 
-    return reduce(DataFrame.unionByName, in_parallel(one, range(k)))
+    return reduce(DataFrame.unionByName, in_parallel(ready.sparkSession, one, range(k)))
 
 
 def grouped_cv(df: DataFrame, blocks: Sequence[Block], y, group: str, make: Factory = logit,
@@ -236,7 +236,7 @@ def learning_curve(df: DataFrame, blocks: Sequence[Block], y, group: str,
             return (size, run, part.count(), float(metrics.auc(scored, LABEL, SCORE).first().auc))
 
         jobs = [(s, r) for s in sizes for r in range(1 if s is None else seeds)]
-        rows = in_parallel(one, jobs)
+        rows = in_parallel(df.sparkSession, one, jobs)
     finally:
         marked.unpersist()
     runs = df.sparkSession.createDataFrame(
@@ -262,7 +262,7 @@ def batch_value(df: DataFrame, blocks: Sequence[Block], y, group: str, batch: st
             return metrics.band_metrics(fit_score(part, test, make, ["band", LABEL]), "band",
                                         LABEL, SCORE).collect()   # one row per band
 
-        old, full = in_parallel(one, [older, train])
+        old, full = in_parallel(df.sparkSession, one, [older, train])
     finally:
         marked.unpersist()
     before = {r.band: r for r in old}

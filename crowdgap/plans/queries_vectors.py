@@ -289,7 +289,7 @@ def leader_clusters(spark, sf):
 def contrast_direction(spark, sf):
     steps = _unit(spark, sf).select(
         F.col("u").alias("vec"), F.when(F.col("label") < 5, "pos").otherwise("neg").alias("side"))
-    v, slack = vo.contrast_direction(steps, l1=0.002)
+    v, slack = vo.contrast_direction(steps, l1=0.002, max_iter=10)
     return steps.agg(F.count("*").alias("n")).withColumns({
         "nonzeros": F.lit(int(np.count_nonzero(np.abs(v) > 1e-9))), "slack": F.lit(slack)})
 
