@@ -13,6 +13,7 @@ from crowdgap.functions.measures import col
 
 # Largest matrix shipped to the tasks in one piece (doubles; 32 MB).
 MAX_BLOCK_NUMBERS = 4_000_000
+SMALL_TABLE = 2000
 
 
 def as_double(v) -> Column:
@@ -70,8 +71,14 @@ def blocks(df: DataFrame, label: str, vector: str,
 
     The driver holds one piece at a time; a table below the limit is a single piece.
     """
+    src = df.select(label, as_double(vector).alias(vector))
+    head = src.limit(SMALL_TABLE + 1).collect()   # the usual case: one job, one piece
+    if len(head) <= SMALL_TABLE and sum(len(r[1]) for r in head) <= limit:
+        if head:
+            yield [r[0] for r in head], np.asarray([r[1] for r in head], dtype=np.float64)
+        return
     labels, rows, width = [], [], None
-    for r in df.select(label, as_double(vector).alias(vector)).toLocalIterator():
+    for r in src.toLocalIterator():
         width = width or max(1, len(r[1]))
         labels.append(r[0])
         rows.append(r[1])

@@ -140,8 +140,9 @@ def cross_validate(ready: DataFrame, k: int, make: Factory, keep: Sequence[str])
 def grouped_cv(df: DataFrame, blocks: Sequence[Block], y, group: str, make: Factory = logit,
                k: int = 5, keep: Sequence[str] = (), seed=0) -> DataFrame:
     """Out-of-fold predictions; all rows of a group share a fold."""
-    folds = group_folds(df, group, k, seed).select(group, "fold")
-    ready, _ = design(df.join(folds, group), blocks, y)
+    src = _once(df, blocks, y, [group, *keep])
+    folds = group_folds(src, group, k, seed).select(group, "fold")
+    ready, _ = design(src.join(folds, group), blocks, "__y")
     return cross_validate(materialise(ready.select(*keep, "fold", LABEL, FEATURES), "design"), k, make,
                           keep)
 
@@ -149,12 +150,24 @@ def grouped_cv(df: DataFrame, blocks: Sequence[Block], y, group: str, make: Fact
 def stratified_cv(df: DataFrame, blocks: Sequence[Block], y, key: str, make: Factory = logit,
                   k: int = 5, keep: Sequence[str] = (), seed=0) -> DataFrame:
     """Out-of-fold predictions on class-balanced folds (no group rule)."""
-    folds = strat_folds(df.select(key, col(y).cast("int").alias("__y")), "__y", key, k, seed)
-    ready, _ = design(df.join(folds.select(key, "fold"), key), blocks, y)
+    src = _once(df, blocks, y, [key, *keep])
+    folds = strat_folds(src.select(key, "__y"), "__y", key, k, seed)
+    ready, _ = design(src.join(folds.select(key, "fold"), key), blocks, "__y")
     return cross_validate(materialise(ready.select(*keep, "fold", LABEL, FEATURES), "design"), k, make,
                           keep)
 
 
+def _inputs(blocks: Sequence[Block]) -> list[str]:
+    return sorted({c for b in blocks for c in [*b.numeric, *b.categorical,
+                                               *([b.vector] if b.vector else [])]})
+
+
+def _once(df: DataFrame, blocks: Sequence[Block], y, extra: Sequence[str]) -> DataFrame:
+    """Only the columns a validation needs, computed once: encoders, folds and fits re-read it."""
+    cols = dict.fromkeys([*_inputs(blocks), *extra])
+    return materialise(df.select(*cols, col(y).cast("double").alias("__y")), "inputs")
+
+
 def cv_summary(oof: DataFrame) -> DataFrame:
     """Mean and sd of the per-fold AUC."""
     return metrics.fold_summary(metrics.auc(oof, LABEL, SCORE, ["fold"]), "auc")
@@ -199,11 +212,11 @@ def score_at(train: DataFrame, items: DataFrame, blocks: Sequence[Block], y, key
              order: Sequence, rating: float, rating_col: str = "mover_rating",
              make: Factory = gbm) -> DataFrame:
     """Predicted probability per item at one fixed rating; unknown items stay, unscored."""
-    ready, encoders = design(train, blocks, y)
+    extra = [c for c in [key, *order] if isinstance(c, str)]
+    train = _once(train, blocks, y, extra)
+    ready, encoders = design(train, blocks, "__y")
     model = make(ready).fit(ready)
-    inputs = sorted({c for b in blocks for c in [*b.numeric, *b.categorical,
-                                                 *([b.vector] if b.vector else [])]})
-    known = score_lookup(items, train, key, inputs, order)
+    known = score_lookup(items, train, key, _inputs(blocks), order)
     fixed = counterfactual(known, rating_col, rating)
     scored = model.transform(tidy(encoders.transform(prepare(fixed, blocks))))
     p = F.when(F.col("hit"), vector_to_array("probability")[1])
@@ -220,7 +233,8 @@ def learning_curve(df: DataFrame, blocks: Sequence[Block], y, group: str,
                    sizes: Sequence[int | None], seeds: int = 3, test_share: float = 0.2,
                    make: Factory = gbm, seed=0) -> DataFrame:
     """Test AUC against training size; subsets are whole groups, ``None`` is everything."""
-    ready = design(df, blocks, y)[0].select(group, LABEL, FEATURES)
+    df = _once(df, blocks, y, [group])
+    ready = design(df, blocks, "__y")[0].select(group, LABEL, FEATURES)
     split = group_holdout(df, group, test_share, seed)
     marked = ready.join(split, group).persist()
     try:
@@ -251,7 +265,8 @@ def batch_value(df: DataFrame, blocks: Sequence[Block], y, group: str, batch: st
                 rating: str = "mover_rating", edges=m.VALUE_EDGES, labels=m.VALUE_LABELS,
                 test_share: float = 0.25, make: Factory = gbm, seed=0) -> DataFrame:
     """Per rating band: scores of a model without the newest batch and of one with it."""
-    ready = design(df, blocks, y)[0].select(group, batch, rating, LABEL, FEATURES)
+    df = _once(df, blocks, y, [group, batch, rating])
+    ready = design(df, blocks, "__y")[0].select(group, batch, rating, LABEL, FEATURES)
     marked = ready.join(group_holdout(df, group, test_share, seed), group)
     marked = marked.withColumn("band", m.band(rating, edges, labels)).persist()
     try:
@@ -275,8 +290,8 @@ def batch_value(df: DataFrame, blocks: Sequence[Block], y, group: str, batch: st
 
 def odds_ratios(df: DataFrame, features: Sequence[str], y) -> DataFrame:
     """exp of the standardised coefficients, strongest first."""
-    ready, _ = design(df, [Block("f", {c: 0.0 for c in features})], y)
-    ready = ready.persist()
+    block = [Block("f", {c: 0.0 for c in features})]
+    ready = design(_once(df, block, y, []), block, "__y")[0].persist()
     try:
         model = logit(ready).fit(ready)
         sd = ready.select(Summarizer.std(F.col(FEATURES)).alias("s")).first().s.toArray()
@@ -293,7 +308,8 @@ def odds_ratios(df: DataFrame, features: Sequence[str], y) -> DataFrame:
 def tree_rules(df: DataFrame, features: Sequence[str], y, depth: int = 3,
                min_rows: int = 150) -> tuple[str, DataFrame]:
     """Rules of a shallow tree as text, and the class weights of its leaves."""
-    ready, _ = design(df, [Block("f", {c: 0.0 for c in features})], y)
+    block = [Block("f", {c: 0.0 for c in features})]
+    ready, _ = design(_once(df, block, y, []), block, "__y")
     model = DecisionTreeClassifier(
         featuresCol=FEATURES, labelCol=LABEL, maxDepth=depth, minInstancesPerNode=min_rows,
         leafCol="leaf").fit(ready)

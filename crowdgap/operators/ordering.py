@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crowdgap.session import parallelism
+from crowdgap.session import materialise, parallelism
 
 _BUCKET = "__bucket"
 # Rank filters up to this size are pruned map-side by Spark itself (window group limit).
@@ -45,16 +45,14 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(1024, parallelism(df.sparkSession)))
 
 
-def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET,
-                     cuts: DataFrame | None = None) -> DataFrame:
+def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET) -> DataFrame:
     """Bucket a numeric order column on approximate quantiles (one aggregate pass).
 
-    The cut points only balance the work; the result is exact for any cut points. ``cuts`` is a
-    cheaper frame with the same column to take them from.
+    The cut points only balance the work; the result is exact for any cut points.
     """
     probs = [i / buckets for i in range(1, buckets)]
     number = _col(value).cast("double")
-    row = (df if cuts is None else cuts).agg(F.percentile_approx(number, probs, 10 * buckets).alias("q")).first()
+    row = df.agg(F.percentile_approx(number, probs, 10 * buckets).alias("q")).first()
     points = sorted({float(v) for v in (row.q or []) if v == v and abs(v) != float("inf")})
     splits = [float("-inf"), *(points or [0.0]), float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="__ord", outputCol="__slot",
@@ -64,16 +62,17 @@ def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET,
 
 
 def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
-               by: Sequence[str] = (), bucket: Column | None = None,
-               cuts: DataFrame | None = None) -> DataFrame:
+               by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
     """Add ``prior_<name>`` (sum over earlier rows) and ``total_<name>`` per group.
 
     ``order`` must be a total order inside a group. Without ``bucket`` its first column has to
-    be numeric and ascending. Rows whose group is NULL are dropped.
+    be numeric and ascending; cut points, totals and rows then need three passes, so the input
+    is written once to the shared folder instead of being computed three times. Rows whose
+    group is NULL are dropped.
     """
     by = list(by)
     if bucket is None:
-        work = add_range_bucket(df, order[0], bucket_count(df), cuts=cuts)
+        work = add_range_bucket(materialise(df, "ordered"), order[0], bucket_count(df))
     else:
         work = df.withColumn(_BUCKET, bucket)
     sums = work.groupBy(*by, _BUCKET).agg(
@@ -138,7 +137,7 @@ def exact_quantiles(df: DataFrame, value, probs: Sequence[float],
     by = list(by)
     values = df.select(*by, _col(value).cast("double").alias("v")).where("v is not null")
     counts = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
-    placed = with_prior(counts, ["v"], {"n": "n"}, by, cuts=values)
+    placed = with_prior(counts, ["v"], {"n": "n"}, by)
     aggs = []
     for i, q in enumerate(probs):
         pos = F.lit(float(q)) * (F.col("total_n") - 1)

@@ -10,7 +10,7 @@ from crowdgap.functions import boards as bd
 from crowdgap.operators import boards as bo
 from crowdgap.plans.bindings import read
 from crowdgap.plans.registry import query
-from crowdgap.session import materialise
+from crowdgap.session import materialise, parallelism
 
 # letters given to the 16 hex digits, by key: crowded, open, heavy, pawns only
 _ALPHABETS = ["PpNnBbRrQq......", "PNbrQq..........", "pBnRq...........", "Pp.............."]
@@ -25,7 +25,10 @@ def positions(spark, sf):
     for i in (1, 2, 3):
         raw = F.when(key % 4 == i, F.translate(digest, "0123456789abcdef", _ALPHABETS[i])) \
             .otherwise(raw)
-    src = read(spark, sf, "orders").select(
+    # the work per row is far larger than the row, so a few small columns are spread first
+    keys = read(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(
+        parallelism(spark), "o_orderkey")
+    src = keys.select(
         key.alias("id"), F.col("o_custkey").alias("c"), raw.alias("raw"),
         (key % 64).cast("int").alias("wk"),
         ((key + 9 + F.col("o_custkey") % 46) % 64).cast("int").alias("bk"))
