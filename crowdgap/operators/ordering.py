@@ -9,11 +9,14 @@ own bucket.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from crowdgap.session import materialise, parallelism
 
@@ -45,20 +48,43 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(1024, parallelism(df.sparkSession)))
 
 
-def add_range_bucket(df: DataFrame, value, buckets: int, name: str = _BUCKET) -> DataFrame:
-    """Bucket a numeric order column on approximate quantiles (one aggregate pass).
-
-    The cut points only balance the work; the result is exact for any cut points.
-    """
+def _cut_points(df: DataFrame, number: Column, buckets: int) -> tuple[list[float], list[float]]:
+    """Approximate quantiles and, among them, the values so frequent that they repeat."""
     probs = [i / buckets for i in range(1, buckets)]
-    number = _col(value).cast("double")
     row = df.agg(F.percentile_approx(number, probs, 10 * buckets).alias("q")).first()
-    points = sorted({float(v) for v in (row.q or []) if v == v and abs(v) != float("inf")})
-    splits = [float("-inf"), *(points or [0.0]), float("inf")]
-    sliced = Bucketizer(splits=splits, inputCol="__ord", outputCol="__slot",
-                        handleInvalid="keep").transform(df.withColumn("__ord", number))
-    slot = F.coalesce(F.col("__slot").cast("int"), F.lit(-1))
-    return sliced.withColumn(name, slot).drop("__ord", "__slot")
+    found = Counter(float(v) for v in (row.q or []) if math.isfinite(v))
+    return sorted(found) or [0.0], sorted(v for v, n in found.items() if n > 1)
+
+
+def _slot(df: DataFrame, number: Column, points: Sequence[float], name: str) -> DataFrame:
+    splits = [float("-inf"), *points, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="__ord", outputCol="__slot", handleInvalid="keep")
+    return (cut.transform(df.withColumn("__ord", number))
+            .withColumn(name, F.coalesce(F.col("__slot").cast("int"), F.lit(-1)))
+            .drop("__ord", "__slot"))
+
+
+def add_range_bucket(df: DataFrame, order: Sequence, buckets: int,
+                     name: str = _BUCKET) -> DataFrame:
+    """Bucket a numeric order column on approximate quantiles.
+
+    The cut points only balance the work; the result is exact for any cut points. A frequent
+    value (or NULL) gets a bucket of its own, which is split further by the second order
+    column where that is a plain numeric one.
+    """
+    number = _col(order[0]).cast("double")
+    points, heavy = _cut_points(df, number, buckets)
+    points = sorted({*points, *(math.nextafter(v, math.inf) for v in heavy)})
+    out = _slot(df, number, points, name)
+    second = order[1] if len(order) > 1 and isinstance(order[1], str) else None
+    if second is None or not isinstance(df.schema[second].dataType, NumericType):
+        return out
+    again = F.col(second).cast("double")
+    out = _slot(out, again, _cut_points(df, again, buckets)[0], "__sub")
+    # slot i starts at the i-th split, and the first split is minus infinity
+    lone = [-1, *(points.index(v) + 1 for v in heavy)]
+    sub = F.when(F.col(name).isin(lone), F.col("__sub")).otherwise(F.lit(-2))
+    return out.withColumn(name, F.struct(F.col(name).alias("a"), sub.alias("b"))).drop("__sub")
 
 
 def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
@@ -72,7 +98,7 @@ def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
     """
     by = list(by)
     if bucket is None:
-        work = add_range_bucket(materialise(df, "ordered"), order[0], bucket_count(df))
+        work = add_range_bucket(materialise(df, "ordered"), order, bucket_count(df))
     else:
         work = df.withColumn(_BUCKET, bucket)
     sums = work.groupBy(*by, _BUCKET).agg(

@@ -28,6 +28,20 @@ def test_rank_matches_sort(table):
     assert (got["n_rank"].sort_index() == pdf.groupby("g").k.transform("size")).all()
 
 
+def test_a_frequent_value_is_split(spark):
+    rng = np.random.default_rng(9)
+    v = np.where(rng.random(6000) < 0.4, 5.0, rng.normal(5, 3, 6000))
+    pdf = pd.DataFrame({"k": rng.permutation(6000), "v": v})
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(F.col("k") % 10 > 0, F.col("v")))
+    sizes = od.add_range_bucket(df, ["v", "k"], 16).groupBy("__bucket").count().toPandas()
+    assert sizes["count"].sum() == 6000 and sizes["count"].max() < 1000
+    got = od.with_rank(df, ["v", "k"]).toPandas().sort_values("k")
+    pdf["v"] = pdf.v.where(pdf.k % 10 > 0)
+    want = pdf.sort_values(["v", "k"], na_position="first").reset_index(drop=True)
+    want["rank"] = want.index + 1
+    assert (got["rank"].to_numpy() == want.sort_values("k")["rank"].to_numpy()).all()
+
+
 def test_prior_totals_global(table):
     pdf, df = table
     got = od.with_prior(df, ["k"], {"v": "v"}).toPandas().sort_values("k")
