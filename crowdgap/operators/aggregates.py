@@ -143,9 +143,11 @@ def totals(attempts: DataFrame, players: DataFrame) -> DataFrame:
     a = attempts.agg(F.count("*").alias("attempts"),
                      F.coalesce(F.sum(col("correct").cast("bigint")), F.lit(0)).alias("correct"))
     p = players.agg(F.count("*").alias("players"))
-    # both sides are global aggregates: one row each
-    return a.join(p, F.lit(True)).withColumn(
-        "pct", rounded(100 * F.col("correct") / F.nullif(F.col("attempts"), F.lit(0)), 1))
+    # both sides are global aggregates: one row each, folded into one
+    one = a.unionByName(p, True).agg(*[F.max(c).alias(c) for c in ("attempts", "correct",
+                                                                    "players")])
+    return one.withColumn("pct", rounded(
+        100 * F.col("correct") / F.nullif(F.col("attempts"), F.lit(0)), 1))
 
 
 def between_var(df: DataFrame, by: str, y: str) -> DataFrame:

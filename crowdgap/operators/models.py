@@ -129,12 +129,19 @@ def in_parallel(spark: SparkSession, fn, items: Sequence, workers: int = 4) -> l
 
 
 def cross_validate(ready: DataFrame, k: int, make: Factory, keep: Sequence[str]) -> DataFrame:
-    """Out-of-fold probabilities for rows that carry ``fold``; one fit per fold."""
+    """Out-of-fold probabilities for rows that carry ``fold``; one fit per fold.
+
+    The narrow result is written once, so reports do not score the rows again.
+    """
+    width = n_features(ready)
+
     def one(i):
         return fit_score(ready.where(F.col("fold") != i), ready.where(F.col("fold") == i), make,
                          [*keep, "fold", LABEL])
 
-    return reduce(DataFrame.unionByName, in_parallel(ready.sparkSession, one, range(k)))
+    parts = in_parallel(ready.sparkSession, one, range(k))
+    oof = reduce(DataFrame.unionByName, parts).withColumn("width", F.lit(width))
+    return materialise(oof, "oof")
 
 
 def grouped_cv(df: DataFrame, blocks: Sequence[Block], y, group: str, make: Factory = logit,
@@ -180,10 +187,9 @@ def ladder(df: DataFrame, specs: Mapping[str, Sequence[Block]], y, group: str,
     rows = []
     try:
         for name, blocks in specs.items():
-            row = cv_summary(grouped_cv(src, blocks, y, group, make, k)).first()
-            width = n_features(design(src.limit(1000), blocks)[0]) if not any(
-                b.categorical for b in blocks) else n_features(design(src, blocks)[0])
-            rows.append((name, float(row["mean"]), float(row["sd"]), width))
+            oof = grouped_cv(src, blocks, y, group, make, k)
+            row = cv_summary(oof).first()
+            rows.append((name, float(row["mean"]), float(row["sd"]), oof.first()["width"]))
     finally:
         src.unpersist()
     ref = dict((r[0], r[1]) for r in rows).get(base)

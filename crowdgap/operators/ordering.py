@@ -88,17 +88,19 @@ def add_range_bucket(df: DataFrame, order: Sequence, buckets: int,
 
 
 def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
-               by: Sequence[str] = (), bucket: Column | None = None) -> DataFrame:
+               by: Sequence[str] = (), bucket: Column | None = None,
+               written: bool = False) -> DataFrame:
     """Add ``prior_<name>`` (sum over earlier rows) and ``total_<name>`` per group.
 
     ``order`` must be a total order inside a group. Without ``bucket`` its first column has to
     be numeric and ascending; cut points, totals and rows then need three passes, so the input
-    is written once to the shared folder instead of being computed three times. Rows whose
-    group is NULL are dropped.
+    is written once to the shared folder instead of being computed three times, unless it comes
+    from a ``written`` table anyway. Rows whose group is NULL are dropped.
     """
     by = list(by)
     if bucket is None:
-        work = add_range_bucket(materialise(df, "ordered"), order, bucket_count(df))
+        source = df if written else materialise(df, "ordered")
+        work = add_range_bucket(source, order, bucket_count(df))
     else:
         work = df.withColumn(_BUCKET, bucket)
     sums = work.groupBy(*by, _BUCKET).agg(

@@ -16,6 +16,7 @@ from crowdgap.operators.joins import Quota
 from crowdgap.operators.ordering import (
     GROUP_LIMIT, bucket_count, first_rows, md5_bucket, md5_int, shuffle_key, with_prior,
     with_rank, with_shuffled_rank)
+from crowdgap.session import materialise
 
 
 def quota_groups(groups: DataFrame, band: Column, quotas: Sequence[Quota],
@@ -36,6 +37,7 @@ def quota_rows(groups: DataFrame, quotas: Sequence[Quota], order: str, white: st
     without offering any new row is lost, as it was looked at once. When a band is full, its
     later groups are offered to the next one.
     """
+    groups = materialise(groups, "groups")   # one row per group, read several times per band
     left, out = groups, None
     for q in quotas:
         in_white = col(white).between(q.lo, q.hi)
@@ -44,16 +46,15 @@ def quota_rows(groups: DataFrame, quotas: Sequence[Quota], order: str, white: st
         mine = (left.withColumn("side", side).where(F.col("side").isNotNull())
                 .withColumn("rows", F.when(F.col("side") == "w", col(white_rows))
                             .otherwise(col(black_rows))))
-        seen = with_prior(mine, [order], {"rows": "rows"})
+        seen = with_prior(mine, [order], {"rows": "rows"}, written=True)
         claimed = seen.where(F.col("prior_rows") < q.want)
         picked = (claimed.where(F.col("rows") > 0).withColumn("band", F.lit(q.name))
                   .select(*groups.columns, "band", "side", "rows", "prior_rows"))
         out = picked if out is None else out.unionByName(picked)
         if q is not quotas[-1]:
             # arrival of the last claimed group bounds what the band can still take
-            last = claimed.agg(F.max(order).alias("o")).first().o
-            full = mine.agg(F.sum("rows").alias("n")).first().n or 0
-            if full < q.want:
+            last, offered = claimed.agg(F.max(order), F.max("total_rows")).first()
+            if (offered or 0) < q.want:
                 left = left.where(side.isNull())
             else:
                 left = left.where(side.isNull() | (col(order) > F.lit(last)))

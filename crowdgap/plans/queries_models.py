@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
 from crowdgap.functions import vectors as fv
+from crowdgap.operators import metrics
 from crowdgap.operators import models as mo
 from crowdgap.operators import vectors as vo
 from crowdgap.operators.joins import attach_vectors
@@ -49,15 +50,14 @@ def feature_ladder(spark, sf):
 
 @query("difficulty_calibration")
 def difficulty_calibration(spark, sf):
-    oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _small_gbm, 3,
-                        ["flagged"]).persist()
-    return mo.difficulty_report(oof, "flagged")["calibration"]
+    oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _small_gbm, 3, ["flagged"])
+    return metrics.calibration(oof, mo.LABEL, mo.SCORE)
 
 
 @query("difficulty_by_flag")
 def difficulty_by_flag(spark, sf):
     oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _small_gbm, 3, ["flagged"])
-    return mo.difficulty_report(oof, "flagged")["by_flag"]
+    return metrics.pred_vs_actual(oof, "flagged", mo.LABEL, mo.SCORE)
 
 
 @query("score_at")
