@@ -72,11 +72,10 @@ def read_keys(spark, sf):
 
 
 @query("read_positions", f"""
-WITH {GAMES} SELECT CAST(game_id AS STRING) AS game_id, white_elo, black_elo FROM games
-WHERE white_elo % 2 = 0""")
+WITH {GAMES} SELECT CAST(game_id AS STRING) AS game_id, white_elo, black_elo FROM games""")
 def read_positions(spark, sf):
     path = new_path(spark, "positions")
-    src = games(spark, sf).where("white_elo % 2 = 0").select(
+    src = games(spark, sf).select(
         "game_id", F.lit(14).alias("ply"), F.lit("8/8/8/8/8/8/8/8 w - - 0 1").alias("fen"),
         F.lit("e2e4").alias("played_move"), "white_elo", "black_elo")
     sinks.write_table(src, path, "csv")

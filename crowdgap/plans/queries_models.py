@@ -62,7 +62,7 @@ def difficulty_by_flag(spark, sf):
 
 @query("score_at")
 def score_at(spark, sf):
-    items = evals(spark, sf).where("batch % 2 = 0").select(
+    items = evals(spark, sf).select(
         (F.col("game_id") % 8).alias("concept"), "item_key").distinct()
     scored = mo.score_at(_items(spark, sf), items, ALL, "found", "item_key", ["batch", "game_id"],
                          1900.0, make=_small_gbm)
