@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crowdgap.session import materialise
 
-__all__ = ["materialise", "texts", "mix", "byte_table", "code_points", "text_digest", "in_fold",
+__all__ = ["materialise", "texts", "mix", "byte_table", "powers", "code_points", "text_digest", "in_fold",
            "starts_of", "hash_share"]
 
 
@@ -41,8 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def byte_table(seed: int) -> np.ndarray:
     """A random 64-bit number for each byte value, the same on every machine."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1)
-               + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+    shift = seed * 0xD1B54A32D192ED03 % 2 ** 64
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * seed + 1) + np.uint64(shift))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64."""
+    out = np.full(max(n, 1), base % 2 ** 64, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)[:n]
 
 
 def code_points(raw: np.ndarray) -> int:
