@@ -78,3 +78,56 @@ def hash_share(key, share: float) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
+
+
+PIECE = 1 << 21
+BLANK = np.zeros(256, bool)
+BLANK[list(b" \t\r\n\x0b\x0c")] = True
+
+
+def byte_pieces(raw: np.ndarray):
+    """(start, end) of pieces of at most PIECE bytes that end at a blank where there is one."""
+    a = 0
+    while a < len(raw):
+        b = min(a + PIECE, len(raw))
+        if b < len(raw):
+            gaps = np.flatnonzero(BLANK[raw[b - PIECE // 2:b]])
+            b = b - PIECE // 2 + int(gaps[-1]) + 1 if len(gaps) else b
+        yield a, b
+        a = b
+
+
+def rows_of(at: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Row number of each byte from ``a`` to ``b``."""
+    inside = np.minimum(at[1:], b) - np.maximum(at[:-1], a)
+    return np.repeat(np.arange(len(at) - 1), np.clip(inside, 0, None))
+
+
+def words_of(raw: np.ndarray, at: np.ndarray, seed: int = 21
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, 64-bit hash and size in bytes of every blank-separated word, in order.
+
+    A word without a blank in it for longer than a piece counts as several words.
+    """
+    hashes = byte_table(seed)
+    power = powers(0x9E3779B97F4A7C15, PIECE + 1)
+    begins, marks, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in byte_pieces(raw):
+        piece = raw[a:b]
+        solid = ~BLANK[piece]
+        first = np.ones(len(piece), bool)       # a blank or another text before it
+        first[1:] = ~solid[:-1]
+        first[at[(at >= a) & (at < b)] - a] = True
+        begin = np.flatnonzero(solid & first)
+        if not len(begin):
+            continue
+        size = np.add.reduceat(solid.astype(np.int64), begin)
+        edges = np.concatenate(([0], begin, [len(piece)]))
+        place = np.arange(len(piece)) - np.repeat(edges[:-1], np.diff(edges))
+        weighted = np.where(solid, hashes[piece] * power[place], np.uint64(0))
+        begins.append(begin + a)
+        marks.append(mix(np.add.reduceat(weighted, begin) + size.astype(np.uint64)))
+        sizes.append(size)
+    begin = np.concatenate(begins)
+    return (np.searchsorted(at, begin, side="right") - 1, np.concatenate(marks),
+            np.concatenate(sizes))

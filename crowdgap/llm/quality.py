@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import byte_table, hash_share, in_fold, mix, powers, texts
+from crowdgap.llm.common import (byte_pieces, hash_share, in_fold, rows_of, texts,
+                                 words_of)
 from crowdgap.llm.registry import query, table
 
 MAX_ROWS = 20_000
 BINS, TREES, DEPTH, RATE, PENALTY = 64, 80, 4, 0.15, 1.0
-PIECE = 1 << 21
 
 # Classes of bytes; the first name counts bytes that no other class has.
 CLASSES = {"other": b"", "lower": bytes(range(97, 123)), "upper": bytes(range(65, 91)),
@@ -46,41 +46,11 @@ def class_table() -> np.ndarray:
 
 def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A row of NAMES for each text of a buffer."""
-    n, kinds, table_, hashes = len(at) - 1, len(CLASSES), class_table(), byte_table(21)
+    n, kinds, kind_of = len(at) - 1, len(CLASSES), class_table()
     counts = np.zeros(n * kinds, np.int64)
-    blank = np.zeros(256, bool)
-    blank[list(b" \t\r\n\x0b\x0c")] = True
-    power = powers(0x9E3779B97F4A7C15, PIECE + 1)
-    begins, marks, sizes = [], [], []
-    a = 0
-    while a < len(raw):
-        b = min(a + PIECE, len(raw))
-        if b < len(raw):                    # end at a blank, so that words stay whole
-            gaps = np.flatnonzero(blank[raw[b - PIECE // 2:b]])
-            b = b - PIECE // 2 + int(gaps[-1]) + 1 if len(gaps) else b
-        piece = raw[a:b]
-        doc = np.repeat(
-            np.arange(n), np.clip(np.minimum(at[1:], b) - np.maximum(at[:-1], a), 0, None))
-        counts += np.bincount(doc * kinds + table_[piece], minlength=n * kinds)
-        solid = ~blank[piece]
-        first = np.ones(len(piece), bool)   # a blank or another text before it
-        first[1:] = ~solid[:-1]
-        edges = at[(at >= a) & (at < b)] - a
-        first[edges] = True
-        begin = np.flatnonzero(solid & first)
-        if len(begin):
-            size = np.add.reduceat(solid.astype(np.int64), begin)
-            place = np.arange(len(piece)) - np.repeat(
-                np.concatenate(([0], begin)), np.diff(np.concatenate(([0], begin, [len(piece)]))))
-            weighted = np.where(solid, hashes[piece] * power[place], np.uint64(0))
-            marks.append(mix(np.add.reduceat(weighted, begin) + size.astype(np.uint64)))
-            begins.append(begin + a)
-            sizes.append(size)
-        a = b
-    begins = np.concatenate(begins) if begins else np.zeros(0, np.int64)
-    marks = np.concatenate(marks) if marks else np.zeros(0, np.uint64)
-    size = np.concatenate(sizes).astype(np.float64) if sizes else np.zeros(0)
-    doc = np.searchsorted(at, begins, side="right") - 1
+    for a, b in byte_pieces(raw):
+        counts += np.bincount(rows_of(at, a, b) * kinds + kind_of[raw[a:b]], minlength=n * kinds)
+    doc, marks, size = words_of(raw, at)
     words = np.bincount(doc, minlength=n).astype(np.float64)
     some = np.maximum(words, 1)
     mean = np.bincount(doc, size, n) / some

@@ -1,6 +1,6 @@
 """Every query of this subpackage."""
 
-from crowdgap.llm import chat, fingerprints, language, quality, topk, urls  # noqa: F401
+from crowdgap.llm import chat, fingerprints, language, neardup, quality, topk, urls  # noqa: F401
 from crowdgap.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
