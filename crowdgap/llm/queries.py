@@ -1,7 +1,7 @@
 """Every query of this subpackage."""
 
-from crowdgap.llm import (chat, fingerprints, language, neardup, quality, suffixes,  # noqa: F401
-                          topk, urls)
+from crowdgap.llm import (chat, fingerprints, language, neardup, packing, quality,  # noqa: F401
+                          suffixes, topk, urls)
 from crowdgap.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
