@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdgap.session import materialise
@@ -131,3 +131,18 @@ def words_of(raw: np.ndarray, at: np.ndarray, seed: int = 21
     begin = np.concatenate(begins)
     return (np.searchsorted(at, begin, side="right") - 1, np.concatenate(marks),
             np.concatenate(sizes))
+
+
+def carried(docs: DataFrame, key: str, text: str, keep: bool) -> DataFrame:
+    """(text, row): the text, and the key or (``keep``) all other columns in one struct.
+
+    Columns of any name can so travel with an operator's own.
+    """
+    others = [c for c in docs.columns if c != text] if keep else [key]
+    return docs.select(F.col(text).alias("text"), F.struct(*others).alias("row"))
+
+
+def restored(columns: list[str], text: str, value=None) -> list[Column]:
+    """The columns of a carried table again, with a new text if ``value`` is one."""
+    value = F.col("text") if value is None else value
+    return [value.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]

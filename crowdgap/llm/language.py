@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import in_fold, texts
+from crowdgap.llm.common import carried, in_fold, texts
 from crowdgap.llm.registry import query, table
 
 MAX_ROWS, LANDMARKS, MAX_NGRAMS = 2_000, 200, 60_000
@@ -193,11 +193,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
-             keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang_pred, score) and the columns of ``keep``, for every row."""
-    fields = [docs.schema[c] for c in (key, *keep)]
-    names = [f"c{i}" for i in range(len(fields))]
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))
+             keep: bool = False) -> DataFrame:
+    """(key, lang_pred, score) for every row; with ``keep`` (text, row, lang_pred, score)."""
+    given = carried(docs, key, text, keep)
     langs = np.array([*model.langs, "und"], dtype=object)
 
     def run(batches):
@@ -212,15 +210,14 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 best, sure = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1)
             some = lettered(raw, at)
             best = np.where(some, best, len(model.langs))
+            columns = batch.columns if keep else batch.columns[1:]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(langs[best], pa.string()),
-                 pa.array(np.where(some, sure, 0.0))],
-                [*batch.schema.names[1:], "lang_pred", "score"])
-
-    given = docs.select(F.col(text).alias("t"), *[F.col(f.name).alias(n)
-                                                  for n, f in zip(names, fields)])
-    return given.mapInArrow(run, f"{kinds}, lang_pred string, score double").select(
-        *[F.col(n).alias(f.name) for n, f in zip(names, fields)], "lang_pred", "score")
+                [*columns, pa.array(langs[best], pa.string()), pa.array(np.where(some, sure, 0.0))],
+                [*batch.schema.names[len(batch.columns) - len(columns):], "lang_pred", "score"])
+
+    kinds = f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double"
+    out = given.mapInArrow(run, f"text string, {kinds}" if keep else kinds)
+    return out if keep else out.select(F.col("row").getField(key).alias(key), "lang_pred", "score")
 
 
 FOLDS, HELD_OUT = 3, 1

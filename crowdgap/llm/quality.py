@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import (byte_pieces, hash_share, in_fold, rows_of, texts,
+from crowdgap.llm.common import (byte_pieces, carried, hash_share, in_fold, rows_of, texts,
                                  words_of)
 from crowdgap.llm.registry import query, table
 
@@ -163,22 +163,21 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text",
-          keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, score) and the columns of ``keep``, for every row."""
-    fields = [docs.schema[c] for c in (key, *keep)]
+          keep: bool = False) -> DataFrame:
+    """(key, score) for every row; with ``keep`` (text, row, score), see ``carried``."""
+    given = carried(docs, key, text, keep)
 
     def run(batches):
         for batch in batches:
             s = model.score(statistics(*texts(batch.column(0))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64())],
-                                             [*batch.schema.names[1:], "score"])
-
-    names = [f"c{i}" for i in range(len(fields))]
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))
-    out = docs.select(F.col(text).alias("t"), *[F.col(f.name).alias(n)
-                                                for n, f in zip(names, fields)])
-    return out.mapInArrow(run, f"{kinds}, score double").select(
-        *[F.col(n).alias(f.name) for n, f in zip(names, fields)], "score")
+            columns = batch.columns if keep else batch.columns[1:]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(s, pa.float64())],
+                [*batch.schema.names[len(batch.columns) - len(columns):], "score"])
+
+    kinds = f"row {given.schema['row'].dataType.simpleString()}, score double"
+    out = given.mapInArrow(run, f"text string, {kinds}" if keep else kinds)
+    return out if keep else out.select(F.col("row").getField(key).alias(key), "score")
 
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3

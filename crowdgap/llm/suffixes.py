@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crowdgap.llm.common import byte_table, mix, powers, rows_of, texts
+from crowdgap.llm.common import byte_table, carried, mix, powers, rows_of, texts
 from crowdgap.llm.registry import query, table
 
 LENGTH, GRAM = 100, 32
@@ -328,16 +328,15 @@ def search_shards(blocks: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, kept, columns of ``keep``) for every row.
+                   keep: bool = False) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) for every row.
 
-    ``kept`` is what is left as text: a code point stays if any of its bytes does.
+    With ``keep`` instead (text, row, n_removed), where ``text`` is what is left (a code point
+    stays if any of its bytes does) and ``row`` holds the other columns.
     """
-    fields = [docs.schema[c] for c in (key, *keep)]
-    names = [f"c{i}" for i in range(len(fields))]
-    named = docs.select(order_of(F.col(key)).alias("doc"), tag_of(F.col(text)).alias("tag"),
-                        F.col(text).alias("text"),
-                        *[F.col(f.name).alias(n) for f, n in zip(fields, names)])
+    given = carried(docs, key, text, keep)
+    named = given.select(order_of(F.col("row").getField(key)).alias("doc"),
+                         tag_of(F.col("text")).alias("tag"), "text", "row")
     dealt = instances(named.select("doc", "tag", "text")).repartition("anchor")
     same = Window.partitionBy("anchor", "block").orderBy("doc", "pack")
     group = Window.partitionBy("anchor")
@@ -373,7 +372,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     # both joins take all columns of one exchange, so that the texts are shuffled once
     placed = named.repartition("doc", "tag")
-    listed = placed.join(open_, ["doc", "tag"]).select("doc", "text", "list", *names)
+    listed = placed.join(open_, ["doc", "tag"]).select("doc", "text", "list", "row")
     blocks = listed.mapInArrow(bodies, "anchor bigint, doc bigint, pack bigint, body binary")
     spans = copies.union(search_shards(blocks)).groupBy("doc", "tag").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -382,38 +381,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in batches:
             raw, at = texts(batch.column(0))
             out = []
-            for i, spans_ in enumerate(batch.column(1).to_pylist()):
+            for i, listed_ in enumerate(batch.column(1).to_pylist()):
                 body = raw[at[i]:at[i + 1]]
-                lo, hi = (np.array([s[c] for s in spans_ or ()], np.int64) for c in ("lo", "hi"))
+                lo, hi = (np.array([s[c] for s in listed_ or ()], np.int64) for c in ("lo", "hi"))
                 _, lo, hi = runs(np.zeros(len(lo), np.int64), lo, hi)
                 stay = np.ones(len(body), bool)
                 for a, b in zip(lo.tolist(), hi.tolist()):
                     stay[a:b] = False
-                digest = hashlib.sha256(body[stay].tobytes()).hexdigest()
-                if len(lo):                     # whole code points for the text
+                if keep:                        # whole code points
                     head = np.flatnonzero((body & 0xC0) != 0x80)
-                    if len(head):
+                    if len(lo) and len(head):
                         some = np.logical_or.reduceat(stay, head)
                         stay = np.repeat(some, np.diff(np.append(head, len(body))))
-                out.append((len(body), int((hi - lo).sum()), len(lo), digest,
-                            body[stay].tobytes().decode("utf-8", "ignore")))
-            columns = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))),
-                 *batch.columns[2:]],
-                ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept",
-                 *batch.schema.names[2:]])
-
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))
-    done = placed.join(spans, ["doc", "tag"], "left").select("text", "spans", *names).mapInArrow(
-        cut, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, "
-             + kinds)
-    return done.select(F.col(names[0]).alias(key), "n_bytes", "n_removed", "n_spans",
-                       "kept_sha256", "kept",
-                       *[F.col(n).alias(f.name) for n, f in zip(names[1:], fields[1:])])
+                    left = body[stay].tobytes().decode("utf-8", "ignore")
+                else:
+                    left = hashlib.sha256(body[stay].tobytes()).hexdigest()
+                out.append((len(body), int((hi - lo).sum()), len(lo), left))
+            columns = [pa.array([r[i] for r in out], pa.string() if i == 3 else pa.int64())
+                       for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)],
+                                             ["n_bytes", "n_removed", "n_spans", "left", "row"])
+
+    done = placed.join(spans, ["doc", "tag"], "left").select("text", "spans", "row").mapInArrow(
+        cut, "n_bytes bigint, n_removed bigint, n_spans bigint, left string, "
+             f"row {given.schema['row'].dataType.simpleString()}")
+    if keep:
+        return done.select(F.col("left").alias("text"), "row", "n_removed")
+    return done.select(F.col("row").getField(key).alias(key), "n_bytes", "n_removed", "n_spans",
+                       F.col("left").alias("kept_sha256"))
 
 
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
