@@ -14,10 +14,10 @@ How the work is bounded:
 
 * Equal texts are one text (by a 128-bit digest) from the start; copies only meet in a count.
 * Texts that share a key are compared in blocks of BLOCK rows by small sketches (a byte for each
-  of BINS ranges of hash values); a large group is more blocks on more tasks, and only pairs whose
-  sketches allow 0.8 (3.5 standard deviations) are emitted, once, in their first common band.
-* The best pair of each text is aligned first. Of the other pairs only those are aligned whose
-  texts are not yet in one class.
+  of BINS ranges of hash values); a larger group is more blocks on more tasks.
+* Only pairs whose sketches allow 0.8 (3.5 standard deviations) and that nothing has linked yet
+  are aligned, in their first common band, inside the task. A block emits a forest of links: fewer
+  than it has rows, whatever the number of similar pairs.
 
 Comparing sketches inside a group of similar but unequal texts costs the square of that group's
 size (about 0.3 microseconds a pair); nothing is capped or dropped.
@@ -42,7 +42,7 @@ from crowdgap.llm.registry import query, table
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, PICKED = 16, 3
-BINS, BLOCK = 512, 1000
+BINS, BLOCK = 512, 500
 NO_TEXT = np.zeros(0, np.uint64)
 
 
@@ -116,62 +116,105 @@ def sketch(h: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, digest, n, keys, sketch) of every row; keys are null without a word."""
+    """(k, digest, keys) of every row; keys are null without a word."""
     def run(batches):
         for batch in batches:
-            n, keys, bits = [], [], []
-            for marks in each_text(batch.column(2)):
-                h = shingles(marks)
-                n.append(len(h))
-                keys.append(band_keys(h).view(np.int64).tolist() if len(h) else None)
-                bits.append(sketch(h).tobytes() if len(h) else None)
+            lines = map(shingles, each_text(batch.column(2)))
+            keys = [band_keys(h).view(np.int64).tolist() if len(h) else None for h in lines]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["k", "digest", "n", "keys", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
+                ["k", "digest", "keys"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), digest_of(F.col(text)).alias("digest"), F.col(text)).mapInArrow(
-        run, f"k {kind}, digest binary, n bigint, keys array<bigint>, sketch binary")
-
-
-def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Likeness of a sketch to each of many, or -1 where 0.8 is out of reach."""
-    some = (b != 0) | (a != 0)[None, :]
-    bins = np.maximum(some.sum(1), 1)
-    same = ((a[None, :] == b) & some).sum(1) / bins
-    margin = 3.5 * np.sqrt(SIMILAR * (1 - SIMILAR) / bins)
-    return np.where(same >= SIMILAR - margin, same, -1.0)
-
-
-def group_pairs(n, keys, bits, side, band, both):
-    """(i, j, likeness) for pairs of one group's rows; across its two sides if it has two."""
-    for i in range(len(n) - 1):
-        rest = np.arange(i + 1, len(n))
-        rest = rest[(np.minimum(n[i], n[rest]) >= SIMILAR * np.maximum(n[i], n[rest]))
-                    & ~(both & (side[i] == side[rest]))]
-        if band and len(rest):              # not the first band that they share
-            rest = rest[~(keys[i, :band] == keys[rest, :band]).any(1)]
-        if len(rest):
-            like = allowed(bits[i], bits[rest])
-            for j in np.flatnonzero(like >= 0):
-                yield i, rest[j], like[j]
-
-
-def candidates(sigs: DataFrame) -> DataFrame:
-    """(a, b, likeness): pairs of digests that may be similar, each once, a below b."""
-    lines = sigs.where(F.col("keys").isNotNull()).select(
+        run, f"k {kind}, digest binary, keys array<bigint>")
+
+
+def details(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(digest, keys, sketch, line) of the texts with wanted digests.
+
+    ``line`` holds the labelled shingles in text order, four bytes each.
+    """
+    def run(batches):
+        for batch in batches:
+            keys, bits, lines = [], [], []
+            for marks in each_text(batch.column(1)):
+                h = shingles(marks)
+                keys.append(band_keys(h).tobytes())
+                bits.append(sketch(h).tobytes())
+                lines.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, pa.binary()) for x in (keys, bits, lines))],
+                ["digest", "keys", "sketch", "line"])
+
+    named = docs.select(digest_of(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    found = named.join(wanted.hint("merge"), "digest")      # as many rows as there are members
+    return found.mapInArrow(run, "digest binary, keys binary, sketch binary, line binary")
+
+
+def allowed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sketches allow 0.8 between one and each of many; ``sizes`` are shingles of both.
+
+    A sketch is a sample without replacement of the shingles of both texts.
+    """
+    bins = np.maximum(((b != 0) | (a != 0)[None, :]).sum(1), 1)
+    same = ((a[None, :] == b) & (b != 0)).sum(1) / bins
+    unseen = np.maximum(1 - bins / np.maximum(sizes / (1 + SIMILAR), 1), 0)
+    margin = 3.5 * np.sqrt(SIMILAR * (1 - SIMILAR) / bins * unseen) + 1 / bins + 0.01
+    return same >= SIMILAR - margin
+
+
+class Group:
+    """Texts of one group of a band; finds links between them."""
+
+    def __init__(self, keys, bits, lines, side, band, both):
+        self.keys, self.bits, self.side, self.band, self.both = keys, bits, side, band, both
+        self.lines = [np.frombuffer(x, np.uint32) for x in lines]
+        self.n = np.array([len(x) for x in self.lines])
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def similarity(self, i: int, j: int) -> float:
+        if j not in self.sorted:
+            order = np.argsort(self.lines[j])
+            self.sorted[j] = self.lines[j][order], order
+        return similarity(self.lines[i], *self.sorted[j])
+
+    def links(self):
+        """Pairs of rows of 0.8 or more that join all rows which such pairs join."""
+        n, root = self.n, np.arange(len(self.n))
+        for i in range(len(n) - 1):
+            rest = np.arange(i + 1, len(n))
+            rest = rest[(np.minimum(n[i], n[rest]) >= SIMILAR * np.maximum(n[i], n[rest]))
+                        & (root[rest] != root[i])]
+            if self.both:                   # pairs of one side belong to that side's own block
+                rest = rest[self.side[rest] != self.side[i]]
+            if self.band and len(rest):     # not the first band that they share
+                rest = rest[~(self.keys[i, :self.band] == self.keys[rest, :self.band]).any(1)]
+            if not len(rest):
+                continue
+            near = rest[allowed(self.bits[i], self.bits[rest], n[i] + n[rest])]
+            for j in near.tolist():
+                if root[i] != root[j] and self.similarity(i, j) >= SIMILAR:
+                    root[root == root[j]] = root[i]
+                    yield i, j
+
+
+def links_of(one: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(a, b): links of digests with 0.8 or more that span every class."""
+    lines = one.where(F.col("keys").isNotNull()).select(
         "digest", F.posexplode("keys").alias("band", "key"))
     sizes = lines.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(lines.join(sizes, ["band", "key"]), "members")
+    wanted = members.select("digest").distinct()
+    detail = materialise(details(docs, wanted, text).dropDuplicates(["digest"]), "details")
     # blocks of a large group: each row meets every block, once as left and once as right
-    members = (lines.join(sizes, ["band", "key"])
-               .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-               .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .join(sigs.select("digest", "n", "keys", "sketch"), "digest")
-               .select("band", "key", F.least("own", "other").alias("x"),
-                       F.greatest("own", "other").alias("y"), "own", "digest", "n", "keys",
-                       "sketch"))
+    placed = (members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+              .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .join(detail, "digest")
+              .select("band", "key", F.least("own", "other").alias("x"),
+                      F.greatest("own", "other").alias("y"), "own", "digest", "keys", "sketch",
+                      "line"))
     group = ["band", "key", "x", "y"]
 
     def run(batches):
@@ -185,10 +228,10 @@ def candidates(sigs: DataFrame) -> DataFrame:
                 whole, rest = whole.slice(0, cut), whole.slice(cut)
             held = rest
             if whole is not None and whole.num_rows:
-                yield from pairs_of(whole.combine_chunks(), group)
+                yield from links_in(whole.combine_chunks(), group)
 
-    return members.repartition(*group).sortWithinPartitions(*group).mapInArrow(
-        run, "a binary, b binary, likeness double")
+    return placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(
+        run, "a binary, b binary")
 
 
 def chain_end(batches):
@@ -213,29 +256,19 @@ def last_group(t: pa.Table, group: list[str]) -> int:
     return int(edges[-1]) if len(edges) else 0
 
 
-def pairs_of(t: pa.Table, group: list[str]):
-    """Record batches of candidate pairs of a table of whole groups."""
+def links_in(t: pa.Table, group: list[str]):
+    """Record batches of the links of a table of whole groups."""
     edges = np.append(group_edges(t, group), t.num_rows)
-    digests = t.column("digest").to_pylist()
-    n = t.column("n").to_numpy()
+    digests, lines = t.column("digest").to_pylist(), t.column("line").to_pylist()
     bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-    keys = np.asarray(t.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)
+    keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
     side, band = t.column("own").to_numpy(), t.column("band").to_numpy()
     both = t.column("x").to_numpy() != t.column("y").to_numpy()
-    a, b, like = [], [], []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        for i, j, s in group_pairs(n[lo:hi], keys[lo:hi], bits[lo:hi], side[lo:hi],
-                                   int(band[lo]), bool(both[lo])):
-            p, q = digests[lo + i], digests[lo + j]
-            if p != q:
-                a.append(min(p, q))
-                b.append(max(p, q))
-                like.append(s)
-        if len(a) >= 10_000 or hi == edges[-1]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(like, pa.float64())],
-                ["a", "b", "likeness"])
-            a, b, like = [], [], []
+    found = [(digests[lo + i], digests[lo + j]) for lo, hi in zip(edges[:-1], edges[1:])
+             for i, j in Group(keys[lo:hi], bits[lo:hi], lines[lo:hi], side[lo:hi],
+                               int(band[lo]), bool(both[lo])).links()]
+    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()),
+                                      pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
 def increasing(values: np.ndarray) -> int:
@@ -252,46 +285,16 @@ def increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Aligned labelled shingles over all shingles of both texts."""
-    if not len(a) or not len(b):
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+def similarity(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> float:
+    """Aligned labelled shingles over all shingles of both; ``b`` sorted, with its text order."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    i = np.flatnonzero(b[at] == a)
+    j = order[at[i]]
     # at 0.8 this many shingles have no partner, and a position can shift by no more
-    free = int(len(a) + len(b) - 2 * SIMILAR / (1 + SIMILAR) * (len(a) + len(b))) + 1
-    near = np.abs(i - j) <= free
-    i, j = i[near], j[near]
-    m = increasing(j[np.argsort(i)])
-    return m / (len(a) + len(b) - m)
-
-
-def aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches 0.8; ``lines`` has digest and shingles."""
-    def run(batches):
-        for batch in batches:
-            keep = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= SIMILAR
-                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    left = lines.select(F.col("digest").alias("a"), F.col("line").alias("x"))
-    right = lines.select(F.col("digest").alias("b"), F.col("line").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select(
-        "a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def lines_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(digest, line): labelled shingles, four bytes each, of the texts with wanted digests."""
-    def run(batches):
-        for batch in batches:
-            lines = [(shingles(m) >> np.uint64(32)).astype(np.uint32).tobytes()
-                     for m in each_text(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.binary())],
-                                             ["digest", "line"])
-
-    named = docs.select(digest_of(F.col(text)).alias("digest"), F.col(text).alias("text"))
-    found = named.join(wanted, "digest")
-    return found.select("digest", "text").mapInArrow(run, "digest binary, line binary")
+    total = len(a) + len(b)
+    free = int(total - 2 * SIMILAR / (1 + SIMILAR) * total) + 1
+    m = increasing(j[np.abs(i - j) <= free])
+    return m / (total - m)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -318,22 +321,8 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, class_id) for every row."""
     sigs = materialise(signatures(docs, key, text), "signatures")
-    one = sigs.groupBy("digest").agg(F.min("k").alias("k"), F.any_value("n").alias("n"),
-                                     F.any_value("keys").alias("keys"),
-                                     F.any_value("sketch").alias("sketch"))
-    pairs = materialise(candidates(one), "pairs")
-    ends = pairs.select("a", "b", "likeness").union(pairs.select("b", "a", "likeness"))
-    wanted = ends.select(F.col("a").alias("digest")).distinct()
-    lines = materialise(lines_of(docs, wanted, text).dropDuplicates(["digest"]), "lines")
-    best = ends.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select(
-        F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-    links = materialise(aligned(best, lines), "linked")
-    found = components(links)
-    side = lambda c: found.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-            .where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
-    more = aligned(rest, lines)
-    found = components(links.union(more))
+    one = sigs.groupBy("digest").agg(F.min("k").alias("k"), F.any_value("keys").alias("keys"))
+    found = components(links_of(one, docs, text))
     named = one.select("digest", "k").join(
         found.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
         "label", F.coalesce("label", "digest"))
@@ -343,6 +332,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         key, "digest", "class_id")
 
 
+def keepers(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(kept_id, kept_digest): one text of each class, the one with the class's name.
+
+    Texts that only rows without a key have are kept each.
+    """
+    named = found.where(F.col(key).eqNullSafe(F.col("class_id")))
+    keyed = named.where(F.col(key).isNotNull()).groupBy("class_id").agg(
+        F.min("digest").alias("kept_digest"))
+    unkeyed = named.where(F.col(key).isNull()).select("class_id", F.col("digest").alias("kept_digest"))
+    return keyed.unionByName(unkeyed.distinct()).withColumnRenamed("class_id", "kept_id")
+
+
 @query("op9_order_minhash")
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
