@@ -9,7 +9,8 @@ and every query block meets every candidate block once in each of two passes, as
    gives the entries that reach it. Ties at the cutoff are kept by smallest id, k at most.
 3. What was collected holds the whole answer and is ranked exactly: score, then id.
 
-Products are exact: float32 or float64 while every partial sum fits their integers, else int64.
+Products are exact: float32 or float64 while every partial sum fits their integers, else int64;
+scores and components beyond 64 bits count as the largest number of that sign.
 
 Null vectors and vectors with null or non-finite components take no part. Of vectors of unequal
 length the shorter counts as zero beyond its end. Rows that repeat an id are separate candidates
@@ -30,6 +31,8 @@ from pyspark.sql.window import Window
 from crowdgap.llm.common import materialise
 from crowdgap.llm.registry import query, table
 
+NOTHING = np.iinfo(np.int64).min
+LARGEST = 2 ** 63 - 1
 BLOCK = 4096       # rows of a block: at 64 components a matrix of 2 MB
 
 
@@ -67,10 +70,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most < 2 ** 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
-NOTHING = np.iinfo(np.int64).min
+    if most < 2 ** 63:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LARGEST, LARGEST).astype(np.int64)
 
 
 def scores(q, c, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
