@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +23,9 @@ from pyspark.sql.types import NumericType
 from crowdgap.session import materialise, parallelism
 
 _BUCKET = "__bucket"
-# Rank filters up to this size are pruned map-side by Spark itself (window group limit).
+# Rank filters below this size are pruned map-side by Spark itself (window group limit).
 GROUP_LIMIT = 1000
+BUCKET_BYTES = 64 << 20
 
 
 def _col(c) -> Column:
@@ -41,11 +44,15 @@ def md5_int(digest: Column, digits: int = 8) -> Column:
 
 def md5_bucket(digest: Column, buckets: int) -> Column:
     """Bucket number that grows with the md5 text; uniform whatever the keys look like."""
-    return F.floor(md5_int(digest, 4) * buckets / 65536).cast("int")
+    return F.floor(md5_int(digest, 8) * buckets / 2 ** 32).cast("int")
 
 
 def bucket_count(df: DataFrame) -> int:
-    return max(8, min(1024, parallelism(df.sparkSession)))
+    """Enough buckets for every task, and for the table's estimated bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # unknown sizes (streams, some joins) are estimated as huge
+    by_size = size // BUCKET_BYTES if size < 1 << 50 else 0
+    return max(8, parallelism(df.sparkSession), min(by_size, 100_000))
 
 
 def _cut_points(df: DataFrame, number: Column, buckets: int) -> tuple[list[float], list[float]]:
@@ -95,7 +102,7 @@ def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
     ``order`` must be a total order inside a group. Without ``bucket`` its first column has to
     be numeric and ascending; cut points, totals and rows then need three passes, so the input
     is written once to the shared folder instead of being computed three times, unless it comes
-    from a ``written`` table anyway. Rows whose group is NULL are dropped.
+    from a ``written`` table anyway. NULL groups are groups like others.
     """
     by = list(by)
     if bucket is None:
@@ -113,7 +120,10 @@ def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
         *[F.sum(f"__t_{n}").over(spread).alias(f"total_{n}") for n in totals])
     inside = (Window.partitionBy(*by, _BUCKET).orderBy(*[_col(c) for c in order])
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = work.join(offsets, [*by, _BUCKET])
+    for c in [*by, _BUCKET]:
+        offsets = offsets.withColumnRenamed(c, f"__r_{c}")
+    same = [work[c].eqNullSafe(offsets[f"__r_{c}"]) for c in [*by, _BUCKET]]
+    joined = work.join(offsets, reduce(and_, same))
     out = joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"__o_{n}") + F.coalesce(F.sum(_col(v)).over(inside), F.lit(0)))
@@ -142,15 +152,19 @@ def with_shuffled_rank(df: DataFrame, key, seed, by: Sequence[str] = (),
 
 def first_rows(df: DataFrame, by: Sequence[str], order: Sequence, n: int,
                name: str = "rn") -> DataFrame:
-    """The first ``n`` rows of each group with their position.
+    """The first ``n`` rows of each group with their position, for any total order.
 
-    Small ``n``: a rank filter, which Spark prunes before the shuffle, so a hot group sends at
-    most ``n`` rows per map task. Large ``n``: bucketed ranks (first order column numeric).
+    A rank filter of small ``n`` is pruned by Spark before the shuffle, so a hot group sends at
+    most ``n`` rows per map task. For larger ``n`` the same filter runs on the pieces of a group
+    that each task read first, and then on what they kept.
     """
-    if n < GROUP_LIMIT:
-        w = Window.partitionBy(*by).orderBy(*[_col(c) for c in order])
-        return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
-    return with_rank(df, order, by, name=name).drop(f"n_{name}").where(F.col(name) <= n)
+    order = [_col(c) for c in order]
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if n >= GROUP_LIMIT:
+        pieces = df.withColumn("__piece", F.spark_partition_id() % bucket_count(df))
+        df = (pieces.withColumn(name, place(*by, "__piece")).where(F.col(name) <= n)
+              .drop("__piece", name))
+    return df.withColumn(name, place(*by)).where(F.col(name) <= n)
 
 
 def dedupe(df: DataFrame, key, order: Sequence) -> DataFrame:

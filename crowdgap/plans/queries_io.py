@@ -48,18 +48,17 @@ _BATCH = T.StructType([T.StructField("item_key", T.StringType()),
 
 
 @query("read_batches", f"""
-WITH {EVALS} SELECT CASE WHEN batch >= 2000 THEN 'elite' ELSE 'club' END AS source, count(*) AS n,
- count(cost) AS n_cost, round(avg(cost), 6) AS mean_cost FROM evals GROUP BY 1""")
+WITH {EVALS} SELECT CASE WHEN batch >= 2000 THEN 'elite' ELSE 'club' END AS source,
+ CASE WHEN batch >= 2000 THEN '03_elite' ELSE '03_club' END AS batch, count(*) AS n,
+ count(cost) AS n_cost, round(avg(cost), 6) AS mean_cost FROM evals GROUP BY ALL""")
 def read_batches(spark, sf):
     path = new_path(spark, "batches")
     src = evals(spark, sf)
     for name, part in (("03_elite", src.where("batch >= 2000")), ("03_club",
                                                                   src.where("batch < 2000"))):
         sinks.write_table(part.select("item_key", "ply", "cost"), f"{path}/{name}", "csv")
-    # batch folders stand for batch files: the folder name carries the batch
-    both = [archives.read_batches(spark, f"{path}/{n}/*.csv", _BATCH).withColumn(
-        "source", F.lit("elite" if "elite" in n else "club")) for n in ("03_elite", "03_club")]
-    return joins.union_batches(both).groupBy("source").agg(
+    found = archives.read_batches(spark, f"{path}/*/*.csv", _BATCH, folders=True)
+    return found.groupBy("source", "batch").agg(
         F.count("*").alias("n"), F.count("cost").alias("n_cost"),
         rounded(F.avg("cost")).alias("mean_cost"))
 
@@ -84,6 +83,21 @@ def read_positions(spark, sf):
                        F.col("black_elo").cast("bigint").alias("black_elo"))
 
 
+@query("position_slice", f"""
+WITH {GAMES}, r AS (SELECT game_id, row_number() OVER (ORDER BY white_elo % 2, game_id) - 1 AS place
+  FROM games) SELECT CAST(game_id AS STRING) AS game_id FROM r WHERE place >= 1500 AND place < 4000""")
+def position_slice(spark, sf):
+    """A slice over two files, the second of which is the larger."""
+    path = new_path(spark, "slices")
+    src = games(spark, sf).select(
+        "game_id", F.lit(14).alias("ply"), F.lit("8/8/8/8/8/8/8/8 w - - 0 1").alias("fen"),
+        F.lit("e2e4").alias("played_move"), "white_elo", "black_elo")
+    for half in (0, 1):
+        sinks.write_table(src.where(F.col("white_elo") % 2 == half).orderBy("game_id"),
+                          f"{path}/{half}", "csv")
+    return archives.read_positions(spark, f"{path}/*/*.csv", 1500, 2500).select("game_id")
+
+
 @query("read_tagged", """
 WITH t AS (SELECT doc_id, unnest([lang, source]) AS tag FROM documents WHERE doc_id % 10 <> 0)
 SELECT tag, count(*) AS n FROM t GROUP BY tag""")

@@ -32,11 +32,13 @@ def get_spark(app: str = "crowdgap", master: str | None = None, **conf) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (unit tests, a laptop) gets a temporary folder.
+    Only a local session without that setting (unit tests, a laptop) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     existing = getattr(spark, "_crowdgap_dir", None)
     if existing is None:
         existing = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -56,12 +58,52 @@ def test_quantiles_match_numpy(table):
         assert np.allclose([r.q0, r.q1, r.q2, r.q3, r.q4, r.q5], want)
 
 
-@pytest.mark.parametrize("n", [3, 1200])
-def test_first_rows_small_and_large(table, n):
-    pdf, df = table
-    got = od.first_rows(df, ["g"], ["k"], n).toPandas()
-    want = pdf.sort_values("k").groupby("g").head(n)
-    assert sorted(got.k) == sorted(want.k)
+@pytest.fixture(scope="module")
+def grouped(spark):
+    """A group with most rows, one that is NULL, and small ones."""
+    rng = np.random.default_rng(4)
+    n = 14_000
+    group = rng.choice(["hot", "none", "a", "b"], n, p=[.5, .4, .06, .04])
+    pdf = pd.DataFrame({"k": rng.permutation(n), "g": group, "v": rng.integers(0, 50, n)})
+    df = spark.createDataFrame(pdf).withColumn("g", F.expr("nullif(g, 'none')")).repartition(9)
+    return pdf.assign(s=pdf.k.astype(str)), df.cache()
+
+
+@pytest.mark.parametrize("n", [3, 999, 1000, 5000])
+@pytest.mark.parametrize("kind", ["asc", "desc", "md5", "string"])
+def test_first_rows_of_any_order_and_size(grouped, n, kind):
+    pdf, df = grouped
+    order = {"asc": ["v", "k"], "desc": [F.desc("v"), "k"], "md5": [od.shuffle_key(1, "k"), "k"],
+             "string": [F.col("k").cast("string")]}[kind]
+    key = {"asc": pdf.v * 10 ** 6 + pdf.k, "desc": -pdf.v * 10 ** 6 + pdf.k, "string": pdf.s,
+           "md5": [hashlib.md5(f"1:{k}".encode()).hexdigest() for k in pdf.k]}[kind]
+    want = pdf.assign(o=key).sort_values("o")
+    want["rn"] = want.groupby("g").cumcount() + 1
+    want = want[want.rn <= n]
+    got = od.first_rows(df, ["g"], order, n).toPandas()
+    assert sorted(zip(got.k, got.rn)) == sorted(zip(want.k, want.rn))
+
+
+def test_null_groups_are_groups(grouped):
+    pdf, df = grouped
+    got = od.with_prior(df, ["k"], {"v": "v"}, ["g"]).toPandas()
+    assert len(got) == len(pdf)
+    want = pdf.sort_values("k").groupby("g").v.cumsum() - pdf.sort_values("k").v
+    by_key = dict(zip(pdf.sort_values("k").k, want))
+    assert all(by_key[k] == p for k, p in zip(got.k, got.prior_v))
+    folds = sm.strat_folds(df, "g", "k", 5, 0).groupBy("g", "fold").count().toPandas()
+    assert folds["count"].sum() == len(pdf) and folds.groupby("g", dropna=False)["count"].agg(np.ptp).max() <= 1
+    q = {r.g: r.q0 for r in od.exact_quantiles(df, "v", [.5], ["g"]).collect()}
+    assert q[None] == np.median(pdf[pdf.g == "none"].v)
+    marked = df.withColumn("y", F.col("k") % 2)
+    assert {r.g for r in metrics.auc(marked, "y", "v", by=["g"]).collect()} == {None, "hot", "a", "b"}
+
+
+def test_samples_of_any_size_are_the_same(grouped, monkeypatch):
+    _, df = grouped
+    few = {r.k for r in sm.sample_n(df, "k", 700, 3).collect()}
+    monkeypatch.setattr(sm, "GROUP_LIMIT", 0)
+    assert {r.k for r in sm.sample_n(df, "k", 700, 3).collect()} == few and len(few) == 700
 
 
 def test_auc_with_ties_matches_pairs(table):

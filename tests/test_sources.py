@@ -76,6 +76,29 @@ def test_position_slice_follows_the_file(spark, tmp_path):
     assert [r.game_id for r in got] == ["g3", "g4", "g5", "g6"] and got[0].black_elo is None
 
 
+def test_slices_follow_the_files(spark, tmp_path):
+    """The second file is larger, so Spark reads it first; small splits cut it up."""
+    head = "game_id,ply,fen,played_move,white_elo,black_elo\n"
+    for name, n in (("a", 3), ("b", 3000), ("c", 5)):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f"{name}{i},14,f,e2e4,2000,1\n" for i in range(n)))
+    want = [f"{f}{i}" for f, n in (("a", 3), ("b", 3000), ("c", 5)) for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for offset, limit in ((0, 4), (1, 3), (2, 2000), (2990, None), (3000, 100)):
+            got = archives.read_positions(spark, str(tmp_path / "*.csv"), offset, limit)
+            assert sorted(r.game_id for r in got.collect()) == sorted(want[offset:][:limit])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tagged_lines_of_several_files(spark, tmp_path):
+    head = "id,fen,moves,r,d,p,n,themes,url\n"
+    (tmp_path / "1.csv").write_text(head + "a,f,m,1,2,3,4,fork,u\n")
+    (tmp_path / "2.csv").write_text(head + "".join(f"b{i},f,m,1,2,3,4,pin,u\n" for i in range(50)) + head)
+    got = archives.read_tagged(spark, str(tmp_path)).orderBy("arrival").collect()
+    assert [r.id for r in got] == ["a", *[f"b{i}" for i in range(50)], "id"]
+
+
 def test_tagged_lines(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     with open(path, "w") as fh:
