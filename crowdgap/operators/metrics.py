@@ -73,17 +73,16 @@ def pred_vs_actual(df: DataFrame, flag: str, y, p) -> DataFrame:
 
 def ari(df: DataFrame, a: str, b: str) -> DataFrame:
     """Adjusted Rand index of two labelings of the same rows."""
-    cells = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
-
     def pairs(c):
         return F.col(c) * (F.col(c) - 1) / 2
 
-    inner = cells.agg(F.sum(pairs("n")).alias("cells"), F.sum("n").alias("total"))
-    left = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("rows"))
-    right = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(pairs("n")).alias("cols"))
-    # one row each, folded into one
-    one = (inner.unionByName(left, True).unionByName(right, True)
-           .agg(*[F.max(c).alias(c) for c in ("cells", "total", "rows", "cols")]))
+    # cells, rows and columns of the table of counts in one pass
+    cells = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    sides = cells.groupingSets([[a, b], [a], [b]], a, b).agg(
+        F.sum("n").alias("n"), F.grouping_id().alias("side"))
+    one = sides.agg(*[F.sum(F.when(F.col("side") == i, pairs("n"))).alias(c)
+                      for i, c in enumerate(("cells", "rows", "cols"))],
+                    F.sum(F.when(F.col("side") == 0, F.col("n"))).alias("total"))
     expected = F.col("rows") * F.col("cols") / F.nullif(pairs("total"), F.lit(0.0))
     top = (F.col("rows") + F.col("cols")) / 2
     # two labelings that are both trivial agree perfectly

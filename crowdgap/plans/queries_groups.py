@@ -300,9 +300,8 @@ def band_metrics(spark, sf):
 WITH {MASTER}, {_SCORED} SELECT flagged, count(*) AS n, round(avg(p), 6) AS predicted,
  round(avg(y), 6) AS actual FROM s GROUP BY flagged""")
 def pred_vs_actual(spark, sf):
-    return metrics.pred_vs_actual(_scored(spark, sf), "flagged", "p", "p").drop("actual").join(
-        metrics.pred_vs_actual(_scored(spark, sf), "flagged", "y", "p").drop("n", "predicted"),
-        "flagged").withColumns({"predicted": rounded("predicted"), "actual": rounded("actual")})
+    return metrics.pred_vs_actual(_scored(spark, sf), "flagged", "y", "p").withColumns(
+        {"predicted": rounded("predicted"), "actual": rounded("actual")})
 
 
 @query("ari", """

@@ -159,7 +159,7 @@ def studied_latest(spark, sf):
         "code", "concept", F.col("id").alias("last_id"))
     for part in (marks.where("last_id % 2 = 0"), marks.where("last_id % 2 = 1")):
         sinks.upsert(part, path)
-    packed = sinks.compact(spark, path, ["code", "concept"], "last_id")
+    packed = sinks.compact(spark, path, ["code", "concept"], "last_id", new_path(spark, "compact"))
     return spark.read.parquet(packed)
 
 

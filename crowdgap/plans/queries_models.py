@@ -9,7 +9,7 @@ from crowdgap.operators import models as mo
 from crowdgap.operators import vectors as vo
 from crowdgap.operators.joins import attach_vectors
 from crowdgap.operators.models import Block
-from crowdgap.plans.bindings import LEVELS, evals, master, read
+from crowdgap.plans.bindings import LEVELS, MASTER, evals, master, read
 from crowdgap.plans.registry import query
 
 SURFACE = Block("surface", {"ply": 0.0}, ("favourite",))
@@ -31,21 +31,34 @@ def _small_gbm(train):
     return mo.gbm(train, max_iter=3, step=0.3, depth=3)
 
 
-def _short_logit(train):
-    return mo.logit(train, max_iter=20)
+def _full_logit(train):
+    return mo.logit(train, max_iter=3000)
 
 
 @query("grouped_cv")
 def grouped_cv(spark, sf):
-    oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _short_logit, keep=["flagged"])
+    oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _full_logit, keep=["flagged"])
     return mo.cv_summary(oof)
 
 
+@query("cv_rows", f"""
+WITH {MASTER} SELECT count(*) AS n, count(DISTINCT item_key) AS items, 0::BIGINT AS split_groups,
+ 5::BIGINT AS folds FROM master""")
+def cv_rows(spark, sf):
+    """Each row is predicted once and no group is split over folds."""
+    oof = mo.grouped_cv(_items(spark, sf), ALL, "found", "game_id", _full_logit,
+                        keep=["item_key", "game_id"])
+    split = oof.groupBy("game_id").agg(F.countDistinct("fold").alias("n")).agg(
+        F.count(F.when(F.col("n") > 1, 1)).alias("split_groups"))
+    return oof.agg(F.count("*").alias("n"), F.countDistinct("item_key").alias("items"),
+                   F.countDistinct("fold").alias("folds")).join(split)
+
+
 @query("feature_ladder")
 def feature_ladder(spark, sf):
     return mo.ladder(_items(spark, sf), {
         "surface": [SURFACE], "crowd": [CROWD], "engine": [ENGINE],
-        "all": [SURFACE, CROWD, ENGINE]}, "found", "game_id", _short_logit, 3, "surface")
+        "all": [SURFACE, CROWD, ENGINE]}, "found", "game_id", _full_logit, 5, "surface")
 
 
 @query("difficulty_calibration")
@@ -103,6 +116,15 @@ def tree_rules(spark, sf):
     return leaves.withColumn("rules", F.lit(text))
 
 
+@query("rule_leaves", f"""
+WITH {MASTER} SELECT count(*) AS n, sum((found OR favourite = best OR coalesce(cost < 50, false))::INT)
+ ::BIGINT AS positives FROM master WHERE cost >= 100""")
+def rule_leaves(spark, sf):
+    """The leaves share out all rows."""
+    _, leaves = mo.tree_rules(_flags(spark, sf), _FLAGS, "found")
+    return leaves.agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+
+
 def _documents(spark, sf):
     """Labelled documents with a vector each, so blocks and embeddings can be compared."""
     vec = read(spark, sf, "embeddings")
@@ -117,12 +139,12 @@ def _documents(spark, sf):
 @query("pca_ladder")
 def pca_ladder(spark, sf):
     base = Block("surface", {"n_chars": 0.0}, ("lang",))
-    return mo.width_sweep(_documents(spark, sf), [base], "scores", [2, 5], "quality", "source",
-                          _short_logit, 3)
+    return mo.width_sweep(_documents(spark, sf), [base], "scores", [2, 5, 10], "quality", "source",
+                          _full_logit, 5)
 
 
 @query("cluster_gain")
 def cluster_gain(spark, sf):
     base = Block("surface", {"n_chars": 0.0}, ("lang",))
     return mo.cluster_gain(_documents(spark, sf), "doc_id", "quality", [4], base, "scores", 1,
-                           _short_logit, 3)
+                           _full_logit, 3)

@@ -1,5 +1,7 @@
 """Ranking, quota, split and sampling queries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
@@ -68,15 +70,20 @@ WITH {GAMES}, ok AS (SELECT game_id, seq, CASE
   WHEN white_elo BETWEEN 2000 AND 2199 AND black_elo BETWEEN 2000 AND 2199 THEN '2000-2200'
   WHEN white_elo BETWEEN 2200 AND 2399 AND black_elo BETWEEN 2200 AND 2399 THEN '2200-2400'
   END AS band FROM games WHERE try_cast(split_part(time_control, '+', 1) AS INT) >= 600
-  AND (termination IS NULL OR termination <> 'Abandoned')),
+  AND (termination IS NULL OR termination <> 'Abandoned') AND game_id NOT IN (
+   SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)),
  r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY seq) AS arrival FROM ok
   WHERE band IS NOT NULL)
 SELECT game_id, band, arrival FROM r
-WHERE arrival <= CASE band WHEN '2000-2200' THEN 60 ELSE 40 END""")
+WHERE arrival <= CASE band WHEN '2000-2200' THEN 970 ELSE 1440 END""")
 def quota_groups(spark, sf):
+    """Known groups are left out before anything is counted."""
     ok = rows.eligible_games(games(spark, sf), 0, 600, "white_elo", "black_elo")
-    band = joins.assign_band(CLUB_QUOTAS, "white_elo", "black_elo")
-    return sm.quota_groups(ok, band, CLUB_QUOTAS, "seq").select(
+    known = read(spark, sf, "lineitem").where("l_linenumber = 7").select(
+        F.col("l_orderkey").alias("game_id"))
+    quotas = [replace(q, want=n) for q, n in zip(CLUB_QUOTAS, (970, 1440))]
+    band = joins.assign_band(quotas, "white_elo", "black_elo")
+    return sm.quota_groups(joins.exclude(ok, known, "game_id"), band, quotas, "seq").select(
         "game_id", "band", F.col("arrival").cast("bigint").alias("arrival"))
 
 

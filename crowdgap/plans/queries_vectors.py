@@ -7,7 +7,7 @@ from crowdgap.functions import vectors as fv
 from crowdgap.functions.measures import rounded
 from crowdgap.operators import clustering as cl
 from crowdgap.operators import vectors as vo
-from crowdgap.operators.ordering import exact_quantiles
+from crowdgap.operators.ordering import exact_quantiles, md5_int, shuffle_key
 from crowdgap.plans.bindings import read
 from crowdgap.plans.registry import query
 
@@ -189,7 +189,7 @@ def shuffle_null(spark, sf):
         "row", (F.col("i") + 1).cast("bigint").alias("i"), rounded("x").alias("x"))
 
 
-_PERMS = 50
+_PERMS = 2000
 
 
 @query("perm_test", f"""
@@ -221,7 +221,7 @@ def perm_test_counts(spark, sf):
 
 @query("kmeans_signature")
 def kmeans_signature(spark, sf):
-    got = cl.kmeans(_vectors(spark, sf), 8, 2, max_iter=20)
+    got = cl.kmeans(_vectors(spark, sf), 8, 12)
     return got.groupBy("cluster").agg(F.count("*").alias("n"),
                                       F.avg((F.col("label") % 2).cast("double")).alias("odd_share"))
 
@@ -266,18 +266,102 @@ def pca_scores(spark, sf):
         "vec_id", F.abs(F.round(F.col("scores")[0], 4)).alias("first"))
 
 
+def _halves(unit):
+    """Control rows in two halves: one gives the origin, the other is scored around it."""
+    half = md5_int(shuffle_key("half", "vec_id")) % 2
+    return unit.withColumns({"control": F.col("vec_id") % 5 == 0, "half": half})
+
+
 @query("basis_r2")
 def basis_r2(spark, sf):
-    unit = _unit(spark, sf)
+    unit = _halves(_unit(spark, sf))
     basis = [r.direction for r in _motifs(spark, sf).collect()]   # one row per motif
-    control = vo.overall_mean(unit.where("vec_id % 5 = 0"), "u")
-    scored = vo.basis_r2(unit, basis, control, "u").withColumn(
-        "grp", F.when(F.col("vec_id") % 5 == 0, "control").otherwise("flagged"))
+    origin = vo.overall_mean(unit.where("control and half = 0"), "u")
+    scored = vo.basis_r2(unit.where("not control or half = 1"), basis, origin, "u").withColumn(
+        "grp", F.when(F.col("control"), "control").otherwise("flagged"))
     middle = exact_quantiles(scored, "r2", [0.5], ["grp"])
     return (scored.groupBy("grp").agg(F.count("*").alias("n"), F.avg("r2").alias("mean_r2"))
             .join(middle.withColumnRenamed("q0", "median_r2"), "grp"))
 
 
+def _two_motifs(spark, sf):
+    rows = _motifs(spark, sf).where("label < 2").orderBy("label").collect()
+    return [r.direction for r in rows]
+
+
+@query("basis_r2_pair", f"""
+WITH {_UNIT}, {_MOTIFS}, h AS (SELECT vec_id, vec_id % 5 = 0 AS control,
+  CAST(concat('0x', substr(md5(concat('half:', vec_id)), 1, 8)) AS BIGINT) % 2 AS half
+  FROM embeddings),
+ zero AS (SELECT i, avg(x) AS x FROM cells JOIN h USING (vec_id) WHERE control AND half = 0
+  GROUP BY i),
+ b1 AS (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM motifs WHERE label = 0),
+ rest AS (SELECT m.i, m.x - b1.x * sum(m.x * b1.x) OVER () AS x FROM motifs m
+  JOIN b1 ON b1.i = m.i WHERE m.label = 1),
+ b2 AS (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM rest),
+ d AS (SELECT c.vec_id, h.control, sum((c.x - z.x) * b1.x) AS p, sum((c.x - z.x) * b2.x) AS q,
+  sum((c.x - z.x) ** 2) AS t FROM cells c JOIN h USING (vec_id) JOIN zero z ON z.i = c.i
+  JOIN b1 ON b1.i = c.i JOIN b2 ON b2.i = c.i WHERE NOT control OR half = 1 GROUP BY ALL)
+SELECT CASE WHEN control THEN 'control' ELSE 'flagged' END AS grp, count(*) AS n,
+ round(avg((p * p + q * q) / t), 6) AS mean_r2 FROM d GROUP BY 1""")
+def basis_r2_pair(spark, sf):
+    unit = _halves(_unit(spark, sf))
+    origin = vo.overall_mean(unit.where("control and half = 0"), "u")
+    scored = vo.basis_r2(unit.where("not control or half = 1"), _two_motifs(spark, sf), origin, "u")
+    return scored.groupBy(F.when(F.col("control"), "control").otherwise("flagged").alias("grp")).agg(
+        F.count("*").alias("n"), rounded(F.avg("r2")).alias("mean_r2"))
+
+
+@query("novelty_pair", f"""
+WITH {_UNIT}, {_MOTIFS}, b AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x
+  FROM motifs WHERE label < 2),
+ p AS (SELECT vec_id, b.label, sum(c.x * b.x) AS along, sum(c.x * c.x) AS len FROM cells c
+  JOIN b ON b.i = c.i GROUP BY ALL),
+ r AS (SELECT vec_id, label, sqrt(greatest(len - along * along, 0)) / (sqrt(len) + 1e-12) AS left_over
+  FROM p)
+SELECT vec_id, round(sum(CASE WHEN label = 0 THEN left_over ELSE -left_over END), 6) + 0.0 AS novelty
+FROM r GROUP BY vec_id""")
+def novelty_pair(spark, sf):
+    crowd, expert = _two_motifs(spark, sf)
+    return vo.novelty(_unit(spark, sf), [expert], [crowd], "u").select(
+        "vec_id", rounded("novelty").alias("novelty"))
+
+
+@query("mixture_of_one", f"""
+WITH {_UNIT}, m AS (SELECT i, var_pop(x) AS v, count(*) AS n FROM cells GROUP BY i)
+SELECT 1 AS k, round(sum(n * (ln(2 * pi() * (v + 1e-6)) + v / (v + 1e-6)))
+ + 2 * count(*) * ln(any_value(n)), 3) AS bic FROM m""")
+def mixture_of_one(spark, sf):
+    """With one component the likelihood has a closed form."""
+    return cl.gmm_bic(_unit(spark, sf), [1], "u").withColumn("bic", F.round("bic", 3))
+
+
+@query("pca_trace", f"""
+WITH {_UNIT} SELECT round(sum(v), 6) AS total, count(*) AS n FROM (SELECT var_samp(x) AS v FROM cells
+ GROUP BY i)""")
+def pca_trace(spark, sf):
+    """The components' variances add up to the data's."""
+    scores = vo.pca_scores(_unit(spark, sf), 64, "u").select(F.posexplode("scores").alias("i", "x"))
+    return scores.groupBy("i").agg(F.var_samp("x").alias("v")).agg(
+        rounded(F.sum("v")).alias("total"), F.count("*").alias("n"))
+
+
+@query("kmeans_sizes", """
+SELECT count(*) AS n, 8::BIGINT AS clusters FROM embeddings""")
+def kmeans_sizes(spark, sf):
+    got = cl.kmeans(_vectors(spark, sf), 8, 12)
+    return got.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+
+
+@query("perm_counts_observed", """
+WITH m AS (SELECT l_suppkey % 8 AS c, avg((l_returnflag = 'A')::INT) AS mu FROM lineitem GROUP BY 1)
+SELECT round(var_samp(mu) * 1000, 6) AS observed_e3, 2000::BIGINT AS permutations FROM m""")
+def perm_counts_observed(spark, sf):
+    return perm_test_counts(spark, sf).select(
+        rounded(F.col("observed") * 1000).alias("observed_e3"),
+        F.col("permutations").cast("bigint").alias("permutations"))
+
+
 @query("leader_clusters")
 def leader_clusters(spark, sf):
     src = _unit(spark, sf).select("vec_id", F.col("u").alias("v"),

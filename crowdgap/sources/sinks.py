@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crowdgap.functions.measures import col
-from crowdgap.session import new_path
 
 ITEM = T.StructType([
     T.StructField("fen", T.StringType()), T.StructField("best", T.StringType()),
@@ -70,10 +69,14 @@ def rewrite_with_map(spark: SparkSession, path: str, mapping: DataFrame, key: st
                      value: str) -> None:
     """Replace ``value`` where the mapping knows the key, then swap the new table in.
 
+    A key with two different values in the mapping is an error; repeats are harmless.
     A table cannot be overwritten while it is read, so the result is written beside it first.
     """
     old = spark.read.parquet(path)
-    fixed = mapping.select(key, col(value).alias("__new"))
+    clash = F.raise_error(F.lit(f"the mapping has several values for one {key}"))
+    fixed = mapping.groupBy(key).agg(F.min(value).alias("__new"), F.max(value).alias("__max"))
+    fixed = fixed.select(key, F.when(F.col("__new") != F.col("__max"), clash).otherwise(
+        F.col("__new")).alias("__new"))
     out = (old.join(fixed, key, "left")
            .withColumn(value, F.coalesce(F.col("__new"), col(value)))
            .select(*old.columns))
@@ -103,8 +106,7 @@ def upsert(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, key: Sequence[str], at: str) -> str:
-    """Write the last version per key to a new place and return it."""
-    target = new_path(spark, "compact")
+def compact(spark: SparkSession, path: str, key: Sequence[str], at: str, target: str) -> str:
+    """Write the last version per key to ``target`` and return it."""
     latest(spark.read.parquet(path), key, at).write.parquet(target)
     return target

@@ -188,7 +188,17 @@ def test_last_write_wins(spark, tmp_path):
     path = str(tmp_path / "s")
     for at, v in ((1.0, "a"), (3.0, "c"), (2.0, "b")):
         sinks.upsert(spark.createDataFrame([("u", 1, at, v)], "code string, concept int, at double, v string"), path)
-    assert spark.read.parquet(sinks.compact(spark, path, ["code", "concept"], "at")).first().v == "c"
+    packed = sinks.compact(spark, path, ["code", "concept"], "at", str(tmp_path / "packed"))
+    assert spark.read.parquet(packed).first().v == "c"
+
+
+def test_a_map_with_repeated_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
+    sinks.rewrite_with_map(spark, path, spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string"), "k", "v")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "x"), (2, "b")]
+    with pytest.raises(Exception, match="several values"):
+        sinks.rewrite_with_map(spark, path, spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"), "k", "v")
 
 
 def test_rewrite_in_place(spark, tmp_path):
