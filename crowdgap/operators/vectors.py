@@ -46,24 +46,37 @@ def nearest_motifs(groups: DataFrame, motifs: DataFrame, motif: str, k: int,
     """Top ``k`` named directions per group vector by cosine (signed, or by absolute value).
 
     The motif list is streamed in bounded pieces; each piece is a row-local product followed by
-    a merge of the best ``k``, so no pair table is ever shuffled.
+    a merge of the best ``k``, so no pair table is ever shuffled. Names and numbers travel with
+    the task, and the plan is cut between pieces, so it does not grow with the motifs.
     """
-    def strength(c):
-        return F.abs(c) if by_size else c
-
-    out = groups.withColumn("motifs", F.array().cast(
-        "array<struct<rank_key:double,motif:string,cosine:double>>"))
+    kind = "array<struct<motif:string,cosine:double>>"
+    out = groups.withColumn("motifs", F.array().cast(kind))
     unit = motifs.select(col(motif).cast("string").alias("m"),
                          l2norm(vector, 0.0).alias("v"))
-    for names, matrix in blocks(unit, "m", "v"):
-        sims = products(matrix)(l2norm(vector, 0.0))
-        labels = F.array(*[F.lit(n) for n in names])
-        fresh = F.zip_with(sims, labels, lambda s, n: F.struct(
-            (-strength(s)).alias("rank_key"), n.alias("motif"), s.alias("cosine")))
-        best = F.slice(F.array_sort(F.concat("motifs", fresh)), 1, k)
-        out = out.withColumn("motifs", best)
-    return out.withColumn("motifs", F.transform("motifs", lambda e: F.struct(
-        e["motif"].alias("motif"), e["cosine"].alias("cosine"))))
+    for i, (names, matrix) in enumerate(blocks(unit, "m", "v")):
+        merge = _merge_best(names, matrix, k, by_size, kind)
+        out = (cut(out) if i else out).withColumn("motifs", merge(l2norm(vector, 0.0), "motifs"))
+    return out
+
+
+def _merge_best(names: list[str], matrix: np.ndarray, k: int, by_size: bool, kind: str):
+    """Pandas UDF: the best ``k`` of a list and of a small matrix's rows; ties by name."""
+    right = np.ascontiguousarray(matrix.T)
+    order = np.argsort(np.asarray(names, dtype=object), kind="stable")
+
+    @F.pandas_udf(kind)
+    def merge(v: pd.Series, old: pd.Series) -> pd.Series:
+        out = []
+        sims = stack(v) @ right if len(v) else []
+        for row, had in zip(sims, old):
+            size = np.abs(row) if by_size else row
+            best = order[np.argsort(-size[order], kind="stable")[:k]]
+            both = [*((e["motif"], e["cosine"]) for e in had), *((names[j], row[j]) for j in best)]
+            both.sort(key=lambda e: (-(abs(e[1]) if by_size else e[1]), e[0]))
+            out.append([{"motif": m, "cosine": float(c)} for m, c in both[:k]])
+        return pd.Series(out, dtype=object)
+
+    return merge
 
 
 def assign_nearest(df: DataFrame, centroids: DataFrame, label: str, vector: str = "embedding",
