@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from crowdgap.llm.registry import query, table
 
 SPACE = "▁"
 CHUNK = 32_768
-REMEMBERED = 600_000        # words, and as many pairs, that a task keeps
+REMEMBERED = 300_000        # words, twice, and as many pairs, that a process keeps
 START, UNKNOWN, HEAD = -1, -2, -3
 NEVER = float("-inf")
 
@@ -73,9 +74,14 @@ class Encoder:
         self.words_split = not any(SPACE in n.lstrip(SPACE) for n in self.number)
         self.least = min(v.scores, default=0) - 10
         self.byte = [v.names.index(f"<0x{b:02X}>") for b in range(256)] if v.bytes else None
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joined = {n[i:i + 2] for n in self.number for i in range(len(n) - 1)}
+        self.pairs: dict[int, dict[int, bool]] = {}     # by the left piece
+        self.n_pairs = 0
         self.word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.size = [len(n) for n in v.names]
+        self.gate = re.compile(f"[^{SPACE}](?={SPACE})")
         self.plain = v.kind == "unigram"
 
     # weights
@@ -120,8 +126,8 @@ class Encoder:
         """
         if right == UNKNOWN:
             return True
-        key = (left + 2) << 32 | right
-        ok = self.pairs.get(key)
+        row = self.pairs.setdefault(left, {})
+        ok = row.get(right)
         if ok is None:
             ok, firsts, _ = self.edges(right)
             if ok and left >= 0:
@@ -134,9 +140,11 @@ class Encoder:
                             if self.v.scores[n] == max(a_taken, b_taken):   # the left one first
                                 names = [self.v.names[left], self.v.names[right]]
                                 return self.merged("".join(names))[0] == names
-            if len(self.pairs) >= REMEMBERED:
+            self.n_pairs += 1
+            if self.n_pairs >= REMEMBERED:
+                self.n_pairs = 0
                 self.pairs.clear()
-            self.pairs[key] = ok
+            row[right] = ok
         return ok
 
     def weight(self, left: int, right: int) -> float:
@@ -156,7 +164,7 @@ class Encoder:
         last = [UNKNOWN] * (end + 1)
         size = [0] * (end + 1)
         best[begin], last[begin] = 0.0, before
-        heads, longest, plain, pairs = self.heads, self.longest, self.plain, self.pairs
+        heads, longest, plain = self.heads, self.longest, self.plain
         alike = 0
         for q in range(begin, end + 1):
             w = best[q]
@@ -186,8 +194,7 @@ class Encoder:
                     if x > best[p]:
                         best[p], last[p], size[p] = x, n, p - q
                 elif not size[p]:           # the only one that fits
-                    ok = pairs.get((before + 2) << 32 | n) if n >= 0 else True
-                    if ok or ok is None and self.fits(before, n):
+                    if n < 0 or self.fits(before, n):
                         best[p], last[p], size[p] = 0.0, n, p - q
                 if n == UNKNOWN and p == q + 1 and text[q:p] not in heads:
                     break
@@ -217,32 +224,41 @@ class Encoder:
 
         With weights of 0 and minus infinity any complete path is the best one.
         """
-        heads, pairs, n = self.heads, self.pairs, len(text)
+        one = self.number.get(text)
+        if one is not None and self.fits(START, one):
+            return [one]
+        get, pairs, size, n = self.heads.get, self.pairs, self.size, len(text)
         ids, starts, dead = [], [], set()
         at, before = 0, START
         while at < n:
             found, p = [], at + 1
-            while p <= n:
-                k = heads.get(text[at:p])
-                if k is None:
-                    break
-                if k >= 0 and p not in dead:
-                    found.append((p, k))
+            while (k := get(text[at:p])) is not None:
+                if k >= 0:
+                    found.append(k)
                 p += 1
-            if not found and text[at] not in self.number and at + 1 not in dead:
-                found.append((at + 1, UNKNOWN))
-            for p, k in reversed(found):
-                ok = True if k < 0 else pairs.get((before + 2) << 32 | k)
-                if ok or ok is None and self.fits(before, k):
+                if p > n:
+                    break
+            row = pairs.get(before) or pairs.setdefault(before, {})
+            while found:
+                k = found.pop()
+                ok = row.get(k)
+                if ok is None:
+                    ok = self.fits(before, k)
+                if ok and not (dead and at + size[k] in dead):
                     ids.append(k)
                     starts.append(at)
-                    at, before = p, k
+                    at, before = at + size[k], k
                     break
             else:
-                dead.add(at)
-                at = starts.pop()
-                ids.pop()
-                before = ids[-1] if ids else START
+                if text[at] not in self.number and at + 1 not in dead:
+                    ids.append(UNKNOWN)
+                    starts.append(at)
+                    at, before = at + 1, UNKNOWN
+                else:
+                    dead.add(at)
+                    at = starts.pop()
+                    ids.pop()
+                    before = ids[-1] if ids else START
         if UNKNOWN in ids:
             ends = [*starts[1:], n]
             return [x for k, a, b in zip(ids, starts, ends)
@@ -262,17 +278,47 @@ class Encoder:
         """The encoding of a marked text, word by word where words are apart."""
         if not self.words_split:
             return self.solve(marked)
-        known, out = self.known, []
-        for word in self.word.findall(marked):
-            ids = known.get(word)
+        return array("i", self.packed(marked)).tolist()
+
+    def packed(self, marked: str) -> bytes:
+        """The encoding as 32-bit numbers, from remembered words."""
+        if not self.words_split:
+            return array("i", self.solve(marked)).tobytes()
+        if SPACE + SPACE in marked or marked[:1] != SPACE:
+            words = self.word.findall(marked)
+        else:
+            words = [SPACE + w for w in marked[1:].split(SPACE)]
+        get, found = self.known.get, []
+        for word in words:
+            ids = get(word)
             if ids is None:
-                ids = self.solve(word)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = ids
-            out += ids
-        return out
+                ids = self.learned(word)
+                get = self.known.get
+            found.append(ids)
+        return b"".join(found)
+
+    def learned(self, word: str) -> bytes:
+        """A word's encoding, remembered from now on.
+
+        Between neighbours that no piece joins every path passes, so such parts are solved apart.
+        """
+        ids = self.older.get(word)
+        if ids is None and not word[1:].isalpha() and len(word) > 1:
+            parts, a = [], 0
+            for i in range(1, len(word)):
+                if word[i - 1:i + 1] not in self.joined:
+                    parts.append(word[a:i])
+                    a = i
+            if a:
+                parts.append(word[a:])
+                ids = b"".join([self.known.get(p) or self.learned(p) for p in parts])
+        if ids is None:
+            ids = array("i", self.solve(word)).tobytes()
+        if len(self.known) >= REMEMBERED:           # the words of late are kept once more
+            self.older, self.known = self.known, {}
+        if len(word) <= 64:
+            self.known[word] = ids
+        return ids
 
     # chunks
 
@@ -292,17 +338,43 @@ class Encoder:
         """States at both ends of a chunk that begins at ``cut`` and ends at ``to``."""
         return [(0, 0, START)] if first else self.states(text, cut), self.states(text, to)
 
+    def gates(self, text: str, cut: int, to: int) -> tuple[int, int] | None:
+        """First and last word start in a chunk: places that every path goes through."""
+        if not self.words_split:
+            return None
+        found = self.gate.search(text, max(cut - 1, 0), to)
+        if found is None:
+            return None
+        last = text.rfind(SPACE, 0, to)
+        while text[last - 1] == SPACE:
+            last -= 1
+        return found.start() + 1, last
+
     def transfer(self, text: str, cut: int, first: bool, to: int) -> np.ndarray:
-        """Best weight from each state at the start to each state at the end."""
+        """Best weight from each state at the start to each state at the end.
+
+        Between the first and the last word start all paths share one weight, so it counts once.
+        """
         left, right = self.ends(text, cut, first, to)
+        gates = self.gates(text, cut, to)
+        stop = gates[0] if gates else to
+        entry, like = [], None
+        for _, begin, before in left:
+            entry.append(self.walk(text, begin, before, stop, like))
+            like = like or entry[-1]
+        if gates:
+            tail = self.walk(text, gates[1], START, to)
+            inner = sum(self.walk(w, 0, START, len(w))[0][-1]
+                        for w in self.word.findall(text[stop:gates[1]])) if self.plain else 0.0
         out = np.full((len(left), len(right)), NEVER)
-        like = None
-        for i, (_, begin, before) in enumerate(left):
-            walk = self.walk(text, begin, before, to, like)
-            like = like or walk
-            for j, (s, _, n) in enumerate(right):
-                if s >= begin and walk[0][s] > NEVER:
-                    out[i, j] = walk[0][s] + self.weight(walk[1][s], n)
+        for j, (s, _, n) in enumerate(right):
+            for i, (_, begin, _) in enumerate(left):
+                if gates:
+                    head, walk, least = entry[i][0][stop] + inner, tail, gates[1]
+                else:
+                    head, walk, least = 0.0, entry[i], begin
+                if s >= least and walk[0][s] > NEVER and head > NEVER:
+                    out[i, j] = head + walk[0][s] + self.weight(walk[1][s], n)
         return out
 
     def trace(self, text: str, cut: int, first: bool, to: int, i: int, j: int) -> list[int]:
@@ -310,7 +382,14 @@ class Encoder:
         left, right = self.ends(text, cut, first, to)
         _, begin, before = left[i]
         s, e, n = right[j]
-        ids = self.back(text, self.walk(text, begin, before, s), begin, s)
+        gates = self.gates(text, cut, to)
+        if gates:
+            stop, last = gates
+            ids = [*self.back(text, self.walk(text, begin, before, stop), begin, stop),
+                   *self.encode(text[stop:last]),
+                   *self.back(text, self.walk(text, last, START, s), last, s)]
+        else:
+            ids = self.back(text, self.walk(text, begin, before, s), begin, s)
         return ids + ([n] if n >= 0 else self.other(text[s:e]))
 
 
@@ -348,6 +427,21 @@ def best_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def numbers(packed: list[bytes | None]) -> pa.Array:
+    """An Arrow list column of packed encodings."""
+    ends = np.cumsum([0, *(len(p) // 4 if p else 0 for p in packed)]).astype(np.int32)
+    values = np.frombuffer(b"".join(p for p in packed if p), np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values),
+                                    mask=pa.array([p is None for p in packed]))
+
+
+def slices(batches, rows: int = 200):
+    """Batches of few rows: lists of Python numbers take many times the room of a column."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
            chunk: int = CHUNK) -> DataFrame:
     """(key, ids) of every row, for the SentencePiece model file at ``model``."""
@@ -357,11 +451,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
 
     def short(batches):
         encoder = ready(vocabulary)
-        for batch in batches:
-            ids = [None if t is None else encoder.encode(encoder.marked(t))
+        for batch in slices(batches):
+            ids = [None if t is None else encoder.packed(encoder.marked(t))
                    for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))],
-                                             ["k", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers(ids)], ["k", "ids"])
 
     small = given.where(F.col("text").isNull() | (F.length("text") < chunk)).mapInArrow(
         short, f"k {kind}, ids array<int>")
@@ -425,7 +518,7 @@ def scan(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
         F.flatten(F.array_sort(F.collect_list(F.struct("k", "ids"))).getField("ids")).alias("ids"))
 
 
-def decode(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, model: str, key: str = "doc_id", column: str = "ids") -> DataFrame:
     """(key, ids, text) of every row."""
     vocabulary = Vocabulary(model)
     kind = encoded.schema[key].dataType.simpleString()
@@ -435,18 +528,18 @@ def decode(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids"
         for name, k in zip(vocabulary.names, vocabulary.kinds):
             body.append(bytes([int(name[1:-1], 16)]) if k == 6 else b"" if k == 3
                         else " ⁇ ".encode() if k == 2 else name.replace(SPACE, " ").encode())
-        for batch in batches:
-            out = []
-            for numbers in batch.column(1).to_pylist():
-                if numbers is None:
-                    out.append(None)
-                    continue
-                text = b"".join([body[i] for i in numbers]).decode("utf-8", "replace")
-                out.append(text[1:] if vocabulary.prefix and text[:1] == " " else text)
+        for batch in slices(batches):
+            out, lists = [], batch.column(1)
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values, np.int32)
+            for i, none in enumerate(lists.is_null().to_pylist()):
+                ids = flat[ends[i]:ends[i + 1]].tolist()
+                text = b"".join(map(body.__getitem__, ids)).decode("utf-8", "replace")
+                text = text[1:] if vocabulary.prefix and text[:1] == " " else text
+                out.append(None if none else text)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())],
                                              [key, "ids", "text"])
 
-    return encoded.select(key, F.col(ids).alias("ids")).mapInArrow(
+    return encoded.select(key, F.col(column).alias("ids")).mapInArrow(
         run, f"`{key}` {kind}, ids array<int>, text string")
 
 
