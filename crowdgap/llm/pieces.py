@@ -37,7 +37,7 @@ from crowdgap.llm.registry import query, table
 
 SPACE = "▁"
 CHUNK = 32_768
-REMEMBERED = 300_000        # words, twice, and as many pairs, that a process keeps
+REMEMBERED = 250_000        # words, twice, and as many pairs, that a process keeps
 START, UNKNOWN, HEAD = -1, -2, -3
 NEVER = float("-inf")
 
@@ -468,7 +468,7 @@ def scan(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
     """(name, ids) of long texts: cut, transfer, combine, trace back."""
     def cut(batches):
         encoder = ready(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 8):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, part, a, b in chunks_of(encoder.marked(text), chunk, encoder.longest):
                     yield pa.RecordBatch.from_pylist(
@@ -482,7 +482,7 @@ def scan(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
 
     def matrices(batches):
         encoder = ready(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 8):
             rows = batch.to_pylist()
             got = [encoder.transfer(r["part"], r["a"], r["k"] == 0, r["b"]) for r in rows]
             yield pa.RecordBatch.from_arrays(
@@ -504,7 +504,7 @@ def scan(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
 
     def trace(batches):
         encoder = ready(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 8):
             rows = batch.to_pylist()
             ids = [encoder.trace(r["part"], r["a"], r["k"] == 0, r["b"], r["i"], r["j"])
                    for r in rows]
