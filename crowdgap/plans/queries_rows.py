@@ -230,13 +230,15 @@ WITH {MASTER}, g AS (SELECT batch % 10 AS gid, best, count(*) AS n,
   round(avg((ply % 2 = 0)::INT) + 0.3, 2) AS quiet, round(avg((ply <= 2)::INT), 2) AS pawn,
   round(avg((ply = 7)::INT) * 2, 2) AS retreat, round(avg((ply = 5)::INT) * 3, 2) AS endgame,
   round(avg(p4), 2) AS c_sac, round(avg(p2), 2) AS c_king, round(avg(p1) - 0.04, 2) AS c_int,
+  round(avg(p3), 2) AS c_def, round(avg(p3) - 0.1, 2) AS c_clear,
   round(avg(found::INT), 2) AS found, round(avg(coalesce(cost, 0)), 2) AS cost
   FROM master GROUP BY 1, 2)
 SELECT gid, best, CASE WHEN c_sac > 0.3 AND quiet > 0.75 THEN 'The unpaid sacrifice'
-  WHEN c_king > 0.35 THEN 'Walking into the fire' WHEN best = 'defensiveMove' THEN 'Cold defence'
+  WHEN c_king > 0.35 THEN 'Walking into the fire' WHEN c_def >= greatest(c_sac, c_king, c_int, c_clear) OR (c_def > 0.15 AND quiet > 0.75)
+   THEN 'Cold defence'
   WHEN pawn > 0.28 AND quiet > 0.8 THEN 'The pawn that isn''t urgent'
   WHEN retreat > 0.3 THEN 'Backwards on purpose' WHEN endgame > 0.4 THEN 'Endgame against instinct'
-  WHEN c_int > 0.18 THEN 'Order of operations' ELSE concat('Quiet ', best, ' play') END AS name,
+  WHEN c_int > 0.18 OR c_clear > 0.18 THEN 'Order of operations' ELSE concat('Quiet ', best, ' play') END AS name,
   concat('Concept ', gid + 1) AS label,
   concat(n, ' positions, mostly ', best, '. ', printf('%.0f', quiet * 100),
    '% of the moves are quiet — neither capture nor check — and the piece moved is most often a ',
@@ -257,13 +259,17 @@ def family_names(spark, sf):
         F.round(share("ply = 7") * 2, 2).alias("retreat"),
         F.round(share("ply = 5") * 3, 2).alias("endgame"), F.round(F.avg("p4"), 2).alias("c_sac"),
         F.round(F.avg("p2"), 2).alias("c_king"), F.round(F.avg("p1") - 0.04, 2).alias("c_int"),
+        F.round(F.avg("p3"), 2).alias("c_def"), F.round(F.avg("p3") - 0.1, 2).alias("c_clear"),
         F.round(share("found"), 2).alias("found"),
         F.round(F.avg(F.coalesce("cost", F.lit(0))), 2).alias("cost"))
-    motifs = F.create_map(F.lit("sacrifice"), F.col("c_sac"), F.lit("exposedKing"),
-                          F.col("c_king"), F.lit("intermezzo"), F.col("c_int"))
+    columns = {"sacrifice": "c_sac", "exposedKing": "c_king", "intermezzo": "c_int",
+               "defensiveMove": "c_def", "clearance": "c_clear"}
+    motifs = F.create_map(*[x for n, c in columns.items() for x in (F.lit(n), F.col(c))])
+    others = F.greatest("c_sac", "c_king", "c_int", "c_clear")
+    nearest = F.when(F.col("c_def") >= others, "defensiveMove").otherwise("another")
     return g.select(
         "gid", "best",
-        m.family_name(motifs, "best", "best", "quiet", "pawn", "retreat", "endgame").alias("name"),
+        m.family_name(motifs, nearest, "best", "quiet", "pawn", "retreat", "endgame").alias("name"),
         m.neutral_label("gid").alias("label"),
         m.neutral_gloss("n", "best", "quiet", "best", F.lit("intermezzo"), "c_int", "found",
                         "cost").alias("gloss"))
@@ -274,10 +280,12 @@ WITH {MASTER}, v AS (SELECT batch, avg(p4) - 0.2 AS d, avg(flagged::INT) * 5 AS
   FROM master GROUP BY batch)
 SELECT batch, CASE WHEN d > 0.02 THEN 'RISING' WHEN d < -0.02 THEN 'FALLING' ELSE 'FLAT' END
   AS trend, CASE WHEN a >= 0.6 THEN 'stable' WHEN a >= 0.4 THEN 'moderate' ELSE 'unstable' END
-  AS stability, a < 0.05 AS significant FROM v""")
+  AS stability, a < 0.05 AS significant,
+  CASE WHEN d > 0.01 THEN 'survives' ELSE 'does not survive' END AS gain FROM v""")
 def verdicts(spark, sf):
     v = master(spark, sf).groupBy("batch").agg((F.avg("p4") - 0.2).alias("d"),
                                                (m.mean_of("flagged") * 5).alias("a"))
     return v.select("batch", m.verdict_trend("d").alias("trend"),
                     m.verdict_stability("a").alias("stability"),
-                    m.verdict_significant("a").alias("significant"))
+                    m.verdict_significant("a").alias("significant"),
+                    m.verdict_gain("d").alias("gain"))
