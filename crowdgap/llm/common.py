@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crowdgap.session import materialise
 
-__all__ = ["materialise", "texts", "mix", "byte_table", "powers", "code_points", "text_digest", "in_fold",
+__all__ = ["materialise", "texts", "mix", "byte_table", "powers", "code_points", "text_digest", "in_fold", "small",
            "starts_of", "hash_share"]
 
 
@@ -30,6 +30,20 @@ def texts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def small(batches, column: int, limit: int = 1 << 22):
+    """Cut record batches so that each has about ``limit`` bytes of text, or one row.
+
+    The arrays that a task makes of a text are many times its size.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        part = np.cumsum(np.asarray(size, np.int64)) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish 64-bit hashes so that every bit depends on every input bit."""
     h = h ^ (h >> np.uint64(32))

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import carried, in_fold, texts
+from crowdgap.llm.common import carried, in_fold, small, texts
 from crowdgap.llm.registry import query, table
 
 MAX_ROWS, LANDMARKS, MAX_NGRAMS = 2_000, 200, 60_000
 RIDGE = 1e-3
 PIECE, ROWS = 1 << 20, 64
+# First codes of the 2- and 3-grams; 1-grams are bytes, and folded texts have no byte 0.
+TWO, THREE = np.uint32(1 << 8), np.uint32((1 << 8) + (1 << 16))
 
 
 def fold_table() -> np.ndarray:
@@ -52,9 +54,9 @@ def ngram_codes(piece: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
     b = np.zeros(len(piece) + 2, np.uint32)
     b[:-2] = piece
     one = b[:-2]
-    two = np.where(left > 1, (np.uint32(1) << np.uint32(24)) | (one << np.uint32(8)) | b[1:-1], 0)
-    three = np.where(left > 2, (np.uint32(1) << np.uint32(25)) | (one << np.uint32(16))
-                     | (b[1:-1] << np.uint32(8)) | b[2:], 0)
+    pair = (one << np.uint32(8)) | b[1:-1]
+    two = np.where(left > 1, TWO + pair, 0)
+    three = np.where(left > 2, THREE + ((pair << np.uint32(8)) | b[2:]), 0)
     return [one, two, three]
 
 
@@ -101,8 +103,8 @@ class Model:
         self.langs, self.codes, self.weights = langs, codes, weights
 
     def tables(self) -> np.ndarray:
-        """Number of each known code, 0 for others; 64 K pairs and 16 M triples side by side."""
-        out = np.zeros(3 << 24, np.uint16)
+        """Number of each known code, 0 for others."""
+        out = np.zeros(int(THREE) + (1 << 24), np.uint16)
         out[self.codes] = np.arange(1, len(self.codes) + 1)
         return out
 
@@ -180,7 +182,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                          < (share * 1_000_000))
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             seen = presence(*texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([c.tobytes() for c in seen],
@@ -200,7 +202,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     def run(batches):
         number = model.tables()
-        for batch in batches:
+        for batch in small(batches, 0):
             raw, at = texts(batch.column(0))
             if model.langs:
                 s = model.scores(raw, at, number)

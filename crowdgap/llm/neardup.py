@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import materialise, mix, powers, texts, words_of
+from crowdgap.llm.common import materialise, mix, powers, small, texts, words_of
 from crowdgap.llm.registry import query, table
 
 WORDS, SIMILAR = 5, 0.8
@@ -118,7 +118,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, digest, keys) of every row; keys are null without a word."""
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 2):
             lines = map(shingles, each_text(batch.column(2)))
             keys = [band_keys(h).view(np.int64).tolist() if len(h) else None for h in lines]
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +136,7 @@ def details(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     ``line`` holds the labelled shingles in text order, four bytes each.
     """
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             keys, bits, lines = [], [], []
             for marks in each_text(batch.column(1)):
                 h = shingles(marks)

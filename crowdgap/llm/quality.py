@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgap.llm.common import (byte_pieces, carried, hash_share, in_fold, rows_of, texts,
-                                 words_of)
+from crowdgap.llm.common import (byte_pieces, carried, hash_share, in_fold, rows_of, small,
+                                 texts, words_of)
 from crowdgap.llm.registry import query, table
 
 MAX_ROWS = 20_000
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(key, text).join(F.broadcast(chosen), key)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             x = statistics(*texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))],
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text"
     given = carried(docs, key, text, keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 0):
             s = model.score(statistics(*texts(batch.column(0))))
             columns = batch.columns if keep else batch.columns[1:]
             yield pa.RecordBatch.from_arrays(

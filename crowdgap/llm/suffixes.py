@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crowdgap.llm.common import byte_table, carried, mix, powers, rows_of, texts
+from crowdgap.llm.common import byte_table, carried, mix, powers, rows_of, small, texts
 from crowdgap.llm.registry import query, table
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1                    # anchors that a string can have
-PIECE, SHARD = 1 << 20, 1 << 22
+PIECE, SHARD = 1 << 20, 1 << 20
 LAST = 2 ** 63 - 1
 BASE = 0x9E3779B97F4A7C15
 ROW = "anchor bigint, block bigint, doc bigint, pack bigint, known boolean"
@@ -131,7 +131,7 @@ def instances(docs: DataFrame) -> DataFrame:
     """
     def run(batches):
         finder = Blocks()
-        for batch in batches:
+        for batch in small(batches, 2, 1 << 24):
             raw, at = texts(batch.column(2))
             doc, tag = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
             found = list(finder.find(raw, at))
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "doc", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "pack")).alias("list"))
 
     def bodies(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             raw, at = texts(batch.column(1))
             lists = batch.column(2)
             sizes = np.diff(np.asarray(lists.offsets))
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in small(batches, 0):
             raw, at = texts(batch.column(0))
             out = []
             for i, listed_ in enumerate(batch.column(1).to_pylist()):
