@@ -20,8 +20,9 @@ are sure to be cut alike:
    shards are merged by binary search in the shards' sorted distinct strings.
 
 Nulls count as empty texts; texts below LENGTH bytes lose nothing. Null keys come after all
-others. Rows that repeat a key and text are one document; rows of equal key with different texts
-are different documents, ordered by a hash of the text. Very long texts are cut into pieces, which
+others. Rows that repeat a key and text are one document and are worked on once; the result is
+joined back to each of them. Rows of equal key with different texts are different documents, told
+apart and ordered by a 64-bit digest of the text. Very long texts are cut into pieces, which
 only makes more blocks. An empty table gives no rows.
 """
 
@@ -43,16 +44,16 @@ SPAN = LENGTH - GRAM + 1                    # anchors that a string can have
 PIECE, SHARD = 1 << 20, 1 << 20
 LAST = 2 ** 63 - 1
 BASE = 0x9E3779B97F4A7C15
-ROW = "anchor bigint, block bigint, doc bigint, pack bigint, known boolean"
+ROW = "anchor bigint, block bigint, doc bigint, digest bigint, pack bigint, known boolean"
 
 
 def order_of(key) -> Column:
     return F.coalesce(key.cast("bigint"), F.lit(LAST))
 
 
-def tag_of(text) -> Column:
-    """15 bits that tell texts of one key apart."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 49)
+def digest_of(text) -> Column:
+    """64 bits that tell texts of one key apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def gram_hashes(raw: np.ndarray, table_: np.ndarray) -> np.ndarray:
@@ -124,39 +125,38 @@ def runs(row, lo, hi):
 
 
 def instances(docs: DataFrame) -> DataFrame:
-    """Blocks of every text (``ROW``): the first of equal ones in a batch; the rest as spans.
+    """Blocks of every document (``ROW``): the first of equal ones in a batch; the rest as spans.
 
-    ``pack`` holds tag, start and number of starts. Rows with ``known`` are covered spans, their
+    Documents are distinct by (doc, digest). ``pack`` holds start and number of starts. Rows with ``known`` are covered spans, their
     end in ``block``.
     """
     def run(batches):
         finder = Blocks()
         for batch in small(batches, 2, 1 << 24):
             raw, at = texts(batch.column(2))
-            doc, tag = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
+            doc, digest = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
             found = list(finder.find(raw, at))
             if not found:
                 continue
             row, start, count, anchor, block = (np.concatenate(x) for x in zip(*found))
             start = start - at[row]
-            pack = (tag[row] << 48) | (start << 8) | count
-            order = np.lexsort((pack, doc[row], block, anchor))
-            a, b, d, p = anchor[order], block[order], doc[row][order], pack[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            keep = (d == d[lead]) & (p == p[lead])          # repeats of the very first stay first
+            pack = (start << 8) | count
+            order = np.lexsort((pack, digest[row], doc[row], block, anchor))
+            a, b = anchor[order], block[order]
+            keep = np.ones(len(a), bool)
+            keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             gone = order[~keep]
             r, lo, hi = runs(row[gone], start[gone], start[gone] + count[gone] - 1 + LENGTH)
             order = order[keep]
             known = np.concatenate((np.zeros(len(order), bool), np.ones(len(r), bool)))
             columns = [np.concatenate(x) for x in (
-                (anchor[order], mix(doc[r].view(np.uint64)).view(np.int64)), (block[order], hi),
-                (doc[row[order]], doc[r]), (pack[order], (tag[r] << 48) | (lo << 8)))]
+                (anchor[order], mix((doc[r] ^ digest[r]).view(np.uint64)).view(np.int64)),
+                (block[order], hi), (doc[row[order]], doc[r]), (digest[row[order]], digest[r]),
+                (pack[order], lo << 8))]
             for i in range(0, len(known), 100_000):
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c[i:i + 100_000]) for c in columns),
-                     pa.array(known[i:i + 100_000])], ["anchor", "block", "doc", "pack", "known"])
+                     pa.array(known[i:i + 100_000])], ["anchor", "block", "doc", "digest", "pack", "known"])
 
     return docs.mapInArrow(run, ROW)
 
@@ -242,21 +242,19 @@ def equal_strings(raw: np.ndarray, begin: np.ndarray, size: np.ndarray):
 class Shard:
     """Blocks with their bytes; gives each string's class and earliest start."""
 
-    def __init__(self, docs, packs, bodies):
+    def __init__(self, docs, digests, packs, bodies):
         size = np.array([len(b) for b in bodies], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         self.raw = np.frombuffer(b"".join(bodies), np.uint8)
-        self.doc, self.pack = docs, packs
+        self.doc, self.digest = docs, digests
         place, classes = equal_strings(self.raw, self.begin, size)
         which = np.searchsorted(self.begin, place, side="right") - 1
-        at = packs[which] + ((place - self.begin[which]) << 8)       # tag and start
-        first = np.lexsort((at >> 8, docs[which], classes))
+        at = (packs[which] >> 8) + place - self.begin[which]
+        first = np.lexsort((at, digests[which], docs[which], classes))
         place, classes, which, at = place[first], classes[first], which[first], at[first]
         new = np.ones(len(place), bool)
         new[1:] = classes[1:] != classes[:-1]
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        self.place, self.which, self.at = place, which, at >> 8
-        self.first = new | ((docs[which] == docs[which[lead]]) & (self.at == self.at[lead]))
+        self.place, self.which, self.at, self.first = place, which, at, new.copy()
         self.lead = np.flatnonzero(new)
 
     def strings(self) -> np.ndarray:
@@ -269,31 +267,31 @@ class Shard:
         at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
         hit = np.flatnonzero(theirs[at] == mine)
         i, j = self.lead[hit], other.lead[at[hit]]
-        d, e = self.doc[self.which[i]], other.doc[other.which[j]]
-        late = (e < d) | ((e == d) & (other.at[j] < self.at[i]))
+        w, v = self.which[i], other.which[j]
+        d, e = self.doc[w], other.doc[v]
+        f, g = self.digest[w], other.digest[v]
+        late = (e < d) | ((e == d) & ((g < f) | ((g == f) & (other.at[j] < self.at[i]))))
         self.first[i[late]] = False
 
     def covered(self):
-        """Spans of the strings that are not first: (doc, tag, start, end)."""
+        """Spans of the strings that are not first: (doc, digest, start, end)."""
         gone = ~self.first
-        w, at = self.which[gone], self.at[gone]
-        start = at & ((1 << 40) - 1)
-        row, lo, hi = runs(w, start, start + LENGTH)
-        return self.doc[row], self.pack[row] >> 48, lo, hi
+        row, lo, hi = runs(self.which[gone], self.at[gone], self.at[gone] + LENGTH)
+        return self.doc[row], self.digest[row], lo, hi
 
 
 def search_shards(blocks: DataFrame) -> DataFrame:
-    """(doc, tag, lo, hi) of repeated strings among blocks (anchor, doc, pack, body)."""
+    """(doc, digest, lo, hi) of repeated strings among blocks (anchor, doc, digest, pack, body)."""
     def group(parts):
         """One or more whole anchors; several shards only if one anchor needs them."""
-        docs = np.concatenate([p[0] for p in parts])
-        packs = np.concatenate([p[1] for p in parts])
-        bodies = [b for p in parts for b in p[2]]
+        docs, digests, packs = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        bodies = [b for p in parts for b in p[3]]
         ends = np.cumsum([len(b) for b in bodies])
         cuts = np.unique(np.searchsorted(ends, np.arange(1, ends[-1] // (2 * SHARD) + 1)
                                          * 2 * SHARD))
         edges = [0, *[c for c in cuts.tolist() if 0 < c < len(bodies)], len(bodies)]
-        shards = [Shard(docs[a:b], packs[a:b], bodies[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        shards = [Shard(docs[a:b], digests[a:b], packs[a:b], bodies[a:b])
+                  for a, b in zip(edges[:-1], edges[1:])]
         if len(shards) > 1:
             strings = [s.strings() for s in shards]
             for i, s in enumerate(shards):
@@ -304,27 +302,27 @@ def search_shards(blocks: DataFrame) -> DataFrame:
             columns = s.covered()
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                                 ["doc", "tag", "lo", "hi"])
+                                                 ["doc", "digest", "lo", "hi"])
 
     def run(batches):
         parts, held, last = [], 0, None
         for batch in batches:
             anchor = np.asarray(batch.column(0), np.int64)
-            doc, pack = (np.asarray(batch.column(i), np.int64) for i in (1, 2))
-            bodies = batch.column(3).to_pylist()
+            doc, digest, pack = (np.asarray(batch.column(i), np.int64) for i in (1, 2, 3))
+            bodies = batch.column(4).to_pylist()
             edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(anchor)]):
                 if held >= SHARD and anchor[a] != last:
                     yield from group(parts)
                     parts, held = [], 0
                 last = anchor[a]
-                parts.append((doc[a:b], pack[a:b], bodies[a:b]))
+                parts.append((doc[a:b], digest[a:b], pack[a:b], bodies[a:b]))
                 held += sum(map(len, bodies[a:b]))
         if parts:
             yield from group(parts)
 
     return blocks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        run, "doc bigint, tag bigint, lo bigint, hi bigint")
+        run, "doc bigint, digest bigint, lo bigint, hi bigint")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -336,52 +334,51 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     given = carried(docs, key, text, keep)
     named = given.select(order_of(F.col("row").getField(key)).alias("doc"),
-                         tag_of(F.col("text")).alias("tag"), "text", "row")
-    dealt = instances(named.select("doc", "tag", "text")).repartition("anchor")
-    same = Window.partitionBy("anchor", "block").orderBy("doc", "pack")
+                         digest_of(F.col("text")).alias("digest"), "text", "row")
+    # all that reads the texts takes the columns of this one exchange, so that they are shuffled once
+    once = named.select("doc", "digest", "text").dropDuplicates(["doc", "digest"])
+    dealt = instances(once).repartition("anchor")
+    same = Window.partitionBy("anchor", "block").orderBy("doc", "digest", "pack")
     group = Window.partitionBy("anchor")
     judged = dealt.withColumn("rank", F.rank().over(same)).withColumn(
         "low", F.min("block").over(group)).withColumn("high", F.max("block").over(group))
-    tag = F.shiftrightunsigned("pack", 48)
-    start = F.shiftrightunsigned("pack", 8).bitwiseAND(F.lit((1 << 40) - 1))
+    start = F.shiftrightunsigned("pack", 8)
     count = F.col("pack").bitwiseAND(F.lit(255))
     copies = judged.where("known or rank > 1").select(
-        "doc", tag.alias("tag"), start.alias("lo"),
+        "doc", "digest", start.alias("lo"),
         F.when(F.col("known"), F.col("block")).otherwise(start + count - 1 + LENGTH).alias("hi"))
-    open_ = judged.where("not known and rank = 1 and low < high").groupBy(
-        "doc", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "pack")).alias("list"))
+    open_ = judged.where("not known and rank = 1 and low < high").groupBy("doc", "digest").agg(
+        F.collect_list(F.struct("anchor", "pack")).alias("list"))
 
     def bodies(batches):
-        for batch in small(batches, 1):
-            raw, at = texts(batch.column(1))
-            lists = batch.column(2)
+        for batch in small(batches, 2):
+            raw, at = texts(batch.column(2))
+            lists = batch.column(3)
             sizes = np.diff(np.asarray(lists.offsets))
             flat = lists.flatten()
             anchor, pack = (np.asarray(flat.field(i), np.int64) for i in (0, 1))
             row = np.repeat(np.arange(batch.num_rows), sizes)
-            lo = at[row] + ((pack >> 8) & ((1 << 40) - 1))
+            lo = at[row] + (pack >> 8)
             hi = lo + (pack & 255) - 1 + LENGTH
-            doc = np.asarray(batch.column(0), np.int64)[row]
+            doc, digest = (np.asarray(batch.column(i), np.int64)[row] for i in (0, 1))
             for i in range(0, len(row), 20_000):
                 part = [raw[a:b].tobytes() for a, b in zip(lo[i:i + 20_000].tolist(),
                                                            hi[i:i + 20_000].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[i:i + 20_000]), pa.array(doc[i:i + 20_000]),
-                     pa.array(pack[i:i + 20_000]), pa.array(part, pa.binary())],
-                    ["anchor", "doc", "pack", "body"])
-
-    # both joins take all columns of one exchange, so that the texts are shuffled once
-    placed = named.repartition("doc", "tag")
-    listed = placed.join(open_, ["doc", "tag"]).select("doc", "text", "list", "row")
-    blocks = listed.mapInArrow(bodies, "anchor bigint, doc bigint, pack bigint, body binary")
-    spans = copies.union(search_shards(blocks)).groupBy("doc", "tag").agg(
+                    [*(pa.array(c[i:i + 20_000]) for c in (anchor, doc, digest, pack)),
+                     pa.array(part, pa.binary())], ["anchor", "doc", "digest", "pack", "body"])
+
+    listed = once.join(open_, ["doc", "digest"]).select("doc", "digest", "text", "list")
+    blocks = listed.mapInArrow(
+        bodies, "anchor bigint, doc bigint, digest bigint, pack bigint, body binary")
+    spans = copies.union(search_shards(blocks)).groupBy("doc", "digest").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches):
-        for batch in small(batches, 0):
-            raw, at = texts(batch.column(0))
+        for batch in small(batches, 2):
+            raw, at = texts(batch.column(2))
             out = []
-            for i, listed_ in enumerate(batch.column(1).to_pylist()):
+            for i, listed_ in enumerate(batch.column(3).to_pylist()):
                 body = raw[at[i]:at[i + 1]]
                 lo, hi = (np.array([s[c] for s in listed_ or ()], np.int64) for c in ("lo", "hi"))
                 _, lo, hi = runs(np.zeros(len(lo), np.int64), lo, hi)
@@ -399,12 +396,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 out.append((len(body), int((hi - lo).sum()), len(lo), left))
             columns = [pa.array([r[i] for r in out], pa.string() if i == 3 else pa.int64())
                        for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(2)],
-                                             ["n_bytes", "n_removed", "n_spans", "left", "row"])
-
-    done = placed.join(spans, ["doc", "tag"], "left").select("text", "spans", "row").mapInArrow(
-        cut, "n_bytes bigint, n_removed bigint, n_spans bigint, left string, "
-             f"row {given.schema['row'].dataType.simpleString()}")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *columns],
+                ["doc", "digest", "n_bytes", "n_removed", "n_spans", "left"])
+
+    results = once.join(spans, ["doc", "digest"], "left").select(
+        "doc", "digest", "text", "spans").mapInArrow(
+        cut, "doc bigint, digest bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+             "left string")
+    done = named.select("doc", "digest", "row").join(results.hint("merge"), ["doc", "digest"])
     if keep:
         return done.select(F.col("left").alias("text"), "row", "n_removed")
     return done.select(F.col("row").getField(key).alias(key), "n_bytes", "n_removed", "n_spans",

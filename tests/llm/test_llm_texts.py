@@ -155,6 +155,39 @@ def test_shards_merge_by_binary_search(spark, monkeypatch, shard):
     assert sorted(tuple(r) for r in got.collect()) == repeats_brute(rows)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_of_one_key_stay_apart(spark, key):
+    """1,000 texts on one key: each but the first loses the passage, none a byte of its own."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(120))
+    own = [["".join(rng.choice("ABCDEFGHIJKLM") for _ in range(rng.randint(40, 400)))
+            for _ in range(2)] for _ in range(1000)]
+    rows = [(key, a + passage + b) for a, b in own]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted((r.n_spans, r.n_removed) for r in got)
+    assert removed[0] == (0, 0) and len(got) == 1000
+    assert all(spans == 1 and 120 <= n <= 128 for spans, n in removed[1:])
+
+
+def test_rows_that_repeat_are_worked_on_once(spark, monkeypatch):
+    seen, plain = [], suffixes.instances
+
+    def counted(docs, *more):
+        seen.append(docs.count())
+        return plain(docs, *more)
+
+    monkeypatch.setattr(suffixes, "instances", counted)
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(500))
+    once = [(1, base[:250] + "x" + base[251:]), (1, base), (2, base), (3, base[100:])]
+    docs = spark.createDataFrame([r for r in once for _ in range(50)], "doc_id long, text string")
+    got = [tuple(r) for r in suffixes.remove_repeats(docs.repartition(4)).collect()]
+    assert max(seen) == len(once)
+    assert len(got) == 200 and len(set(got)) == 4 and all(got.count(r) == 50 for r in set(got))
+    for doc, size in ((2, 500), (3, 400)):
+        assert {r[1:3] for r in got if r[0] == doc} == {(size, size)}
+
+
 def test_suffix_order_and_common_prefixes():
     rng = random.Random(9)
     for text in ("banana" * 20, "a" * 150, "".join(rng.choice("ab") for _ in range(400)), "x"):
