@@ -10,7 +10,9 @@ are sure to be cut alike:
 1. Each string of LENGTH bytes has an anchor: of the GRAM-byte strings in it the one with the
    smallest hash (of equal ones the leftmost). Equal strings have equal anchors. The consecutive
    starts in a text with the same anchor form a block, about 135 bytes for 35 starts.
-2. Blocks are dealt by their anchor. Equal blocks collapse into their first occurrence, inside a
+2. Blocks are dealt by their anchor, those of a frequent anchor (more than about SHARD bytes of
+   different blocks, estimated from one text in SAMPLE) also by the block's hash, to parts of
+   about SHARD bytes on different tasks. Equal blocks collapse into their first occurrence, inside a
    batch before the shuffle, so a passage that a third of all texts share is one row for a batch.
    Later occurrences are covered whole. A block whose anchor occurs in no other block is done.
 3. What is left, different blocks with a common anchor, is read and packed into shards of about
@@ -18,6 +20,9 @@ are sure to be cut alike:
    doubled, only in groups that are not yet sorted), common prefixes by Kasai's rule (run over all
    blocks of the shard side by side) and so the classes of equal strings. Groups that need several
    shards are merged by binary search in the shards' sorted distinct strings.
+4. Each part of a frequent anchor emits the first start of each of its strings with a 128-bit hash
+   of the string. A shuffle by that hash settles equal strings of different parts; a string has a
+   row for each part at most. The estimate decides only where work is done, not its result.
 
 Nulls count as empty texts; texts below LENGTH bytes lose nothing. Null keys come after all
 others. Rows that repeat a key and text are one document and are worked on once; the result is
@@ -41,10 +46,11 @@ from crowdgap.llm.registry import query, table
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1                    # anchors that a string can have
-PIECE, SHARD = 1 << 20, 1 << 20
+PIECE, SHARD, SAMPLE = 1 << 20, 1 << 20, 64
+BLOCK = 135                                 # bytes of a usual block
 LAST = 2 ** 63 - 1
 BASE = 0x9E3779B97F4A7C15
-ROW = "anchor bigint, block bigint, doc bigint, digest bigint, pack bigint, known boolean"
+ROW = "anchor bigint, part int, block bigint, doc bigint, digest bigint, pack bigint"
 
 
 def order_of(key) -> Column:
@@ -124,11 +130,27 @@ def runs(row, lo, hi):
     return row[new], lo[new], (reach - step)[ends]
 
 
-def instances(docs: DataFrame) -> DataFrame:
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with more than about SHARD bytes of different blocks, in order, and their parts.
+
+    One text in SAMPLE is looked at; at least two different blocks are seen of each.
+    """
+    none = np.zeros(0, np.int64)
+    some = docs.where(F.pmod("digest", F.lit(SAMPLE)) == 0).dropDuplicates(["digest"])
+    seen = instances(some, (none, none)).where(F.col("pack").bitwiseAND(F.lit(255)) > 0)
+    least = max(2, -(-SHARD // (BLOCK * SAMPLE)))
+    found = sorted(tuple(r) for r in seen.select("anchor", "block").distinct().groupBy(
+        "anchor").count().where(F.col("count") >= least).collect())
+    anchor, count = np.array(found, np.int64).reshape(-1, 2).T
+    return anchor, np.maximum(2, -(-count * SAMPLE * BLOCK // SHARD))
+
+
+def instances(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Blocks of every document (``ROW``): the first of equal ones in a batch; the rest as spans.
 
-    Documents are distinct by (doc, digest). ``pack`` holds start and number of starts. Rows with ``known`` are covered spans, their
-    end in ``block``.
+    Documents are distinct by (doc, digest). ``pack`` holds start and number of starts; rows without
+    starts are covered spans, their end in ``block``. ``part`` is from 1 on for the anchors that
+    are there ``often``, else 0.
     """
     def run(batches):
         finder = Blocks()
@@ -148,15 +170,21 @@ def instances(docs: DataFrame) -> DataFrame:
             gone = order[~keep]
             r, lo, hi = runs(row[gone], start[gone], start[gone] + count[gone] - 1 + LENGTH)
             order = order[keep]
-            known = np.concatenate((np.zeros(len(order), bool), np.ones(len(r), bool)))
+            part = np.zeros(len(order), np.int64)
+            if len(often[0]):
+                place = np.minimum(np.searchsorted(often[0], anchor[order]), len(often[0]) - 1)
+                salt = mix(block[order].view(np.uint64)) % often[1][place].astype(np.uint64)
+                part = np.where(often[0][place] == anchor[order], salt.astype(np.int64) + 1, 0)
+            part = np.concatenate((part, np.zeros(len(r), np.int64))).astype(np.int32)
             columns = [np.concatenate(x) for x in (
                 (anchor[order], mix((doc[r] ^ digest[r]).view(np.uint64)).view(np.int64)),
                 (block[order], hi), (doc[row[order]], doc[r]), (digest[row[order]], digest[r]),
                 (pack[order], lo << 8))]
-            for i in range(0, len(known), 100_000):
+            columns.insert(1, part)
+            for i in range(0, len(part), 100_000):
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c[i:i + 100_000]) for c in columns),
-                     pa.array(known[i:i + 100_000])], ["anchor", "block", "doc", "digest", "pack", "known"])
+                    [pa.array(c[i:i + 100_000]) for c in columns],
+                    ["anchor", "part", "block", "doc", "digest", "pack"])
 
     return docs.mapInArrow(run, ROW)
 
@@ -242,11 +270,11 @@ def equal_strings(raw: np.ndarray, begin: np.ndarray, size: np.ndarray):
 class Shard:
     """Blocks with their bytes; gives each string's class and earliest start."""
 
-    def __init__(self, docs, digests, packs, bodies):
+    def __init__(self, parts, docs, digests, packs, bodies):
         size = np.array([len(b) for b in bodies], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         self.raw = np.frombuffer(b"".join(bodies), np.uint8)
-        self.doc, self.digest = docs, digests
+        self.part, self.doc, self.digest = parts, docs, digests
         place, classes = equal_strings(self.raw, self.begin, size)
         which = np.searchsorted(self.begin, place, side="right") - 1
         at = (packs[which] >> 8) + place - self.begin[which]
@@ -279,18 +307,31 @@ class Shard:
         row, lo, hi = runs(self.which[gone], self.at[gone], self.at[gone] + LENGTH)
         return self.doc[row], self.digest[row], lo, hi
 
+    def unsettled(self):
+        """First strings of frequent anchors: (doc, digest, start, end, two halves of a hash)."""
+        mine = self.lead[self.first[self.lead] & (self.part[self.which[self.lead]] > 0)]
+        w, lo, place = self.which[mine], self.at[mine], self.place[mine]
+        raw = self.raw.tobytes()
+        name = b"".join(hashlib.blake2b(raw[p:p + LENGTH], digest_size=16).digest()
+                        for p in place.tolist())
+        halves = np.frombuffer(name, np.int64).reshape(-1, 2)
+        return self.doc[w], self.digest[w], lo, lo + LENGTH, halves[:, 0], halves[:, 1]
+
 
 def search_shards(blocks: DataFrame) -> DataFrame:
-    """(doc, digest, lo, hi) of repeated strings among blocks (anchor, doc, digest, pack, body)."""
+    """(doc, digest, lo, hi, h1, h2, first) from blocks (anchor, part, doc, digest, pack, body).
+
+    Spans of repeated strings, and the ``first`` strings of parts with their hash.
+    """
     def group(parts):
-        """One or more whole anchors; several shards only if one anchor needs them."""
-        docs, digests, packs = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        bodies = [b for p in parts for b in p[3]]
+        """One or more whole parts of anchors; several shards only if one part needs them."""
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        bodies = [b for p in parts for b in p[4]]
         ends = np.cumsum([len(b) for b in bodies])
         cuts = np.unique(np.searchsorted(ends, np.arange(1, ends[-1] // (2 * SHARD) + 1)
                                          * 2 * SHARD))
         edges = [0, *[c for c in cuts.tolist() if 0 < c < len(bodies)], len(bodies)]
-        shards = [Shard(docs[a:b], digests[a:b], packs[a:b], bodies[a:b])
+        shards = [Shard(*(c[a:b] for c in columns), bodies[a:b])
                   for a, b in zip(edges[:-1], edges[1:])]
         if len(shards) > 1:
             strings = [s.strings() for s in shards]
@@ -299,30 +340,44 @@ def search_shards(blocks: DataFrame) -> DataFrame:
                     if i != j:
                         s.earlier_in(t, strings[i], strings[j])
         for s in shards:
-            columns = s.covered()
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns],
-                                                 ["doc", "digest", "lo", "hi"])
+            doc, digest, lo, hi = s.covered()
+            spread = mix((doc ^ digest).view(np.uint64)).view(np.int64)
+            for first, columns in ((False, (doc, digest, lo, hi, spread, lo)),
+                                   (True, s.unsettled())):
+                for i in range(0, len(columns[0]), 100_000):
+                    arrays = [pa.array(c[i:i + 100_000]) for c in columns]
+                    yield pa.RecordBatch.from_arrays(
+                        [*arrays, pa.array(np.full(len(arrays[0]), first))],
+                        ["doc", "digest", "lo", "hi", "h1", "h2", "first"])
 
     def run(batches):
         parts, held, last = [], 0, None
         for batch in batches:
-            anchor = np.asarray(batch.column(0), np.int64)
-            doc, digest, pack = (np.asarray(batch.column(i), np.int64) for i in (1, 2, 3))
-            bodies = batch.column(4).to_pylist()
-            edges = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+            anchor, part, *columns = (np.asarray(batch.column(i), np.int64) for i in range(5))
+            bodies = batch.column(5).to_pylist()
+            edges = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1])
+                                                   | (part[1:] != part[:-1]))))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(anchor)]):
-                if held >= SHARD and anchor[a] != last:
+                if held >= SHARD and (anchor[a], part[a]) != last:
                     yield from group(parts)
                     parts, held = [], 0
-                last = anchor[a]
-                parts.append((doc[a:b], digest[a:b], pack[a:b], bodies[a:b]))
+                last = anchor[a], part[a]
+                parts.append((part[a:b], *(c[a:b] for c in columns), bodies[a:b]))
                 held += sum(map(len, bodies[a:b]))
         if parts:
             yield from group(parts)
 
-    return blocks.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        run, "doc bigint, digest bigint, lo bigint, hi bigint")
+    return blocks.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(
+        run, "doc bigint, digest bigint, lo bigint, hi bigint, h1 bigint, h2 bigint, "
+             "first boolean")
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """(doc, digest, lo, hi) of the strings that start earlier; ``found`` is as searched."""
+    same = Window.partitionBy("first", "h1", "h2").orderBy("doc", "digest", "lo")
+    # in one pass, as the shards would be searched again for another
+    return found.withColumn("rank", F.rank().over(same)).where("not first or rank > 1").select(
+        "doc", "digest", "lo", "hi")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -335,20 +390,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     given = carried(docs, key, text, keep)
     named = given.select(order_of(F.col("row").getField(key)).alias("doc"),
                          digest_of(F.col("text")).alias("digest"), "text", "row")
-    # all that reads the texts takes the columns of this one exchange, so that they are shuffled once
-    once = named.select("doc", "digest", "text").dropDuplicates(["doc", "digest"])
-    dealt = instances(once).repartition("anchor")
-    same = Window.partitionBy("anchor", "block").orderBy("doc", "digest", "pack")
-    group = Window.partitionBy("anchor")
+    # all that reads the texts takes the columns of this one exchange, so that they are shuffled
+    # once; after dropDuplicates Spark would not see that blocks are made twice
+    once = named.select("doc", "digest", "text").groupBy("doc", "digest").agg(
+        F.min("text").alias("text"))
+    often = frequent(named.select("doc", "digest", "text"))
+    dealt = instances(once, often).repartition("anchor", "part")
+    same = Window.partitionBy("anchor", "part", "block").orderBy("doc", "digest", "pack")
+    group = Window.partitionBy("anchor", "part")
     judged = dealt.withColumn("rank", F.rank().over(same)).withColumn(
         "low", F.min("block").over(group)).withColumn("high", F.max("block").over(group))
     start = F.shiftrightunsigned("pack", 8)
     count = F.col("pack").bitwiseAND(F.lit(255))
-    copies = judged.where("known or rank > 1").select(
+    # a condition on ``part`` alone would go below the windows, and the blocks be made twice
+    copies = judged.where((count == 0) | (F.col("rank") > 1)).select(
         "doc", "digest", start.alias("lo"),
-        F.when(F.col("known"), F.col("block")).otherwise(start + count - 1 + LENGTH).alias("hi"))
-    open_ = judged.where("not known and rank = 1 and low < high").groupBy("doc", "digest").agg(
-        F.collect_list(F.struct("anchor", "pack")).alias("list"))
+        F.when(count == 0, F.col("block")).otherwise(start + count - 1 + LENGTH).alias("hi"))
+    open_ = judged.where((count > 0) & F.expr("rank = 1 and (part > 0 or low < high)")).groupBy(
+        "doc", "digest").agg(F.collect_list(F.struct("anchor", "part", "pack")).alias("list"))
 
     def bodies(batches):
         for batch in small(batches, 2):
@@ -356,22 +415,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
             lists = batch.column(3)
             sizes = np.diff(np.asarray(lists.offsets))
             flat = lists.flatten()
-            anchor, pack = (np.asarray(flat.field(i), np.int64) for i in (0, 1))
+            anchor, part, pack = (np.asarray(flat.field(i)) for i in range(3))
             row = np.repeat(np.arange(batch.num_rows), sizes)
             lo = at[row] + (pack >> 8)
             hi = lo + (pack & 255) - 1 + LENGTH
             doc, digest = (np.asarray(batch.column(i), np.int64)[row] for i in (0, 1))
             for i in range(0, len(row), 20_000):
-                part = [raw[a:b].tobytes() for a, b in zip(lo[i:i + 20_000].tolist(),
+                some = [raw[a:b].tobytes() for a, b in zip(lo[i:i + 20_000].tolist(),
                                                            hi[i:i + 20_000].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c[i:i + 20_000]) for c in (anchor, doc, digest, pack)),
-                     pa.array(part, pa.binary())], ["anchor", "doc", "digest", "pack", "body"])
+                    [*(pa.array(c[i:i + 20_000]) for c in (anchor, part, doc, digest, pack)),
+                     pa.array(some, pa.binary())],
+                    ["anchor", "part", "doc", "digest", "pack", "body"])
 
     listed = once.join(open_, ["doc", "digest"]).select("doc", "digest", "text", "list")
     blocks = listed.mapInArrow(
-        bodies, "anchor bigint, doc bigint, digest bigint, pack bigint, body binary")
-    spans = copies.union(search_shards(blocks)).groupBy("doc", "digest").agg(
+        bodies, "anchor bigint, part int, doc bigint, digest bigint, pack bigint, body binary")
+    spans = copies.union(settled(search_shards(blocks))).groupBy("doc", "digest").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches):

@@ -188,6 +188,33 @@ def test_rows_that_repeat_are_worked_on_once(spark, monkeypatch):
         assert {r[1:3] for r in got if r[0] == doc} == {(size, size)}
 
 
+def test_blocks_of_a_frequent_anchor_are_spread(spark, monkeypatch):
+    """A line in every text with different text around it: no anchor keeps all its blocks together."""
+    monkeypatch.setattr(suffixes, "SHARD", 2000)
+    monkeypatch.setattr(suffixes, "SAMPLE", 1, raising=False)
+    groups, plain = [], suffixes.search_shards
+
+    def counted(blocks):
+        groups.extend(r["count"] for r in blocks.groupBy(
+            *[c for c in ("anchor", "part") if c in blocks.columns]).count().collect())
+        return plain(blocks)
+
+    monkeypatch.setattr(suffixes, "search_shards", counted)
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    rows = []
+    for i in range(400):        # some share more than the line, at either side
+        left, right = ("".join(rng.choice("klmnopqrst ") for _ in range(60)) for _ in range(2))
+        if i % 3 == 0 and i:
+            left = rows[i // 2][1][:60]
+        if i % 5 == 0 and i:
+            right = rows[i // 3][1][-60:]
+        rows.append((i, left + line + right))
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == repeats_brute(rows)
+    assert sum(groups) > 400 and max(groups) < 60
+
+
 def test_suffix_order_and_common_prefixes():
     rng = random.Random(9)
     for text in ("banana" * 20, "a" * 150, "".join(rng.choice("ab") for _ in range(400)), "x"):
