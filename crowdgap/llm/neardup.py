@@ -318,6 +318,15 @@ def components(links: DataFrame) -> DataFrame:
         last = state
 
 
+def labels(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, label): a digest that names the class of each distinct text."""
+    sigs = materialise(signatures(docs, key, text), "signatures")
+    one = sigs.groupBy("digest").agg(F.min("k").alias("k"), F.any_value("keys").alias("keys"))
+    found = components(links_of(one, docs, text)).withColumnRenamed("node", "digest")
+    return one.select("digest").join(found, "digest", "left").select(
+        "digest", F.coalesce("label", "digest").alias("label"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest, class_id) for every row."""
     sigs = materialise(signatures(docs, key, text), "signatures")

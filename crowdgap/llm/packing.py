@@ -11,6 +11,9 @@ bin is found; small clusters are looked up in the bin.
 Documents are dealt by hash to groups of about ``per_group`` rows that are packed apart, so a
 source or cluster of any share is spread evenly and no task holds more than its groups.
 
+``pack`` takes a column of clusters; without one they are exact copies. The query's clusters are the
+classes of near copies that ``neardup`` finds.
+
 Sizes are estimated tokens (UTF-8 bytes / 4, rounded up), or the numbers of a column. Null sources
 and clusters never conflict. Null or empty texts have size 0: they are listed with a null bin.
 Rows that repeat are packed each (as duplicates, apart); of equal sizes the smaller key goes
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdgap.llm import neardup
 from crowdgap.llm.registry import query, table
 
 CAPACITY, PER_GROUP = 2048, 20_000
@@ -143,6 +147,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         run, f"`{key}` {kind.simpleString()}, piece int, bin bigint, start bigint, size bigint")
 
 
+def pack_classes(docs: DataFrame) -> DataFrame:
+    """``pack`` with the classes of near copies as clusters."""
+    named = docs.select("doc_id", "text", "source", neardup.digest_of(F.col("text")).alias("digest"))
+    found = named.join(neardup.labels(docs), "digest")
+    return pack(found.withColumn("label", F.when(F.col("text") != "", F.hex("label"))),
+                cluster="label")
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_classes(table(spark, sf_dir, "documents"))

@@ -300,6 +300,16 @@ def test_packing_of_hard_rows(hard, none):
     assert packing.pack(none).collect() == []
 
 
+def test_near_copies_are_packed_apart(spark, tmp_path):
+    rng = random.Random(15)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join([*base[:10 + i], f"w{i}", *base[11 + i:]]), f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert len({r.bin for r in got}) == len(got) == 6
+
+
 def test_every_row_is_packed(spark):
     got = QUERIES["op8_best_fit_packing"](spark, SF)
     sizes = got.groupBy("doc_id").agg(F.sum("size").alias("have")).join(
