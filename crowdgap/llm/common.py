@@ -160,3 +160,20 @@ def restored(columns: list[str], text: str, value=None) -> list[Column]:
     """The columns of a carried table again, with a new text if ``value`` is one."""
     value = F.col("text") if value is None else value
     return [value.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values``: one row for each key, and its number of rows ``n``.
+
+    Keys that have more than one in ``share`` of all rows, fewer than ``share`` of them, are
+    broadcast and their rows stay where they are; all other rows are joined by shuffle. Null keys
+    are keys like others. Both tables are read twice, so they should be written ones.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    named = values.withColumnRenamed(key, "__key").drop("n")
+    heavy = values["n"] * share > total
+    hot, cold = named.where(heavy), named.where(~heavy)
+    same = rows[key].eqNullSafe(F.col("__key"))
+    rest = rows.join(F.broadcast(hot.select("__key")), same, "left_anti")
+    return (rows.join(F.broadcast(hot), same)
+            .unionByName(rest.join(cold, rest[key].eqNullSafe(F.col("__key")))).drop("__key"))

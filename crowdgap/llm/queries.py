@@ -1,7 +1,7 @@
 """Every query of this subpackage."""
 
-from crowdgap.llm import (chat, fingerprints, language, neardup, packing, pieces,  # noqa: F401
-                          quality, suffixes, topk, urls)
+from crowdgap.llm import (chat, codes, fingerprints, language, merkle, neardup, packing,  # noqa: F401
+                          pieces, quality, simhash, suffixes, topk, urls)
 from crowdgap.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
