@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
@@ -16,25 +16,141 @@ from crowdgap.functions.measures import col
 from crowdgap.functions.vectors import as_double, blocks, l2norm, stack, sum_partials
 from crowdgap.operators.metrics import ari
 from crowdgap.operators.ordering import (
-    bucket_count, md5_bucket, md5_int, shuffle_key, with_rank, with_shuffled_rank)
-from crowdgap.session import cut
+    bucket_count, md5_bucket, md5_int, shuffle_key, with_rank)
+from crowdgap.operators.passes import packed, summed
+from crowdgap.session import cut, materialise
 
 
 def _features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("__features", array_to_vector(l2norm(vector)))
 
 
-def kmeans(df: DataFrame, k: int, restarts: int = 8, seed: int = 0, vector: str = "embedding",
-           label: str = "cluster", max_iter: int = 50) -> DataFrame:
-    """Best of several seeded runs on unit vectors."""
-    ready = _features(df, vector).persist()
+# Rows that the first centres of a run are drawn from; the runs themselves pass over all rows.
+START_ROWS = 2000
+
+
+def first_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows, each drawn with a chance that grows with its squared distance to those drawn."""
+    rng = np.random.default_rng(seed)
+    picked = [int(rng.integers(len(x)))]
+    gap = ((x - x[picked[0]]) ** 2).sum(1)
+    while len(picked) < min(k, len(x)):
+        total = gap.sum()
+        at = int(np.searchsorted(np.cumsum(gap), rng.random() * total)) if total > 0 \
+            else int(rng.integers(len(x)))
+        picked.append(min(at, len(x) - 1))
+        gap = np.minimum(gap, ((x - x[picked[-1]]) ** 2).sum(1))
+    return x[picked]
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and squared distance of each row's nearest centre; ties go to the first."""
+    gap = (x ** 2).sum(1)[:, None] + (centres ** 2).sum(1) - 2 * x @ centres.T
+    # rounding keeps exact ties exact whatever the order of summation was
+    at = np.round(gap, 12).argmin(1)
+    return at, np.maximum(gap[np.arange(len(x)), at], 0.0)
+
+
+def run_sums(x, use, models, nearest=nearest_centre) -> np.ndarray:
+    """For each (centres, member) in turn: sums, counts and cost of the assigned rows."""
+    out = [np.zeros(0)]
+    for centres, member in models:
+        rows = x if member is None else x[use[member]]
+        k, d = centres.shape
+        at, gap = nearest(rows, centres)
+        onehot = np.zeros((len(rows), k))
+        onehot[np.arange(len(rows)), at] = 1.0
+        out += [(onehot.T @ rows).ravel(), onehot.sum(0), [gap.sum()]]
+    return np.concatenate(out)
+
+
+def lloyd(blocks, starts: Sequence[np.ndarray], members: Sequence[int | None] | None = None,
+          max_iter: int = 300) -> list[tuple[np.ndarray, float]]:
+    """(centres, cost) of many k-means runs that share every pass over the rows.
+
+    A run ends when its centres stay; it then leaves the passes. A centre without rows stays.
+    """
+    members = members or [None] * len(starts)
+    centres = [np.array(c, float) for c in starts]
+    cost = [float("inf")] * len(starts)
+    open_ = list(range(len(starts)))
+    for _ in range(max_iter):
+        models = [(centres[m], members[m]) for m in open_]
+        flat = summed(blocks, lambda x, u, m=models, f=run_sums: f(x, u, m))
+        at, left = 0, []
+        for m in open_:
+            k, d = centres[m].shape
+            sums = flat[at:at + k * d].reshape(k, d)
+            n = flat[at + k * d:at + k * d + k]
+            cost[m] = float(flat[at + k * d + k])
+            at += k * d + k + 1
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[m])
+            if np.abs(new - centres[m]).max() > 1e-10:
+                left.append(m)
+            centres[m] = new
+        open_ = left
+        if not open_:
+            break
+    return list(zip(centres, cost))
+
+
+def start_rows(df: DataFrame, key: str, vector: str, seed, use: Sequence[Column] = ()):
+    """(matrix, use) of a bounded sample in seeded order."""
+    rows = df.select(as_double(vector).alias("v"), F.array(*use).cast("array<boolean>").alias("u"),
+                     shuffle_key(seed, key).alias("h"), key).orderBy("h", key).limit(START_ROWS).collect()
+    return np.array([r.v for r in rows], float), np.array([r.u for r in rows], bool).reshape(
+        len(rows), len(use)).T
+
+
+def best_runs(blocks, sample: np.ndarray, use: np.ndarray, wanted: Sequence[tuple[int, int | None]],
+              restarts: int, seed: int) -> list[np.ndarray]:
+    """Centres of the best of ``restarts`` runs for each (k, member)."""
+    starts, members = [], []
+    for k, member in wanted:
+        x = sample if member is None or not use[member].any() else sample[use[member]]
+        starts += [first_centres(x, k, seed + r) for r in range(restarts)]
+        members += [member] * restarts
+    runs = lloyd(blocks, starts, members)
+    return [min(runs[i:i + restarts], key=lambda r: r[1])[0]
+            for i in range(0, len(runs), restarts)]
+
+
+def labelled(df: DataFrame, centres: Sequence[np.ndarray], names: Sequence[str],
+             vector: str) -> DataFrame:
+    """Each row's nearest centre in each set of centres."""
+    sets = list(centres)
+
+    @F.pandas_udf("array<int>")
+    def place(v: pd.Series) -> pd.Series:
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        x = stack(v)
+        return pd.Series(list(np.stack([nearest_centre(x, c)[0] for c in sets], 1).astype(np.int32)))
+
+    out = df.withColumn("__at", place(as_double(vector)))
+    return out.withColumns({n: F.col("__at")[i] for i, n in enumerate(names)}).drop("__at")
+
+
+def kmeans_many(df: DataFrame, ks: Sequence[int], restarts: int = 8, seed: int = 0,
+                vector: str = "embedding", names: Sequence[str] | None = None,
+                key: str | None = None) -> DataFrame:
+    """Labels of the best of several seeded runs on unit vectors, for each k; all runs share passes."""
+    unit = df.withColumn("__u", l2norm(vector))
+    blocks = packed(unit, "__u")
     try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="__features",
-                         predictionCol=label).fit(ready) for i in range(restarts)]
-        best = min(models, key=lambda mod: mod.summary.trainingCost)
+        sample, use = start_rows(unit.withColumn("__k", F.xxhash64("__u") if key is None else col(key)),
+                                 "__k", "__u", seed)
+        best = best_runs(blocks, sample, use, [(k, None) for k in ks], restarts, seed)
     finally:
-        ready.unpersist()
-    return best.transform(_features(df, vector)).drop("__features")
+        blocks.unpersist()
+    names = names or [f"k{k}" for k in ks]
+    return labelled(unit, best, names, "__u").drop("__u")
+
+
+def kmeans(df: DataFrame, k: int, restarts: int = 8, seed: int = 0, vector: str = "embedding",
+           label: str = "cluster") -> DataFrame:
+    """Best of several seeded runs on unit vectors."""
+    return kmeans_many(df, [k], restarts, seed, vector, [label])
 
 
 def bisecting(df: DataFrame, k: int, seed: int = 0, vector: str = "embedding",
@@ -115,41 +231,100 @@ def shuffle_null(df: DataFrame, key: str, seed, vector: str = "embedding") -> Da
     return rows.select("row", l2norm(F.transform("c", lambda e: e["x"])).alias(vector))
 
 
+def silhouettes(df: DataFrame, labels: Sequence[str], key: str, vector: str = "embedding",
+                sample: int = 1200, seed=0) -> list[float]:
+    """Mean silhouette of a seeded sample for several labelings at once.
+
+    The sample (a bounded number of rows) travels to the tasks; each row sums its distances to every
+    cluster of every labeling.
+    """
+    pool = cut(df.select(key, as_double(vector).alias("v"), F.array(*[
+        col(c).cast("int") for c in labels]).alias("c")).orderBy(shuffle_key(seed, key), key).limit(sample))
+    rows = pool.select("v", "c").collect()          # the sample
+    x, at = np.array([r.v for r in rows], float), np.array([r.c for r in rows])
+
+    @F.pandas_udf("array<double>")
+    def scores(v: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for row, own in zip(v, c):
+            gap = ((x - np.asarray(row)) ** 2).sum(1)
+            dist = np.sqrt(np.where(gap < 1e-12, 0.0, gap))
+            line = []
+            for j, mine in enumerate(own):
+                total = np.bincount(at[:, j], dist)
+                n = np.bincount(at[:, j])
+                if n[mine] < 2:
+                    line.append(0.0)
+                    continue
+                a = total[mine] / (n[mine] - 1)
+                others = [total[i] / n[i] for i in np.flatnonzero(n) if i != mine]
+                b = min(others, default=np.nan)
+                line.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+            out.append(line)
+        return pd.Series(out, dtype=object)
+
+    spread = pool.repartition(max(1, len(rows) // 150)).select(scores("v", "c").alias("s"))
+    means = spread.agg(*[F.avg(F.col("s")[j]) for j in range(len(labels))]).first()
+    return [float(m) for m in means]
+
+
 def k_sweep(df: DataFrame, key: str, ks: Sequence[int], seed=0, restarts: int = 8,
             vector: str = "embedding", sample: int = 1200) -> DataFrame:
     """Silhouette of real and null data per k, and the margin."""
-    real = df.select(key, l2norm(vector).alias(vector)).persist()
-    null = shuffle_null(real, key, seed, vector).withColumnRenamed("row", key).persist()
-    try:
-        rows = []
-        for k in ks:
-            pair = [silhouette(kmeans(d, k, restarts, seed, vector), "cluster", key, vector,
-                               sample, seed).first().silhouette for d in (real, null)]
-            rows.append((k, *pair))
-    finally:
-        real.unpersist()
-        null.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, real double, null_value double")
+    real = df.select(key, l2norm(vector).alias(vector))
+    null = materialise(shuffle_null(real, key, seed, vector).withColumnRenamed("row", key), "null")
+    names = [f"k{k}" for k in ks]
+    pairs = [silhouettes(kmeans_many(d, ks, restarts, seed, vector, names, key), names, key, vector,
+                         sample, seed) for d in (real, null)]
+    out = df.sparkSession.createDataFrame(list(zip(ks, *pairs)), "k int, real double, null_value double")
     return out.withColumn("margin", F.col("real") - F.col("null_value"))
 
 
+def ari_of(table: np.ndarray) -> float:
+    """Adjusted Rand index of a table of counts."""
+    pairs = lambda n: float((n * (n - 1) / 2).sum())
+    cells, rows, cols, total = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(table.sum())
+    expected = rows * cols / total if total else 0.0
+    top = (rows + cols) / 2
+    return 1.0 if top == expected else (cells - expected) / (top - expected)
+
+
+def agreements(x, use, models, nearest=nearest_centre) -> np.ndarray:
+    """Tables of counts of two sets of centres, over the rows of a member."""
+    out = []
+    for base, again, member in models:
+        rows = x[use[member]]
+        table = np.zeros((len(base), len(again)))
+        np.add.at(table, (nearest(rows, base)[0], nearest(rows, again)[0]), 1)
+        out.append(table.ravel())
+    return np.concatenate(out)
+
+
 def stability_ari(df: DataFrame, key: str, ks: Sequence[int], resamples: int = 25,
                   share: float = 0.8, seed=0, restarts: int = 8,
                   vector: str = "embedding") -> DataFrame:
-    """Recluster seeded subsamples and compare with the labels of the full data."""
-    src = df.select(key, l2norm(vector).alias(vector)).persist()
+    """Recluster seeded subsamples and compare with the labels of the full data.
+
+    A row is in a resample by its hash. All runs of all k and resamples share every pass; the labels
+    are compared in one more, which brings back a table of k x k counts for each.
+    """
+    src = df.select(key, l2norm(vector).alias(vector))
+    use = [md5_int(shuffle_key(f"{seed}-{b}", key)) < int(share * 16 ** 8) for b in range(resamples)]
+    blocks = packed(src, vector, use)
     try:
-        rows = []
-        for k in ks:
-            base = kmeans(src, k, restarts, seed, vector, "base").persist()
-            for b in range(resamples):
-                part = (with_shuffled_rank(base, key, f"{seed}-{b}")
-                        .where(F.col("rank") <= F.floor(F.lit(share) * F.col("n_rank"))))
-                again = kmeans(part, k, restarts, 1000 + b, vector, "again")
-                rows.append((k, b, float(ari(again, "base", "again").first().ari)))
-            base.unpersist()
+        sample, marks = start_rows(src, key, vector, seed, use)
+        wanted = [(k, b) for k in ks for b in [None, *range(resamples)]]
+        best = dict(zip(wanted, best_runs(blocks, sample, marks, wanted, restarts, int(seed))))
+        models = [(best[k, None], best[k, b], b) for k in ks for b in range(resamples)]
+        flat = summed(blocks, lambda x, u, m=models, f=agreements: f(x, u, m))
     finally:
-        src.unpersist()
+        blocks.unpersist()
+    rows, at = [], 0
+    for k in ks:
+        for b in range(resamples):
+            size = len(best[k, None]) * len(best[k, b])
+            rows.append((k, b, ari_of(flat[at:at + size].reshape(len(best[k, None]), -1))))
+            at += size
     runs = df.sparkSession.createDataFrame(rows, "k int, run int, ari double")
     return (runs.groupBy("k").agg(F.avg("ari").alias("mean_ari"),
                                   F.stddev_pop("ari").alias("sd"))

@@ -11,8 +11,7 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 from crowdgap.functions import measures as m
 from crowdgap.functions.measures import col
 from crowdgap.operators import metrics
-from crowdgap.operators.clustering import kmeans
+from crowdgap.operators.boosting import Booster, Job, chances
+from crowdgap.operators.clustering import kmeans_many
 from crowdgap.operators.joins import keep_groups, score_lookup
 from crowdgap.operators.ranking import curve_delta
 from crowdgap.operators.rows import counterfactual
@@ -106,10 +106,9 @@ def logit(train: DataFrame, c: float = 0.5, max_iter: int = 100) -> LogisticRegr
 
 
 def gbm(train: DataFrame | None = None, max_iter: int = 300, step: float = 0.06,
-        depth: int = 4, seed: int = 0) -> GBTClassifier:
-    """Boosted trees; depth 4 stands for fifteen leaves. The training rows are not looked at."""
-    return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=max_iter, stepSize=step,
-                         maxDepth=depth, seed=seed)
+        leaves: int = 15, depth: int | None = None, l2: float = 1.0) -> Booster:
+    """Boosted trees, grown leaf by leaf. The training rows are not looked at."""
+    return Booster(max_iter, step, leaves, depth, l2, features=FEATURES, label=LABEL)
 
 
 # An estimator made for a training set.
@@ -134,6 +133,12 @@ def cross_validate(ready: DataFrame, k: int, make: Factory, keep: Sequence[str])
     The narrow result is written once, so reports do not score the rows again.
     """
     width = n_features(ready)
+    est = make(ready) if make is not logit else None
+    if isinstance(est, Booster):
+        models = est.fit_many(ready, [Job(F.col("fold") != i) for i in range(k)])
+        p = chances(models)(vector_to_array(FEATURES), F.col("fold"))
+        return materialise(ready.select(*keep, "fold", LABEL, p.alias(SCORE),
+                                        F.lit(width).alias("width")), "oof")
 
     def one(i):
         return fit_score(ready.where(F.col("fold") != i), ready.where(F.col("fold") == i), make,
@@ -244,19 +249,8 @@ def learning_curve(df: DataFrame, blocks: Sequence[Block], y, group: str,
     split = group_holdout(df, group, test_share, seed)
     marked = ready.join(split, group).persist()
     try:
-        test = marked.where("is_test")
-        pool = marked.where("not is_test")
-
-        def one(job):
-            size, run = job
-            part = pool if size is None else keep_groups(
-                pool, sample_groups(pool, group, size, 100 + run), group)
-            scored = make(part).fit(part).transform(test).select(
-                LABEL, vector_to_array("probability")[1].alias(SCORE))
-            return (size, run, part.count(), float(metrics.auc(scored, LABEL, SCORE).first().auc))
-
         jobs = [(s, r) for s in sizes for r in range(1 if s is None else seeds)]
-        rows = in_parallel(df.sparkSession, one, jobs)
+        rows = _curve_points(marked, group, jobs, make)
     finally:
         marked.unpersist()
     runs = df.sparkSession.createDataFrame(
@@ -267,6 +261,39 @@ def learning_curve(df: DataFrame, blocks: Sequence[Block], y, group: str,
     return curve_delta(curve, "step", "auc")
 
 
+def _curve_points(marked: DataFrame, group: str, jobs: Sequence[tuple], make: Factory) -> list:
+    """(size, run, training rows, test AUC) of each job; boosted models are fitted together."""
+    test, pool = marked.where("is_test"), marked.where("not is_test")
+    pools = [pool if size is None else keep_groups(
+        pool, sample_groups(pool, group, size, 100 + run), group) for size, run in jobs]
+    est = make(pool) if make is not logit else None
+    if isinstance(est, Booster):
+        picked = pool.select(group).distinct()
+        for i, (part, (size, _)) in enumerate(zip(pools, jobs)):
+            if size is not None:
+                mine = part.select(F.col(group).alias("__g")).distinct().withColumn(f"__in{i}", F.lit(True))
+                picked = picked.join(mine, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+        named = picked.withColumnRenamed(group, "__g")
+        ready = materialise(pool.join(named, F.col(group).eqNullSafe(F.col("__g"))).drop("__g"), "pools")
+        uses = [F.lit(True) if s is None else F.col(f"__in{i}") for i, (s, _) in enumerate(jobs)]
+        models = est.fit_many(ready, [Job(u) for u in uses])
+        counts = ready.agg(*[F.count_if(u) for u in uses]).first()
+        each = F.explode(F.sequence(F.lit(0), F.lit(len(jobs) - 1)))
+        scored = test.select(LABEL, vector_to_array(FEATURES).alias("__x"), each.alias("job"))
+        aucs = metrics.auc(scored.withColumn(SCORE, chances(models)("__x", "job")), LABEL, SCORE,
+                           ["job"]).collect()       # one row per job
+        found = {r.job: r.auc for r in aucs}
+        return [(*job, counts[i], float(found[i])) for i, job in enumerate(jobs)]
+
+    def one(at):
+        (size, run), part = jobs[at], pools[at]
+        scored = make(part).fit(part).transform(test).select(
+            LABEL, vector_to_array("probability")[1].alias(SCORE))
+        return (size, run, part.count(), float(metrics.auc(scored, LABEL, SCORE).first().auc))
+
+    return in_parallel(marked.sparkSession, one, range(len(jobs)))
+
+
 def batch_value(df: DataFrame, blocks: Sequence[Block], y, group: str, batch: str, newest,
                 rating: str = "mover_rating", edges=m.VALUE_EDGES, labels=m.VALUE_LABELS,
                 test_share: float = 0.25, make: Factory = gbm, seed=0) -> DataFrame:
@@ -277,13 +304,21 @@ def batch_value(df: DataFrame, blocks: Sequence[Block], y, group: str, batch: st
     marked = marked.withColumn("band", m.band(rating, edges, labels)).persist()
     try:
         train, test = marked.where("not is_test"), marked.where("is_test")
-        older = train.where(~col(batch).eqNullSafe(F.lit(newest)))
+        old_row = ~col(batch).eqNullSafe(F.lit(newest))
+        est = make(train) if make is not logit else None
 
-        def one(part):
-            return metrics.band_metrics(fit_score(part, test, make, ["band", LABEL]), "band",
-                                        LABEL, SCORE).collect()   # one row per band
+        def report(scored):
+            return metrics.band_metrics(scored, "band", LABEL, SCORE).collect()   # one row per band
 
-        old, full = in_parallel(df.sparkSession, one, [older, train])
+        def one(part):
+            return report(fit_score(part, test, make, ["band", LABEL]))
+
+        if isinstance(est, Booster):
+            models = est.fit_many(train, [Job(old_row), Job(F.lit(True))])
+            old, full = [report(test.select("band", LABEL, chances(models)(
+                vector_to_array(FEATURES), F.lit(i)).alias(SCORE))) for i in range(2)]
+        else:
+            old, full = in_parallel(df.sparkSession, one, [train.where(old_row), train])
     finally:
         marked.unpersist()
     before = {r.band: r for r in old}
@@ -328,23 +363,75 @@ def tree_rules(df: DataFrame, features: Sequence[str], y, depth: int = 3,
 
 
 def cluster_gain(df: DataFrame, key: str, y, ks: Sequence[int], surface: Block,
-                 vector: str = "embedding", restarts: int = 10, make: Factory = gbm,
+                 vector: str = "embedding", restarts: int = 10, make: Factory | None = None,
                  folds: int = 5, seed: int = 0) -> DataFrame:
-    """What the cluster label adds to the surface features, per number of clusters."""
-    src = df.persist()
-    try:
-        base = cv_summary(stratified_cv(src, [surface], y, key, make, folds)).first()["mean"]
-        rows = []
-        for k in ks:
-            named = kmeans(src, k, restarts, seed, vector, "__k").withColumn(
-                "cluster", F.col("__k").cast("string")).persist()
-            label = Block("cluster", categorical=("cluster",))
-            alone = cv_summary(stratified_cv(named, [label], y, key, make, folds)).first()["mean"]
-            both = cv_summary(stratified_cv(named, [surface, label], y, key, make,
-                                            folds)).first()["mean"]
-            named.unpersist()
-            rows.append((k, float(alone), float(both), float(both - base)))
-    finally:
-        src.unpersist()
+    """What the cluster label adds to the surface features, per number of clusters.
+
+    All labels go into one design; a model sees its own columns. The default are the study's small
+    trees: 120 of depth 3.
+    """
+    est = (make or small_gbm)(df)
+    labels = cluster_labels(df, ks, restarts, seed, vector)
+    blocks = [surface, *[Block(f"k{k}", categorical=(f"__k{k}",)) for k in ks]]
+    src = _once(labels, blocks, y, [key])
+    dealt = strat_folds(src.select(key, "__y"), "__y", key, folds, seed).select(key, "fold")
+    ready, _ = design(src.join(dealt, key), blocks, "__y")
+    ready = materialise(ready.select("fold", LABEL, FEATURES), "design")
+    own = feature_columns(ready, blocks)
+    base = [i for c in [*surface.categorical, *surface.numeric] for i in own[c]]
+    sets = {"base": base}
+    for k in ks:
+        sets[f"alone{k}"], sets[f"both{k}"] = own[f"__k{k}"], base + own[f"__k{k}"]
+    found = _set_aucs(ready, sets, folds, est)
+    rows = [(k, found[f"alone{k}"], found[f"both{k}"], found[f"both{k}"] - found["base"]) for k in ks]
     return df.sparkSession.createDataFrame(
         rows, "k int, cluster_auc double, combined_auc double, gain double")
+
+
+def small_gbm(train: DataFrame | None = None, max_iter: int = 120) -> Booster:
+    return gbm(train, max_iter, 0.1, 8, 3, 0.0)
+
+
+def feature_columns(ready: DataFrame, blocks: Sequence[Block]) -> dict[str, list[int]]:
+    """Places of each input column in the feature vector, from its attributes."""
+    attrs = ready.schema[FEATURES].metadata["ml_attr"]["attrs"]
+    out: dict[str, list[int]] = {}
+    for a in (x for kind in attrs.values() for x in kind):
+        for b in blocks:
+            for c in [*b.numeric, *b.categorical]:
+                if a["name"] == f"__n_{c}" or a["name"].startswith(f"__o_{c}_"):
+                    out.setdefault(c, []).append(a["idx"])
+    return {c: sorted(places) for c, places in out.items()}
+
+
+def _set_aucs(ready: DataFrame, sets: Mapping[str, Sequence[int]], folds: int, est) -> dict:
+    """Mean AUC over folds of each set of columns; boosted models are fitted together."""
+    if isinstance(est, Booster):
+        jobs = [Job(F.col("fold") != f, tuple(sets[s])) for s in sets for f in range(folds)]
+        models = est.fit_many(ready, jobs)
+        which = F.array(*[F.col("fold") + i * folds for i in range(len(sets))])
+        long = ready.select("fold", LABEL, vector_to_array(FEATURES).alias("__x"),
+                            F.posexplode(which).alias("set", "model"))
+        scored = long.withColumn(SCORE, chances(models)("__x", "model"))
+    else:
+        cut = {s: Job(F.lit(True), tuple(c)) for s, c in sets.items()}
+        parts = []
+        for i, s in enumerate(cut):
+            x = vector_to_array(FEATURES)
+            part = ready.withColumn(FEATURES, array_to_vector(F.array(*[x[c] for c in sets[s]])))
+            parts += [fit_score(part.where(F.col("fold") != f), part.where(F.col("fold") == f),
+                                lambda _: est, ["fold", LABEL]).withColumn("set", F.lit(i))
+                      for f in range(folds)]
+        scored = reduce(DataFrame.unionByName, parts)
+    per = metrics.auc(scored, LABEL, SCORE, ["set", "fold"]).groupBy("set").agg(
+        F.avg("auc").alias("auc")).collect()        # one row per set
+    names = list(sets)
+    return {names[r["set"]]: float(r.auc) for r in per}
+
+
+def cluster_labels(df: DataFrame, ks: Sequence[int], restarts: int, seed: int,
+                   vector: str) -> DataFrame:
+    """``__k<k>``: the k-means label of each row for every k."""
+    names = [f"__k{k}" for k in ks]
+    out = kmeans_many(df, ks, restarts, seed, vector, names)
+    return out.withColumns({n: F.col(n).cast("string") for n in names})

@@ -1,6 +1,7 @@
 """Vector and clustering queries over the embeddings table."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from crowdgap.functions import vectors as fv
@@ -8,6 +9,7 @@ from crowdgap.functions.measures import rounded
 from crowdgap.operators import clustering as cl
 from crowdgap.operators import vectors as vo
 from crowdgap.operators.ordering import exact_quantiles, md5_int, shuffle_key
+from crowdgap.operators.passes import packed
 from crowdgap.plans.bindings import read
 from crowdgap.plans.registry import query
 
@@ -219,6 +221,45 @@ def perm_test_counts(spark, sf):
     return cl.perm_test_counts(src, "cluster", "y", 2000)
 
 
+def _lloyd_round(i: int) -> str:
+    """SQL of one round: nearest centre of every row, then the mean of its rows."""
+    return f"""a{i} AS (SELECT vec_id, j FROM (SELECT c.vec_id, b.j, row_number() OVER (PARTITION BY c.vec_id
+   ORDER BY round(sum((c.x - b.x) ** 2), 12), b.j) AS place FROM cells c JOIN b{i} b ON b.i = c.i
+   GROUP BY c.vec_id, b.j) WHERE place = 1),
+ b{i + 1} AS (SELECT b.j, b.i, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN (SELECT a.j, c.i, avg(c.x) AS x
+   FROM a{i} a JOIN cells c ON c.vec_id = a.vec_id GROUP BY a.j, c.i) m ON m.j = b.j AND m.i = b.i)"""
+
+
+def _gap_to(centres):
+    @F.pandas_udf("double")
+    def gap(v: pd.Series) -> pd.Series:
+        return pd.Series(cl.nearest_centre(fv.stack(v), centres)[1] if len(v) else [], dtype=float)
+
+    return gap
+
+
+@query("kmeans_rounds", f"""
+WITH {_UNIT}, heads AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM e
+  ORDER BY vec_id LIMIT 8),
+ b0 AS (SELECT j, i, x FROM cells JOIN heads USING (vec_id)),
+ {", ".join(_lloyd_round(i) for i in range(4))},
+ d AS (SELECT a3.j, c.vec_id, sum((c.x - b3.x) ** 2) AS gap FROM a3 JOIN cells c USING (vec_id)
+  JOIN b3 ON b3.j = a3.j AND b3.i = c.i GROUP BY ALL)
+SELECT j::INT AS cluster, count(*) AS n, sum(vec_id)::BIGINT AS ids, round(sum(gap), 6) AS cost
+FROM d GROUP BY j""")
+def kmeans_rounds(spark, sf):
+    """Four shared rounds from the eight smallest keys: who is where, and how far."""
+    unit = _unit(spark, sf)
+    blocks = packed(unit, "u")
+    heads = np.array([r.u for r in unit.orderBy("vec_id").limit(8).collect()])
+    centres = cl.lloyd(blocks, [heads, heads[:3]], max_iter=3)[0][0]
+    blocks.unpersist()
+    placed = cl.labelled(unit, [centres], ["cluster"], "u")
+    gap = _gap_to(centres)
+    return placed.withColumn("gap", gap("u")).groupBy("cluster").agg(
+        F.count("*").alias("n"), F.sum("vec_id").alias("ids"), rounded(F.sum("gap")).alias("cost"))
+
+
 @query("kmeans_signature")
 def kmeans_signature(spark, sf):
     got = cl.kmeans(_vectors(spark, sf), 8, 12)
@@ -228,12 +269,12 @@ def kmeans_signature(spark, sf):
 
 @query("k_sweep")
 def k_sweep(spark, sf):
-    return cl.k_sweep(_vectors(spark, sf), "vec_id", [4, 8], restarts=1)
+    return cl.k_sweep(_vectors(spark, sf), "vec_id", range(2, 17))
 
 
 @query("stability_ari")
 def stability_ari(spark, sf):
-    return cl.stability_ari(_vectors(spark, sf), "vec_id", [8], 2, restarts=1)
+    return cl.stability_ari(_vectors(spark, sf), "vec_id", [4, 8, 12])
 
 
 @query("density_clusters")
@@ -250,7 +291,7 @@ def gmm_bic(spark, sf):
 
 @query("hier_vs_kmeans")
 def hier_vs_kmeans(spark, sf):
-    return cl.hier_vs_kmeans(_vectors(spark, sf), "vec_id", 8, 1)
+    return cl.hier_vs_kmeans(_vectors(spark, sf), "vec_id", 8, 8)
 
 
 @query("dictionary_atoms")
