@@ -6,12 +6,13 @@ text is escaped and kept, an image, audio or document part leaves a placeholder
 ``attachments``: its number, kind, reference and the tokens that it expands to.
 
 Escaping is reversible: a control string can only start with ``<|``, and inside a text every ``<``,
-run of backslashes and ``|`` gets one more backslash; reading back takes one away. In roles
-backslashes and newlines are escaped as in C.
+run of backslashes and ``|`` gets one more backslash; reading back takes one away. Adjacent text
+parts are joined before they are escaped, so that no control string forms where two of them meet.
+In roles backslashes and newlines are escaped as in C.
 
 ``loss`` holds the spans (start, length in code points) of the assistant's texts in the output.
 
-Long conversations: parts are escaped and measured before any shuffle. The turns of one
+Long conversations: parts are visited one by one before any shuffle. The turns of one
 conversation meet in one row because the output is one string for each conversation; nothing else
 is collected. Nulls: a null text or role is empty, null turns come first, null conversation ids
 form a conversation of their own. Turns of equal number are ordered by role, then text. Unknown
@@ -68,12 +69,12 @@ def expanded(part: Column) -> Column:
 
 
 def visit(part: Column) -> Column:
-    """What a part leaves: its escaped text, or a kind and an attachment."""
+    """What a part leaves: its text, or a kind and an attachment."""
     is_text = F.coalesce(part["kind"], F.lit("text")) == "text"
     kind = F.when(part["kind"].isin("image", "audio"), part["kind"]).otherwise(F.lit("document"))
     return F.struct(
         is_text.alias("is_text"),
-        F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).alias("text"),
+        F.when(is_text, F.coalesce(part["text"], F.lit(""))).alias("text"),
         F.when(~is_text, kind).alias("kind"), F.when(~is_text, part["ref"]).alias("ref"),
         F.when(~is_text, expanded(part)).alias("tokens"))
 
@@ -123,10 +124,18 @@ def body(parts: Column, before: Column) -> Column:
     number = F.transform(parts, lambda p, i: F.struct(
         p.alias("part"), F.size(F.filter(F.slice(parts, 1, i + 1),
                                          lambda q: ~q["is_text"])).alias("n")))
-    return F.array_join(F.transform(number, lambda x: F.when(
-        x["part"]["is_text"], x["part"]["text"]).otherwise(F.concat(
-            F.lit("<|"), x["part"]["kind"], F.lit(":"), (before + x["n"]).cast("string"),
-            F.lit("|>")))), "")
+
+    def add(held: Column, x: Column) -> Column:
+        mark = F.concat(F.lit("<|"), x["part"]["kind"], F.lit(":"), (before + x["n"]).cast("string"),
+                        F.lit("|>"))
+        text = x["part"]["is_text"]
+        return F.struct(
+            F.when(text, held["done"]).otherwise(
+                F.concat(held["done"], escape(held["run"]), mark)).alias("done"),
+            F.when(text, F.concat(held["run"], x["part"]["text"])).otherwise("").alias("run"))
+
+    nothing = F.struct(F.lit("").alias("done"), F.lit("").alias("run"))
+    return F.aggregate(number, nothing, add, lambda held: F.concat(held["done"], escape(held["run"])))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
