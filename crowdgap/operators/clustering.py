@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
@@ -345,26 +348,105 @@ def _observed(df: DataFrame, label: str, y: str):
     return rows, float(np.var([r.s / r.n for r in rows], ddof=1))
 
 
+# Numbers of one counting pass (permutations x buckets), and rows that a bucket holds on average.
+PASS_NUMBERS, BUCKET_ROWS = 4_000_000, 64
+
+
+def perm_buckets(rows: int) -> int:
+    """Hash ranges of a permutation: a power of two, so that few rows share one."""
+    return 1 << min(16, max(6, (rows // BUCKET_ROWS).bit_length()))
+
+
+def _hashes(keys, perms: range, seed, buckets: int):
+    """For each permutation the md5 digests of all keys, and the buckets of their leading bits."""
+    for i in perms:
+        head = f"{seed}:{i}:".encode()
+        digests = [md5(head + k).digest() for k in keys]
+        yield i, digests, np.array([int.from_bytes(d[:4]) for d in digests], np.int64) * buckets >> 32
+
+
 def perm_test(df: DataFrame, label: str, y: str, key: str, permutations: int,
               seed=0) -> DataFrame:
     """Permutation test of the between-cluster variance of mean ``y``, row by row.
 
-    In each permutation the md5 rank of a row decides which cluster's seat it takes.
+    In each permutation the md5 rank of a row decides which cluster's seat it takes. Rows are never
+    copied: one pass counts rows for each (permutation, hash range), which tells in what range each
+    cluster's seats end; a second adds up ``y`` by (permutation, cluster) and sends on only the rows
+    of ranges in which seats end, to be ranked there. Rows with a null key hash as the empty text.
     """
     rows, observed = _observed(df, label, y)
-    upto, chain = 0, None
-    for r in rows:
-        upto += r.n
-        cond = F.col("rank") <= upto
-        chain = F.when(cond, F.lit(r[label])) if chain is None else chain.when(cond, r[label])
-    copies = df.select(key, col(y).cast("double").alias("y"),
-                       F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    hashed = copies.withColumn("__h", shuffle_key(seed, "perm", key))
-    ranked = with_rank(hashed, ["__h", key], ["perm"],
-                       md5_bucket(F.col("__h"), bucket_count(df)))
-    nulls = (ranked.groupBy("perm", chain.alias("seat")).agg(F.avg("y").alias("mu"))
-             .groupBy("perm").agg(F.var_samp("mu").alias("v")))
-    return _verdict(nulls, observed)
+    ends = np.cumsum([r.n for r in rows])
+    buckets = perm_buckets(int(ends[-1]))
+    src = materialise(df.select(
+        F.coalesce(col(key).cast("string"), F.lit("")).alias("k"), col(y).cast("double").alias("y")),
+        "outcomes")
+    out = None
+    step = max(1, PASS_NUMBERS // buckets)
+    for lo in range(0, permutations, step):
+        perms = range(lo, min(lo + step, permutations))
+        part = _seat_sums(src, perms, seed, buckets, ends)
+        out = part if out is None else out.unionByName(part)
+    # a permutation has one row for each cluster: its seats and their sum
+    sizes = F.array(*[F.lit(float(r.n)) for r in rows])
+    means = out.groupBy("perm", "seat").agg(F.sum("s").alias("s")).withColumn(
+        "mu", F.col("s") / F.get(sizes, F.col("seat")))
+    return _verdict(means.groupBy("perm").agg(F.var_samp("mu").alias("v")), observed)
+
+
+def _seat_sums(src: DataFrame, perms: range, seed, buckets: int, ends: np.ndarray) -> DataFrame:
+    """(perm, seat, s): partial sums of ``y`` over the seats of each cluster."""
+    lo, width = perms[0], len(perms)
+
+    def count(batches):
+        total = np.zeros((width, buckets), np.int64)
+        for batch in batches:
+            keys = [k.encode() for k in batch.column(0).to_pylist()]
+            for i, _, at in _hashes(keys, perms, seed, buckets):
+                total[i - lo] += np.bincount(at, minlength=buckets)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(width)), pa.array(list(total), pa.list_(pa.int64()))], ["i", "n"])
+
+    counted = src.select("k").mapInArrow(count, "i long, n array<long>")
+    merged = counted.groupBy("i").agg(vector_to_array(
+        Summarizer.sum(array_to_vector(F.col("n").cast("array<double>")))).alias("n")).collect()
+    upto = np.zeros((width, buckets), np.int64)
+    for r in merged:                    # permutations x buckets numbers
+        # sums come as means times weights: close to whole numbers
+        upto[r.i] = np.cumsum(np.rint(np.array(r.n)).astype(np.int64))
+
+    def settle(batches):
+        sums = np.zeros((width, len(ends)))
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            keys, values = [k.encode() for k in texts], np.asarray(batch.column(1))
+            for i, digests, at in _hashes(keys, perms, seed, buckets):
+                last = upto[i - lo]
+                first = np.concatenate(([0], last[:-1]))
+                # the seat of a range's first and last row; rows between two seats go on
+                a = np.searchsorted(ends, first, side="right")
+                b = np.searchsorted(ends, np.maximum(last - 1, 0), side="right")
+                sure = a[at] == b[at]
+                np.add.at(sums[i - lo], a[at[sure]], values[sure])
+                rest = np.flatnonzero(~sure)
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(rest), i)), pa.array(np.full(len(rest), -1)),
+                         pa.array(at[rest]), pa.array(first[at[rest]]),
+                         pa.array([digests[j].hex() + texts[j] for j in rest]),
+                         pa.array(values[rest])], names)
+        n = width * len(ends)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(lo, lo + width), len(ends))),
+             pa.array(np.tile(np.arange(len(ends)), width)), pa.array(np.full(n, -1)),
+             pa.array(np.zeros(n, np.int64)), pa.array([""] * n), pa.array(sums.ravel())], names)
+
+    names = ["perm", "seat", "range", "first", "place", "s"]
+    got = materialise(src.select("k", "y").mapInArrow(
+        settle, "perm long, seat long, range long, first long, place string, s double"), "seats")
+    rank = F.row_number().over(Window.partitionBy("perm", "range").orderBy("place")) + F.col("first")
+    seat = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e < rank))
+    return got.where("seat >= 0").select("perm", "seat", "s").unionByName(
+        got.where("seat < 0").select("perm", seat.cast("long").alias("seat"), "s"))
 
 
 def perm_test_counts(df: DataFrame, label: str, y: str, permutations: int = 2000,

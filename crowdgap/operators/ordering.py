@@ -26,6 +26,7 @@ _BUCKET = "__bucket"
 # Rank filters below this size are pruned map-side by Spark itself (window group limit).
 GROUP_LIMIT = 1000
 BUCKET_BYTES = 64 << 20
+TASK_BUCKETS = 64
 
 
 def _col(c) -> Column:
@@ -48,11 +49,13 @@ def md5_bucket(digest: Column, buckets: int) -> Column:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Enough buckets for every task, and for the table's estimated bytes."""
+    """Enough buckets for every task, and for the table's bytes: measured ones of a written table.
+
+    Other plans have estimates, which joins multiply; they count for a few buckets a task at most.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # unknown sizes (streams, some joins) are estimated as huge
-    by_size = size // BUCKET_BYTES if size < 1 << 50 else 0
-    return max(8, parallelism(df.sparkSession), min(by_size, 100_000))
+    tasks = max(8, parallelism(df.sparkSession))
+    return max(tasks, min(size // BUCKET_BYTES, TASK_BUCKETS * tasks))
 
 
 def _cut_points(df: DataFrame, number: Column, buckets: int) -> tuple[list[float], list[float]]:
@@ -107,7 +110,7 @@ def with_prior(df: DataFrame, order: Sequence, totals: Mapping[str, object],
     by = list(by)
     if bucket is None:
         source = df if written else materialise(df, "ordered")
-        work = add_range_bucket(source, order, bucket_count(df))
+        work = add_range_bucket(source, order, bucket_count(source))
     else:
         work = df.withColumn(_BUCKET, bucket)
     sums = work.groupBy(*by, _BUCKET).agg(

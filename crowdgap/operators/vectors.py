@@ -6,18 +6,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdgap.functions.measures import col
 from crowdgap.functions.vectors import (
-    as_double, blocks, l2norm, literal, products, stack, subtract, sum_partials)
-from crowdgap.operators.metrics import auc
+    as_double, blocks, l2norm, literal, norm, products, stack, subtract)
 from crowdgap.operators.ordering import first_rows
-from crowdgap.session import cut
+from crowdgap.session import cut, materialise
 
 
 def mean_vector(df: DataFrame, by: Sequence[str], vector: str = "embedding",
@@ -145,27 +145,93 @@ def self_consistency(df: DataFrame, label: str, vector: str = "embedding") -> Da
                       F.count("*").alias("n"))
 
 
+# Scores of a flush, and rows of a pack for each of its score ranges.
+FLUSH_SCORES, RANGE_ROWS = 2_000_000, 20_000
+
+
 def separation(steps: DataFrame, vectors: DataFrame, key: str, own: str, pack: str = "pack_id",
                side: str = "side", vec: str = "vec", v: str = "v") -> DataFrame:
     """Share of (positive, negative) step pairs each vector orders strictly, per pack.
 
-    The share is a strict AUC of the projections, so no pair is formed: scores are sorted.
-    ``own`` is true for the packs a vector was made from.
+    Neither a pair nor a row for each (step, vector) is formed. Every task counts positives and
+    negatives of the different scores of each (vector, pack, score range) and sends these counters,
+    packed; counters of one range are merged and give the pairs inside it, and running totals over
+    ranges give all others. A pack has one range for every ``RANGE_ROWS`` of the largest pack's rows.
+    ``own`` is true for the packs a vector was made from. Steps and packs may be null; a null side
+    counts as negative.
     """
+    size = steps.groupBy(pack).agg(F.count("*").alias("n"), F.max(norm(vec)).alias("r"))
+    most = size.agg(F.max("n").alias("n"), F.max("r").alias("r")).first()
+    ranges = min(4096, max(1, -(-(most.n or 0) // RANGE_ROWS)))
+    ready = steps.where(col(vec).isNotNull()).select(
+        col(pack).cast("string").alias("p"),
+        F.coalesce(col(side) == "pos", F.lit(False)).alias("y"), as_double(vec).alias("x"))
     out = None
     for names, matrix in blocks(vectors.select(col(key).cast("string").alias("k"), v), "k", v):
-        sims = products(matrix)(as_double(vec))
-        labels = F.array(*[F.lit(n) for n in names])
-        long = (steps.select(pack, (col(side) == "pos").cast("int").alias("y"),
-                             F.inline(F.arrays_zip(labels.alias("k"), sims.alias("s"))))
-                .toDF(pack, "y", "k", "s"))
-        part = auc(long, "y", "s", ["k", pack], ties=0.0)
-        out = part if out is None else out.unionByName(part)
+        part = _packed_counters(ready, names, matrix, ranges, float(most.r or 0))
+        merged = part.groupBy("k", "p", "range").applyInPandas(
+            _merge_counters, "k string, p string, range int, pos double, neg double, inside double")
+        out = merged if out is None else out.unionByName(merged)
+    before = Window.partitionBy("k", "p").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.coalesce(F.sum("neg").over(before), F.lit(0.0))
+    shares = out.withColumn("wins", F.col("inside") + F.col("pos") * lower).groupBy("k", "p").agg(
+        (F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("separation"))
     owners = vectors.select(col(key).cast("string").alias("k"), col(own).alias("__own"))
-    return (out.join(owners, "k")
-            .select(F.col("k").cast(vectors.schema[key].dataType).alias(key), pack,
-                    F.col("auc").alias("separation"),
-                    F.array_contains("__own", F.col(pack)).alias("own")))
+    named = F.col("p").cast(steps.schema[pack].dataType)
+    return shares.join(owners, "k").select(
+        F.col("k").cast(vectors.schema[key].dataType).alias(key), named.alias(pack), "separation",
+        F.array_contains("__own", named).alias("own"))
+
+
+def _packed_counters(ready: DataFrame, names: list[str], matrix: np.ndarray, ranges: int,
+                     longest: float) -> DataFrame:
+    """(k, p, range, scores, pos, neg): the different scores of a task with their counts, as bytes."""
+    reach = np.maximum(np.linalg.norm(matrix, axis=1) * longest, 1e-300)
+    right = np.ascontiguousarray(matrix.T)
+    each = max(1, FLUSH_SCORES // max(1, len(names)))
+
+    def counters(p: pd.Series, y: np.ndarray, x: np.ndarray):
+        code, packs = pd.factorize(p, use_na_sentinel=False)
+        scores = x @ right
+        for j, name in enumerate(names):
+            s = scores[:, j]
+            at = np.clip(((s / reach[j] + 1) / 2 * ranges).astype(np.int64), 0, ranges - 1)
+            order = np.lexsort((s, at, code))
+            c, a, s, hit = code[order], at[order], s[order], y[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (c[1:] != c[:-1]) | (a[1:] != a[:-1])
+            value = new.copy()
+            value[1:] |= s[1:] != s[:-1]
+            first = np.flatnonzero(value)
+            pos = np.add.reduceat(hit.astype(np.int64), first)
+            neg = np.diff(np.append(first, len(s))) - pos
+            group = np.append(np.searchsorted(first, np.flatnonzero(new)), len(first))
+            for lo, hi in zip(group[:-1], group[1:]):
+                i = first[lo]
+                yield (name, packs[c[i]], int(a[i]), s[first[lo:hi]].tobytes(),
+                       pos[lo:hi].tobytes(), neg[lo:hi].tobytes())
+
+    def run(it):
+        for batch in it:
+            for lo in range(0, len(batch), each):
+                part = batch.iloc[lo:lo + each]
+                yield pd.DataFrame(
+                    list(counters(part["p"], part["y"].to_numpy(bool), stack(part["x"]))),
+                    columns=["k", "p", "range", "scores", "pos", "neg"])
+
+    return ready.mapInPandas(run, "k string, p string, range int, scores binary, pos binary, neg binary")
+
+
+def _merge_counters(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Positives, negatives and strictly ordered pairs of one score range."""
+    s = np.frombuffer(b"".join(pdf["scores"]), np.float64)
+    pos = np.frombuffer(b"".join(pdf["pos"]), np.int64)
+    neg = np.frombuffer(b"".join(pdf["neg"]), np.int64)
+    values, at = np.unique(s, return_inverse=True)
+    p, n = np.bincount(at, pos, len(values)), np.bincount(at, neg, len(values))
+    inside = float((p * (np.cumsum(n) - n)).sum())
+    return pd.DataFrame({"k": pdf["k"].iloc[:1], "p": pdf["p"].iloc[:1], "range": pdf["range"].iloc[:1],
+                         "pos": p.sum(), "neg": n.sum(), "inside": inside})
 
 
 def generalisation(separations: DataFrame, key: str, threshold: float = 0.65) -> DataFrame:
@@ -288,109 +354,150 @@ def _first_match(leaders: np.ndarray, threshold: float):
     return match
 
 
-def _accelerated(gradient, size: int, curvature: float, l1: float, steps: int,
-                 tol: float = 1e-5) -> np.ndarray:
-    """Proximal steps for a smooth loss plus ``l1`` times the absolute sum.
+# Numbers of one pass of the solver: groups x (dimensions + 1) squared.
+SOLVER_NUMBERS = 4_000_000
+
+
+def _signed_blocks(rows: DataFrame):
+    """Cached blocks (rows with threshold column, signed by side; first row of each group; groups)."""
+    def pack(it):
+        held = [(r[0], r[1], r[2]) for r in it]
+        if held:
+            g = np.array([h[0] for h in held])
+            z = np.array([h[2] for h in held], float)
+            z = np.hstack([z, np.ones((len(z), 1))]) * np.where([h[1] for h in held], 1.0, -1.0)[:, None]
+            order = np.argsort(g, kind="stable")
+            g, z = g[order], z[order]
+            first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            yield z, first, g[first]
+
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, n // 10_000), -(-n // 200_000))
+    return rows.repartition(parts).rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def keyed_sums(block, step, width: int, groups: int) -> np.ndarray:
+    """``step(rows, group of each row)`` added up by group: groups x width."""
+    z, first, names = block
+    which = np.repeat(names, np.diff(np.append(first, len(z))))
+    out = np.zeros((groups, width))
+    out[names] = np.add.reduceat(step(z, which), first, axis=0)
+    return out
+
+
+def _solve(blocks_of, groups: int, d: int, l1: float, tol: float, max_iter: int):
+    """(w, slack) of all groups: smallest ``l1`` times the absolute sum plus mean squared violation.
 
-    The last entry is the free threshold: it is not penalised.
+    Proximal steps with momentum; every pass gives the gradients of all groups that are not done. A
+    group is done when its optimality conditions hold within ``tol``. The threshold is the last
+    entry and is not penalised.
     """
-    w = ahead = np.zeros(size)
-    t, rate = 1.0, 1.0 / max(curvature, 1e-12)
-    for _ in range(steps):
-        raw = ahead - rate * gradient(ahead)
+    add = lambda a, b: a + b
+
+    def total(step, width, f=keyed_sums):
+        parts = blocks_of.map(lambda b, s=step, w=width, g=groups, f=f: f(b, s, w, g))
+        return parts.treeReduce(add) if blocks_of.getNumPartitions() > 32 else parts.reduce(add)
+
+    gram = total(lambda z, g: np.concatenate([np.ones((len(z), 1)), (
+        z[:, :, None] * z[:, None, :]).reshape(len(z), -1)], 1), 1 + d * d)
+    n = np.maximum(gram[:, 0], 1)
+    curve = np.array([np.linalg.eigvalsh(m.reshape(d, d))[-1] for m in gram[:, 1:]])
+    rate = (1 / np.maximum(2 * curve / n, 1e-12))[:, None]
+    w = np.zeros((groups, d))
+    ahead, t, open_ = w.copy(), np.ones(groups), np.ones(groups, bool)
+
+    def gradient(at):
+        return -2 / n[:, None] * total(lambda z, g, at=at: np.maximum(
+            0.0, 1 - (z * at[g]).sum(1))[:, None] * z, d)
+
+    for _ in range(max_iter):
+        grad = gradient(ahead)
+        raw = ahead - rate * grad
         fresh = np.sign(raw) * np.maximum(np.abs(raw) - rate * l1, 0.0)
-        fresh[-1] = raw[-1]
+        fresh[:, -1] = raw[:, -1]
         moved = fresh - w
-        if moved @ (ahead - fresh) > 0:
-            t = 1.0   # momentum points uphill: restart it
+        t = np.where((moved * (ahead - fresh)).sum(1) > 0, 1.0, t)   # momentum points uphill
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = fresh + (t - 1) / t_next * moved
-        w, t = fresh, t_next
-        if np.linalg.norm(moved) <= tol * max(np.linalg.norm(w), 1e-12):
+        # how far a step still moves, in units of the gradient
+        open_ &= np.abs((ahead - fresh) / rate).max(1) > tol
+        w = np.where(open_[:, None], fresh, w)
+        ahead = np.where(open_[:, None], fresh + ((t - 1) / t_next)[:, None] * moved, w)
+        t = t_next
+        if not open_.any():
             break
-    return w
-
+    slack = total(lambda z, g, w=w: np.maximum(0.0, 1 - (z * w[g]).sum(1))[:, None], 1)[:, 0]
+    return w, slack, np.abs(optimality(gradient(w), w, l1)).max(1)
 
-def _signed_rows(hit: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rows with a threshold column, negative steps negated: margins are plain products."""
-    return np.hstack([x, np.ones((len(x), 1))]) * np.where(hit, 1.0, -1.0)[:, None]
 
+def optimality(grad: np.ndarray, w: np.ndarray, l1: float) -> np.ndarray:
+    """How far each entry is from the conditions of a minimum; zero where they hold."""
+    size = l1 * np.ones(w.shape)
+    size[:, -1] = 0.0
+    return np.where(w != 0, grad + np.sign(w) * size, np.sign(grad) * np.maximum(np.abs(grad) - size, 0))
 
-def _hinge(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, 1 - rows @ w)
 
-
-def contrast_direction(steps: DataFrame, side: str = "side", vec: str = "vec", l1: float = 0.05,
-                       max_iter: int = 60) -> tuple[list[float], float]:
-    """Sparse unit direction that scores positive steps above negative ones, and its slack.
+def contrast_fits(steps: DataFrame, by: str | None, side: str = "side", vec: str = "vec",
+                  l1: float = 0.05, tol: float = 1e-4, max_iter: int = 1000) -> DataFrame:
+    """(by, n, v, weights, slack, residual) for each group of steps; a null group is a group.
 
     Ordering every (positive, negative) pair with a margin is the same as having one threshold
-    between the two sets, so the rows are enough and no pair is formed: smallest absolute sum
-    plus the squared violations. One pass of grouped sums per iteration.
+    between the two sets, so rows are enough and no pair is formed. All groups are solved together,
+    as many at a time as ``SOLVER_NUMBERS`` allows, by sums over blocks of rows, so neither the
+    size of a group nor the dealing of its rows matters. ``v`` has unit length (zeros where nothing
+    separates, or where one side is missing); ``residual`` is the distance to optimality.
     """
-    d = len(steps.select(vec).first()[0])
-    sign = F.when(col(side) == "pos", 1.0).otherwise(-1.0)
-    rows = steps.select(F.transform(F.concat(as_double(vec), F.array(F.lit(1.0))),
-                                    lambda x: x * sign).alias("z")).persist()
-    try:
-        n = rows.count()
-
-        def total(step):
-            return sum_partials(rows, "z", step, d + 1)
-
-        probe, top = np.ones(d + 1) / np.sqrt(d + 1), 1.0
-        for _ in range(8):
-            image = total(lambda z, p=probe: (z @ p) @ z)
-            top = float(np.linalg.norm(image))
-            probe = image / max(top, 1e-12)
-        # the estimate approaches the largest eigenvalue from below
-        w = _accelerated(lambda a: -2 / n * total(lambda z: _hinge(z, a) @ z), d + 1,
-                         2.2 * top / n, l1, max_iter)
-        slack = float(sum_partials(rows, "z", lambda z: np.array([_hinge(z, w).sum()]), 1)[0])
-    finally:
-        rows.unpersist()
-    v = w[:-1]
-    length = float(np.linalg.norm(v))
-    return [float(x) / length if length else 0.0 for x in v], slack
-
-
-def _sparse_direction(hit: np.ndarray, x: np.ndarray, l1: float, steps: int) -> np.ndarray:
-    """The same problem for the few rows of one group."""
-    z = _signed_rows(hit, x)
-    curvature = 2 * np.linalg.norm(z, 2) ** 2 / len(z)
-    return _accelerated(lambda a: -2 / len(z) * (_hinge(z, a) @ z), z.shape[1], curvature, l1,
-                        steps)[:-1]
+    rows = steps.where(col(vec).isNotNull()).select(
+        (F.lit(None).cast("string") if by is None else col(by)).alias("name"),
+        F.coalesce(col(side) == "pos", F.lit(False)).alias("hit"), as_double(vec).alias("x"))
+    rows = materialise(rows, "steps")
+    kind = rows.schema["name"].dataType.simpleString()
+    schema = f"name {kind}, n bigint, v array<double>, weights array<double>, slack double, residual double"
+    first = rows.first()
+    sizes = rows.groupBy("name").agg(F.count("*").alias("n"), F.count_if("hit").alias("pos"))
+    d = 1 + (len(first.x) if first else 0)
+    chunk = max(1, SOLVER_NUMBERS // d ** 2)
+    numbered = materialise(sizes.withColumn("id", F.monotonically_increasing_id()), "groups")
+    out = steps.sparkSession.createDataFrame([], schema)
+    held: list = []
+
+    def flush():
+        names = steps.sparkSession.createDataFrame([(r.id, i) for i, r in enumerate(held)], "id long, g int")
+        mine = numbered.join(F.broadcast(names), "id").select(F.col("name").alias("__name"), "g")
+        part = rows.join(F.broadcast(mine), F.col("name").eqNullSafe(F.col("__name"))).select("g", "hit", "x")
+        blocks_of = _signed_blocks(part)
+        try:
+            w, slack, residual = _solve(blocks_of, len(held), d, l1, tol, max_iter)
+        finally:
+            blocks_of.unpersist()
+        lone = np.array([r.pos in (0, r.n) for r in held])
+        length = np.where(lone, 0.0, np.linalg.norm(w[:, :-1], axis=1))
+        v = np.where(length[:, None] > 0, w[:, :-1] / np.maximum(length, 1e-300)[:, None], 0.0)
+        found = [(r.name, r.n, v[i].tolist(), w[i].tolist(), float(slack[i]), float(residual[i]))
+                 for i, r in enumerate(held)]
+        held.clear()
+        return steps.sparkSession.createDataFrame(found, schema)
+
+    for r in numbered.toLocalIterator():        # one row for each group, a bounded number at a time
+        held.append(r)
+        if len(held) == chunk:
+            out = out.unionByName(flush())
+    if held:
+        out = out.unionByName(flush())
+    return out.withColumnRenamed("name", by or "group")
 
 
-def contrast_directions(steps: DataFrame, by: str, side: str = "side", vec: str = "vec",
-                        l1: float = 0.05, task_rows: int = 5000,
-                        max_iter: int = 300) -> DataFrame:
-    """One unit direction per group of steps.
+def contrast_direction(steps: DataFrame, side: str = "side", vec: str = "vec", l1: float = 0.05,
+                       max_iter: int = 1000) -> tuple[list[float], float]:
+    """Sparse unit direction that scores positive steps above negative ones, and its slack."""
+    one = contrast_fits(steps, None, side, vec, l1, max_iter=max_iter).first()
+    return list(one.v), float(one.slack)
 
-    Groups of at most ``task_rows`` steps are solved where they are; a larger group gets its own
-    distributed fit, so no task ever holds more than the bound.
-    """
-    sizes = steps.groupBy(by).agg(F.count("*").alias("n"))
-    small = sizes.where(F.col("n") <= task_rows).select(by)
-    kind = steps.schema[by].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        hit = (pdf["side"] == "pos").to_numpy()
-        x = stack(pdf["vec"])
-        v = _sparse_direction(hit, x, l1, max_iter) if hit.any() and not hit.all() \
-            else np.zeros(x.shape[1])
-        length = np.linalg.norm(v)
-        return pd.DataFrame({by: pdf[by].iloc[:1], "v": [v / length if length else v]})
-
-    ready = steps.select(by, col(side).alias("side"), as_double(vec).alias("vec"))
-    out = (ready.join(small, by, "left_semi").groupBy(by)
-           .applyInPandas(solve, f"{by} {kind}, v array<double>"))
-    for row in sizes.where(F.col("n") > task_rows).toLocalIterator():
-        v, _ = contrast_direction(ready.where(F.col(by).eqNullSafe(F.lit(row[by]))), "side",
-                                  "vec", l1)
-        one = steps.sparkSession.createDataFrame([(row[by], v)], f"{by} {kind}, v array<double>")
-        out = out.unionByName(one)
-    return out
+
+def contrast_directions(steps: DataFrame, by: str, side: str = "side", vec: str = "vec",
+                        l1: float = 0.05, max_iter: int = 1000) -> DataFrame:
+    """One unit direction per group of steps."""
+    return contrast_fits(steps, by, side, vec, l1, max_iter=max_iter).select(by, "v")
 
 
 def concept_score(df: DataFrame, v: Sequence[float], vector: str = "embedding",

@@ -414,7 +414,7 @@ def leader_clusters(spark, sf):
 def contrast_direction(spark, sf):
     steps = _unit(spark, sf).select(
         F.col("u").alias("vec"), F.when(F.col("label") < 5, "pos").otherwise("neg").alias("side"))
-    v, slack = vo.contrast_direction(steps, l1=0.002, max_iter=10)
+    v, slack = vo.contrast_direction(steps, l1=0.002)
     return steps.agg(F.count("*").alias("n")).withColumns({
         "nonzeros": F.lit(int(np.count_nonzero(np.abs(v) > 1e-9))), "slack": F.lit(slack)})
 
@@ -429,6 +429,40 @@ def contrast_directions(spark, sf):
     return vo.generalisation(vo.separation(steps, vecs, "vid", "own"), "vid")
 
 
+@query("contrast_optimal", """
+SELECT CASE WHEN label % 4 = 3 THEN NULL ELSE label END AS pack_id, count(*) AS n,
+ count(*) FILTER (vec_id % 2 = 0) AS positives, true AS optimal
+FROM embeddings GROUP BY 1""")
+def contrast_optimal(spark, sf):
+    """Every group, the null one too, meets the conditions of a minimum, checked over its rows.
+
+    For entries that are zero the gradient is at most l1; for others it cancels l1.
+    """
+    l1 = 0.01
+    steps = _unit(spark, sf).select(
+        F.when(F.col("label") % 4 != 3, F.col("label")).alias("pack_id"), F.col("u").alias("vec"),
+        F.when(F.col("vec_id") % 2 == 0, "pos").otherwise("neg").alias("side"))
+    fits = vo.contrast_fits(steps, "pack_id", l1=l1, tol=1e-4).select(
+        F.col("pack_id").alias("__p"), "weights")
+    sign = F.when(F.col("side") == "pos", 1.0).otherwise(-1.0)
+    z = F.transform(F.concat("vec", F.array(F.lit(1.0))), lambda x: x * sign)
+    miss = F.greatest(1 - fv.dot("z", "weights"), F.lit(0.0))
+    rows = steps.withColumn("z", z).join(F.broadcast(fits), F.col("pack_id").eqNullSafe(F.col("__p")))
+    entries = rows.select("pack_id", miss.alias("miss"), F.size("z").alias("d"),
+                          F.posexplode(F.arrays_zip("z", "weights")).alias("j", "e"))
+    grads = entries.groupBy("pack_id", "j").agg(
+        (-2 * F.sum(F.col("miss") * F.col("e.z")) / F.count("*")).alias("grad"),
+        F.first("e.weights").alias("w"), F.first("d").alias("d"))
+    price = F.when(F.col("j") == F.col("d") - 1, 0.0).otherwise(l1)
+    off = F.when(F.col("w") != 0, F.abs(F.col("grad") + F.sign("w") * price)).otherwise(
+        F.greatest(F.abs("grad") - price, F.lit(0.0)))
+    good = grads.groupBy("pack_id").agg((F.max(off) < 1e-3).alias("optimal")).withColumnRenamed(
+        "pack_id", "__g")
+    sizes = steps.groupBy("pack_id").agg(F.count("*").alias("n"),
+                                         F.count_if(F.col("side") == "pos").alias("positives"))
+    return sizes.join(good, F.col("pack_id").eqNullSafe(F.col("__g"))).drop("__g")
+
+
 @query("novelty")
 def novelty(spark, sf):
     unit = _unit(spark, sf)

@@ -38,7 +38,7 @@ def test_two_shifted_coordinates_are_found(spark):
     assert np.abs(np.delete(v, [5, 11])).max() < 0.1 * v[5]
     tagged = steps.withColumn("g", F.lit("one"))
     small = vo.contrast_directions(tagged, "g", vec="v").first().v
-    large = vo.contrast_directions(tagged, "g", vec="v", task_rows=10).first().v
+    large = vo.contrast_directions(tagged.repartition(7), "g", vec="v").first().v
     assert np.dot(small, v) > 0.99 and np.dot(large, v) > 0.99
 
 
