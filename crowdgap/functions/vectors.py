@@ -89,21 +89,3 @@ def blocks(df: DataFrame, label: str, vector: str,
         yield labels, np.asarray(rows, dtype=np.float64)
 
 
-def sum_partials(df: DataFrame, vector: str, step, width: int) -> np.ndarray:
-    """Sum ``step(matrix) -> flat stats`` over all rows.
-
-    A task emits one partial sum per partition, Spark adds them up, and only a model-sized
-    result reaches the driver.
-    """
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(width)
-        for part in it:
-            if len(part):
-                total += step(stack(part.iloc[:, 0]))
-        yield pd.DataFrame({"i": np.arange(width), "x": total})
-
-    parts = df.select(as_double(vector).alias("v")).mapInPandas(run, "i long, x double")
-    out = np.zeros(width)
-    for r in parts.groupBy("i").agg(F.sum("x").alias("x")).collect():   # model-sized
-        out[r.i] = r.x
-    return out

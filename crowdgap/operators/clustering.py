@@ -8,7 +8,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from crowdgap.functions import measures as m
 from crowdgap.functions.measures import col
-from crowdgap.functions.vectors import as_double, blocks, l2norm, stack, sum_partials
+from crowdgap.functions.vectors import as_double, blocks, l2norm, stack
 from crowdgap.operators.metrics import ari
 from crowdgap.operators.ordering import (
     bucket_count, md5_bucket, md5_int, shuffle_key, with_rank)
 from crowdgap.operators.passes import packed, summed
-from crowdgap.session import cut, materialise
+from crowdgap.session import cut, materialise, parallelism
 
 
 def _features(df: DataFrame, vector: str) -> DataFrame:
@@ -378,8 +378,8 @@ def perm_test(df: DataFrame, label: str, y: str, key: str, permutations: int,
     ends = np.cumsum([r.n for r in rows])
     buckets = perm_buckets(int(ends[-1]))
     src = materialise(df.select(
-        F.coalesce(col(key).cast("string"), F.lit("")).alias("k"), col(y).cast("double").alias("y")),
-        "outcomes")
+        F.coalesce(col(key).cast("string"), F.lit("")).alias("k"), col(y).cast("double").alias("y"))
+        .repartition(parallelism(df.sparkSession)), "outcomes")
     out = None
     step = max(1, PASS_NUMBERS // buckets)
     for lo in range(0, permutations, step):
@@ -648,55 +648,82 @@ def density_report(df: DataFrame, key: str, flat: str, eps: float, min_pts: Sequ
 
 # ---------------------------------------------------------------- mixtures
 
-def gmm_fit(df: DataFrame, k: int, vector: str = "embedding", max_iter: int = 50,
-            tol: float = 1e-3, seed: int = 0, reg: float = 1e-6) -> dict:
-    """Diagonal Gaussian mixture by EM; every iteration is one pass of grouped sums."""
-    ready = df.select(array_to_vector(as_double(vector)).alias("f"))
-    start = KMeans(k=k, seed=seed, featuresCol="f").fit(ready) if k > 1 else None
-    d = len(df.select(vector).first()[0])
-
-    def moments(x):
-        return np.concatenate([[len(x)], x.sum(0), (x ** 2).sum(0)])
-
-    base = sum_partials(df, vector, moments, 1 + 2 * d)
-    n, mean = base[0], base[1:1 + d] / base[0]
-    spread = base[1 + d:] / n - mean ** 2 + reg
-    mu = np.asarray(start.clusterCenters()) if start else mean[None, :]
-    var, weight = np.tile(spread, (k, 1)), np.full(k, 1.0 / k)
-    last = -np.inf
-    for _ in range(max_iter):
-        def em(x, mu=mu, var=var, weight=weight):
-            log = (np.log(weight) - 0.5 * (d * np.log(2 * np.pi) + np.log(var).sum(1))
-                   - 0.5 * ((x ** 2) @ (1 / var).T - 2 * x @ (mu / var).T
-                            + (mu ** 2 / var).sum(1)))
-            top = log.max(axis=1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(log - top).sum(1))
-            r = np.exp(log - total[:, None])
-            return np.concatenate([[total.sum()], r.sum(0), (r.T @ x).ravel(),
-                                   (r.T @ (x ** 2)).ravel()])
-
-        stats = sum_partials(df, vector, em, 1 + k + 2 * k * d)
-        loglik = float(stats[0])
-        nk = stats[1:1 + k] + 1e-10
-        mu = stats[1 + k:1 + k + k * d].reshape(k, d) / nk[:, None]
-        var = np.maximum(stats[1 + k + k * d:].reshape(k, d) / nk[:, None] - mu ** 2, 0) + reg
-        weight = nk / nk.sum()
-        if abs(loglik - last) / n < tol:
+def mixture_sums(x, use, models) -> np.ndarray:
+    """Log-likelihood, weights and weighted moments of each (means, variances, weights)."""
+    out, d = [], x.shape[1]
+    for mu, var, weight in models:
+        log = (np.log(weight) - 0.5 * (d * np.log(2 * np.pi) + np.log(var).sum(1))
+               - 0.5 * ((x ** 2) @ (1 / var).T - 2 * x @ (mu / var).T + (mu ** 2 / var).sum(1)))
+        top = log.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(log - top).sum(1))
+        r = np.exp(log - total[:, None])
+        out += [[total.sum()], r.sum(0), (r.T @ x).ravel(), (r.T @ (x ** 2)).ravel()]
+    return np.concatenate(out)
+
+
+def fit_mixtures(blocks, starts: Sequence[tuple], n: int, max_iter: int = 100, tol: float = 1e-3,
+                 reg: float = 1e-6) -> list[dict]:
+    """Diagonal Gaussian mixtures by EM; all models share every pass and leave when they converge.
+
+    ``history`` holds a model's log-likelihood before each update.
+    """
+    models = [{"at": s, "history": []} for s in starts]
+    open_ = list(range(len(models)))
+    for step in range(max_iter + 1):
+        now = [models[i]["at"] for i in open_]
+        flat = summed(blocks, lambda x, u, m=now, f=mixture_sums: f(x, u, m))
+        at, left = 0, []
+        for i in open_:
+            k, d = models[i]["at"][0].shape
+            part = flat[at:at + 1 + k + 2 * k * d]
+            at += len(part)
+            history = models[i]["history"]
+            history.append(float(part[0]))
+            if step == max_iter or (len(history) > 1 and history[-1] - history[-2] < tol * n):
+                continue
+            nk = part[1:1 + k] + 1e-10
+            mu = part[1 + k:1 + k + k * d].reshape(k, d) / nk[:, None]
+            var = np.maximum(part[1 + k + k * d:].reshape(k, d) / nk[:, None] - mu ** 2, 0) + reg
+            models[i]["at"] = mu, var, nk / nk.sum()
+            left.append(i)
+        open_ = left
+        if not open_:
             break
-        last = loglik
-    free = 2 * k * d + k - 1
-    return {"k": k, "log_likelihood": loglik, "bic": -2 * loglik + free * float(np.log(n)),
-            "means": mu, "variances": var, "weights": weight}
+    return models
 
 
-def gmm_bic(df: DataFrame, ks: Sequence[int], vector: str = "embedding", max_iter: int = 50,
-            seed: int = 0) -> DataFrame:
-    src = df.select(vector).persist()
+def mixtures(df: DataFrame, ks: Sequence[int], key: str, vector: str = "embedding", starts: int = 2,
+             max_iter: int = 100, seed: int = 0, reg: float = 1e-6) -> list[dict]:
+    """Every start of every k: {k, start, log_likelihood, bic, history, means, variances, weights}."""
+    blocks = packed(df, vector)
     try:
-        rows = [(k, float(gmm_fit(src, k, vector, max_iter, seed=seed)["bic"])) for k in ks]
+        sample, _ = start_rows(df, key, vector, seed)
+        base = summed(blocks, lambda x, u: np.concatenate([[len(x)], x.sum(0), (x ** 2).sum(0)]))
+        n, d = int(base[0]), sample.shape[1]
+        spread = base[1 + d:] / n - (base[1:1 + d] / n) ** 2 + reg
+        jobs = [(k, s) for k in ks for s in range(starts)]
+        runs = lloyd(blocks, [first_centres(sample, k, seed + s) for k, s in jobs], max_iter=20)
+        begin = [(c, np.tile(spread, (len(c), 1)), np.full(len(c), 1 / len(c))) for c, _ in runs]
+        done = fit_mixtures(blocks, begin, n, max_iter, reg=reg)
     finally:
-        src.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, bic double")
+        blocks.unpersist()
+    out = []
+    for (k, s), model in zip(jobs, done):
+        mu, var, weight = model["at"]
+        log = model["history"][-1]
+        free = 2 * len(mu) * d + len(mu) - 1
+        out.append({"k": k, "start": s, "log_likelihood": log, "bic": -2 * log + free * float(np.log(n)),
+                    "history": model["history"], "means": mu, "variances": var, "weights": weight})
+    return out
+
+
+def gmm_bic(df: DataFrame, ks: Sequence[int], key: str, vector: str = "embedding", starts: int = 2,
+            max_iter: int = 100, seed: int = 0) -> DataFrame:
+    """BIC of the better start for each number of components."""
+    best: dict[int, float] = {}
+    for r in mixtures(df, ks, key, vector, starts, max_iter, seed):
+        best[r["k"]] = min(best.get(r["k"], float("inf")), r["bic"])
+    return df.sparkSession.createDataFrame(sorted(best.items()), "k int, bic double")
 
 
 # ---------------------------------------------------------------- sparse parts
@@ -716,27 +743,32 @@ def sparse_codes(x: np.ndarray, atoms: np.ndarray, alpha: float, steps: int = 60
     return code
 
 
+def code_sums(x, use, atoms, alpha: float, codes=sparse_codes) -> np.ndarray:
+    c = codes(x, atoms, alpha)
+    return np.concatenate([(c.T @ c).ravel(), (c.T @ x).ravel()])
+
+
 def dictionary_fit(df: DataFrame, key: str, n_atoms: int = 32, alpha: float = 0.5,
-                   rounds: int = 10, seed=0, vector: str = "embedding") -> np.ndarray:
-    """Alternate sparse codes (row-local) and atoms (from summed products)."""
-    unit = df.select(key, l2norm(vector).alias(vector)).persist()
+                   rounds: int = 300, seed=0, vector: str = "embedding", tol: float = 1e-4) -> np.ndarray:
+    """Alternate sparse codes (row-local) and atoms (from summed products) until atoms stay."""
+    unit = df.select(key, l2norm(vector).alias(vector))
+    blocks = packed(unit, vector)
     try:
         seeds = unit.orderBy(shuffle_key(seed, key), key).limit(n_atoms).collect()
         atoms = np.asarray([r[vector] for r in seeds])
         n, d = atoms.shape
         for _ in range(rounds):
-            def stats(x, atoms=atoms):
-                c = sparse_codes(x, atoms, alpha)
-                return np.concatenate([(c.T @ c).ravel(), (c.T @ x).ravel()])
-
-            flat = sum_partials(unit, vector, stats, n * n + n * d)
+            flat = summed(blocks, lambda x, u, a=atoms.copy(), f=code_sums: f(x, u, a, alpha))
             a, b = flat[:n * n].reshape(n, n), flat[n * n:].reshape(n, d)
+            old = atoms.copy()
             for j in range(n):
                 if a[j, j] > 1e-10:
                     atom = atoms[j] + (b[j] - a[j] @ atoms) / a[j, j]
                     atoms[j] = atom / max(np.linalg.norm(atom), 1.0)
+            if np.abs(atoms - old).max() < tol:
+                break
     finally:
-        unit.unpersist()
+        blocks.unpersist()
     return atoms
 
 

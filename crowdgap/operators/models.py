@@ -24,6 +24,8 @@ from crowdgap.operators import metrics
 from crowdgap.operators.boosting import Booster, Job, chances
 from crowdgap.operators.clustering import kmeans_many
 from crowdgap.operators.joins import keep_groups, score_lookup
+from crowdgap.operators.logistic import chances as logistic_chances, fit_logistic
+from crowdgap.operators.passes import packed
 from crowdgap.operators.ranking import curve_delta
 from crowdgap.operators.rows import counterfactual
 from crowdgap.operators.sampling import group_folds, group_holdout, sample_groups, strat_folds
@@ -186,25 +188,106 @@ def cv_summary(oof: DataFrame) -> DataFrame:
 
 
 def ladder(df: DataFrame, specs: Mapping[str, Sequence[Block]], y, group: str,
-           make: Factory = logit, k: int = 5, base: str | None = None) -> DataFrame:
-    """AUC of growing feature sets on the same folds, with the gain over a base set."""
-    src = df.persist()
-    rows = []
-    try:
-        for name, blocks in specs.items():
-            oof = grouped_cv(src, blocks, y, group, make, k)
-            row = cv_summary(oof).first()
-            rows.append((name, float(row["mean"]), float(row["sd"]), oof.first()["width"]))
-    finally:
-        src.unpersist()
+           make: Factory | None = None, k: int = 5, base: str | None = None, c: float = 0.5) -> DataFrame:
+    """AUC of growing feature sets on the same folds, with the gain over a base set.
+
+    One design holds every block once (of a vector the widest cut); a spec is a set of its columns.
+    Without ``make`` all logistic regressions, specs times folds, are fitted in shared passes.
+    """
+    widest: dict[str, Block] = {}
+    for b in (b for blocks in specs.values() for b in blocks):
+        key = b.vector or b.name
+        if key not in widest or (widest[key].width or 0) < (b.width or 0):
+            widest[key] = b
+    blocks = list(widest.values())
+    src = _once(df, blocks, y, [group])
+    folds = group_folds(src, group, k, 0).select(group, "fold")
+    ready, own = columns_of(src.join(folds, group), blocks, "__y")
+    ready = materialise(ready.select("fold", LABEL, FEATURES), "design")
+    sets = {}
+    for name, chosen in specs.items():
+        at = []
+        for b in chosen:
+            places = [i for x in [*b.categorical, *b.numeric] for i in own[x]]
+            at += places + (own[f"vector {b.vector}"][:b.width] if b.vector else [])
+        sets[name] = sorted(at)
+    scores = _logistic_scores(ready, sets, k, c) if make is None else _made_scores(ready, sets, k, make)
+    rows = [(name, *scores[name], len(sets[name])) for name in specs]
     ref = dict((r[0], r[1]) for r in rows).get(base)
     out = df.sparkSession.createDataFrame(rows, "spec string, auc double, sd double, width int")
     gain = F.col("auc") - F.lit(ref)
     return out.withColumn("gain", gain).withColumn("verdict", m.verdict_gain("gain"))
 
 
+def columns_of(df: DataFrame, blocks: Sequence[Block], y) -> tuple[DataFrame, dict[str, list[int]]]:
+    """The design, and the places of each input column (``vector <name>``: of a vector) in it."""
+    wide = prepare(df, blocks, y)
+    ready, model = design(df, blocks, y)
+    inputs = model.stages[-1].getInputCols()
+    first = model.transform(wide).select(*inputs).first()
+    names = {f"__v_{b.name}": f"vector {b.vector}" for b in blocks if b.vector}
+    own: dict[str, list[int]] = {}
+    at = 0
+    for col_name, value in zip(inputs, first or []):
+        size = value.size if hasattr(value, "size") else 1
+        own[names.get(col_name, col_name[4:])] = list(range(at, at + size))
+        at += size
+    return ready, own
+
+
+def _fold_aucs(scored: DataFrame, names: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """(mean, sd) over folds for each spec; ``scores`` has one entry per spec."""
+    long = scored.select("fold", LABEL, F.posexplode("scores").alias("spec", SCORE))
+    per = metrics.auc(long, LABEL, SCORE, ["spec", "fold"])
+    rows = metrics.fold_summary(per, "auc", ["spec"]).collect()         # one row per spec
+    return {names[r.spec]: (float(r["mean"]), float(r["sd"])) for r in rows}
+
+
+def _logistic_scores(ready: DataFrame, sets: Mapping[str, Sequence[int]], k: int, c: float) -> dict:
+    width = n_features(ready)
+    blocks = packed(ready.withColumn("__v", F.concat(
+        vector_to_array(FEATURES), F.array(LABEL))), "__v", [F.col("fold") != f for f in range(k)])
+    try:
+        fits = fit_logistic(blocks, [(f, sets[s]) for s in sets for f in range(k)], width, c)
+    finally:
+        blocks.unpersist()
+    models = [fits[i:i + k] for i in range(0, len(fits), k)]
+    scored = ready.select("fold", LABEL, logistic_chances(models)(
+        vector_to_array(FEATURES), "fold").alias("scores"))
+    return _fold_aucs(scored, list(sets))
+
+
+def _made_scores(ready: DataFrame, sets: Mapping[str, Sequence[int]], k: int, make: Factory) -> dict:
+    out = {}
+    for name, at in sets.items():
+        x = vector_to_array(FEATURES)
+        part = ready.withColumn(FEATURES, array_to_vector(F.array(*[x[i] for i in at])))
+        row = cv_summary(cross_validate(part, k, make, [])).first()
+        out[name] = float(row["mean"]), float(row["sd"])
+    return out
+
+
+def logit_report(df: DataFrame, blocks: Sequence[Block], y, c: float = 0.5) -> DataFrame:
+    """(name, coefficient, mean, scale) of one regression over all rows, the intercept last."""
+    ready, own = columns_of(_once(df, blocks, y, []), blocks, "__y")
+    ready = materialise(ready.select(LABEL, FEATURES), "design")
+    width = n_features(ready)
+    rows = packed(ready.withColumn("__v", F.concat(vector_to_array(FEATURES), F.array(LABEL))), "__v",
+                  [F.lit(True)])
+    try:
+        fit = fit_logistic(rows, [(0, range(width))], width, c)[0]
+    finally:
+        rows.unpersist()
+    names = {i: f"{n}[{j}]" if len(at) > 1 else n for n, at in own.items() for j, i in enumerate(at)}
+    found = [(names[i], float(w), float(mu), float(sd)) for i, w, mu, sd in
+             zip(fit.columns, fit.weights, fit.mean, fit.scale)]
+    return df.sparkSession.createDataFrame(
+        [*found, ("intercept", float(fit.weights[-1]), 0.0, 1.0)],
+        "name string, coefficient double, mean double, scale double")
+
+
 def width_sweep(df: DataFrame, blocks: Sequence[Block], vector: str, widths: Sequence[int], y,
-                group: str, make: Factory = logit, k: int = 5) -> DataFrame:
+                group: str, make: Factory | None = None, k: int = 5) -> DataFrame:
     """Gain of a vector block at several widths; the widest scores are reused as prefixes."""
     specs = {"base": list(blocks)}
     for w in widths:

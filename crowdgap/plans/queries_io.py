@@ -14,6 +14,7 @@ from crowdgap.plans.queries_joins import CLUB_QUOTAS
 from crowdgap.plans.registry import query
 from crowdgap.session import new_path
 from crowdgap.sources import archives, sinks
+from crowdgap.sources.live import LiveTable
 from crowdgap.streaming import jobs
 
 
@@ -150,6 +151,31 @@ def rewrite_with_map(spark, sf):
     return spark.read.parquet(path).groupBy("gid").agg(F.count("*").alias("n"))
 
 
+@query("live_rewrite", f"""
+WITH {EVALS}, amap AS (SELECT item_key, min(game_id) AS game_id FROM evals GROUP BY item_key
+  HAVING count(DISTINCT game_id) = 1), raw AS (SELECT item_key, min(CASE WHEN batch % 2 = 0
+  THEN '?' ELSE CAST(game_id AS STRING) END) AS gid FROM evals GROUP BY item_key),
+ t AS (SELECT r.gid AS old, coalesce(CAST(a.game_id AS STRING), r.gid) AS new FROM raw r
+  LEFT JOIN amap a ON a.item_key = r.item_key)
+SELECT version, gid, n FROM (SELECT 'before' AS version, old AS gid, count(*) AS n FROM t GROUP BY 2
+ UNION ALL SELECT 'after', new, count(*) FROM t GROUP BY 2)""")
+def live_rewrite(spark, sf):
+    """A table filled in two appends of which the second repeats rows, before and after a rewrite."""
+    src = evals(spark, sf)
+    rows = src.groupBy("item_key").agg(F.min(F.when(F.col("batch") % 2 == 0, "?").otherwise(
+        F.col("game_id").cast("string"))).alias("gid"))
+    table = LiveTable(spark, new_path(spark, "live"), "item_key")
+    table.append_new(rows.where("gid = '?'"))
+    table.append_new(rows)
+    mapping = joins.unambiguous_map(src, "item_key", "game_id").select(
+        "item_key", F.col("game_id").cast("string").alias("gid"))
+    version = table.versions()[-1]
+    table.rewrite_with_map(mapping, "item_key", "gid")
+    parts = [table.read(version=v).groupBy("gid").agg(F.count("*").alias("n")).withColumn(
+        "version", F.lit(name)) for v, name in ((version, "before"), (None, "after"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("studied_latest", f"""
 WITH {ATTEMPTS} SELECT code, concept, max(id) AS last_id FROM attempts
 WHERE event_type = 'signup' GROUP BY code, concept""")
@@ -171,7 +197,7 @@ def mine_stream(spark, sf):
     stream = select_stream(spark, sf, "lineitem")
     jobs.mine_stream(stream, sink, "item_key", arrival(),
                      lambda b: rows.flag_disagreement(b, LEVELS)).awaitTermination()
-    return spark.read.parquet(sink).groupBy("flagged").agg(
+    return LiveTable(spark, sink, "item_key").read().groupBy("flagged").agg(
         F.count("*").alias("n"), F.countDistinct("item_key").alias("keys"))
 
 

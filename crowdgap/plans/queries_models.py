@@ -28,7 +28,7 @@ def _items(spark, sf):
 
 
 # The first rounds of the study's 300: a round of five folds takes eleven passes (README).
-ROUNDS = 15
+ROUNDS = 10
 
 
 def _gbm(train):
@@ -58,11 +58,63 @@ def cv_rows(spark, sf):
                    F.countDistinct("fold").alias("folds")).join(split)
 
 
+EMBEDDING = Block("embedding", vector="scores", width=40)
+
+
+def _with_scores(spark, sf):
+    """Items with 40 component scores of a vector each."""
+    vec = read(spark, sf, "embeddings")
+    n = vec.count()
+    scores = vo.pca_scores(vec.select("vec_id", fv.l2norm("embedding").alias("u")), 40, "u")
+    keyed = _items(spark, sf).withColumn("vec_id", F.pmod(F.crc32(F.col("item_key").cast("binary")), F.lit(n)))
+    return attach_vectors(keyed, scores, "vec_id", "scores")
+
+
 @query("feature_ladder")
 def feature_ladder(spark, sf):
-    return mo.ladder(_items(spark, sf), {
-        "surface": [SURFACE], "crowd": [CROWD], "engine": [ENGINE],
-        "all": [SURFACE, CROWD, ENGINE]}, "found", "game_id", _full_logit, 5, "surface")
+    """The study's eight rungs, from surface features to everything with the embedding."""
+    return mo.ladder(_with_scores(spark, sf), {
+        "surface": [SURFACE], "crowd": [CROWD], "engine": [ENGINE], "embedding": [EMBEDDING],
+        "surface + engine": [SURFACE, ENGINE], "surface + engine + crowd": [SURFACE, ENGINE, CROWD],
+        "surface + engine + crowd + rating": ALL,
+        "all + embedding": [*ALL, EMBEDDING]}, "found", "game_id",
+        base="surface + engine + crowd + rating")
+
+
+@query("best_width")
+def best_width(spark, sf):
+    """Best gain of the embedding at any width, with and without the rating in the base set."""
+    items = _with_scores(spark, sf)
+    parts = []
+    for name, blocks in (("position", [SURFACE, ENGINE, CROWD]), ("with rating", ALL)):
+        sweep = mo.width_sweep(items, blocks, "scores", [2, 5, 10, 20, 40], "found", "game_id")
+        parts.append(sweep.where("spec <> 'base'").agg(
+            F.max_by("spec", "gain").alias("width"), F.max("gain").alias("gain")).withColumn(
+            "base", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("logit_gradient", f"""
+WITH {MASTER} SELECT name, 0.0 AS gradient FROM (VALUES ('ply'), ('best_cp'), ('second_cp'), ('cost'),
+ ('p1'), ('p2'), ('p3'), ('p4'), ('mover_rating'), ('intercept')) t(name)
+WHERE (SELECT count(*) FROM master) > 0""")
+def logit_gradient(spark, sf):
+    """At the fitted coefficients the objective's gradient, summed over the rows by Spark, is zero."""
+    block = Block("all", {"ply": 0.0, **ENGINE.numeric, **CROWD.numeric, **RATING.numeric})
+    items = _items(spark, sf)
+    fit = mo.logit_report(items, [block], "found").collect()       # one row per column
+    z = {r["name"]: (F.lit(1.0) if r["name"] == "intercept" else (F.coalesce(
+        m.nan_to_null(F.col(r["name"])), F.lit(block.numeric[r["name"]])) - r["mean"]) / r["scale"])
+        for r in fit}
+    margin = sum((z[r["name"]] * r["coefficient"] for r in fit), F.lit(0.0))
+    off = 1 / (1 + F.exp(-F.col("margin"))) - F.col("found").cast("double")
+    rows = items.select("found", margin.alias("margin"), *[z[r["name"]].alias(f"z{i}") for i, r in enumerate(fit)])
+    price = {r["name"]: 0.0 if r["name"] == "intercept" else r["coefficient"] for r in fit}
+    sums = rows.agg(*[(0.5 * F.sum(off * F.col(f"z{i}")) + price[r["name"]]).alias(f"z{i}")
+                      for i, r in enumerate(fit)])
+    lines = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.abs(F.round(f"z{i}", 3)).alias("gradient"))
+                      for i, r in enumerate(fit)])
+    return sums.select(F.inline(lines))
 
 
 @query("difficulty_calibration")
@@ -134,7 +186,7 @@ def _documents(spark, sf):
     vec = read(spark, sf, "embeddings")
     n = vec.count()
     docs = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
-    scores = vo.pca_scores(vec.select("vec_id", fv.l2norm("embedding").alias("u")), 10, "u")
+    scores = vo.pca_scores(vec.select("vec_id", fv.l2norm("embedding").alias("u")), 40, "u")
     keyed = docs.withColumn("vec_id", F.col("doc_id") % n)
     return attach_vectors(keyed, scores, "vec_id", "scores").select(
         "doc_id", "source", "lang", "n_chars", "quality", "scores")
@@ -143,8 +195,7 @@ def _documents(spark, sf):
 @query("pca_ladder")
 def pca_ladder(spark, sf):
     base = Block("surface", {"n_chars": 0.0}, ("lang",))
-    return mo.width_sweep(_documents(spark, sf), [base], "scores", [2, 5, 10], "quality", "source",
-                          _full_logit, 5)
+    return mo.width_sweep(_documents(spark, sf), [base], "scores", [2, 5, 10, 20, 40], "quality", "source")
 
 
 @query("cluster_gain")

@@ -283,10 +283,26 @@ def density_clusters(spark, sf):
     return cl.density_report(src, "vec_id", "label", 1.0, [3], "u")
 
 
+_MIXTURES = [1, 2, 4, 6, 8, 10, 12]
+
+
 @query("gmm_bic")
 def gmm_bic(spark, sf):
-    src = vo.pca_scores(_unit(spark, sf), 8, "u")
-    return cl.gmm_bic(src, [1, 2, 4], "scores", max_iter=5)
+    src = vo.pca_scores(_unit(spark, sf), 40, "u")
+    return cl.gmm_bic(src, _MIXTURES, "vec_id", "scores")
+
+
+@query("mixture_rises", f"""
+SELECT k::INT AS k, start::INT AS start, true AS rises, true AS weights_add_up
+FROM (VALUES {", ".join(f"({k})" for k in _MIXTURES)}) a(k), (VALUES (0), (1)) b(start)
+WHERE (SELECT count(*) FROM embeddings) > 0""")
+def mixture_rises(spark, sf):
+    """The log-likelihood of no start of any size ever falls (beyond what the variance floor adds)."""
+    src = vo.pca_scores(_unit(spark, sf), 40, "u")
+    rows = [(r["k"], r["start"], bool(np.min(np.diff(r["history"]), initial=0) > -1e-3),
+             bool(abs(r["weights"].sum() - 1) < 1e-9))
+            for r in cl.mixtures(src, _MIXTURES, "vec_id", "scores")]
+    return spark.createDataFrame(rows, "k int, start int, rises boolean, weights_add_up boolean")
 
 
 @query("hier_vs_kmeans")
@@ -296,9 +312,14 @@ def hier_vs_kmeans(spark, sf):
 
 @query("dictionary_atoms")
 def dictionary_atoms(spark, sf):
+    """The eight atoms that gain most on flagged rows, with their nearest motifs of either sign."""
     src = _vectors(spark, sf).withColumn("flagged", F.col("vec_id") % 5 != 0)
-    atoms = cl.dictionary_fit(src, "vec_id", 16, 0.2, 3)
-    return cl.atom_rates(src, atoms, "flagged", 0.2)
+    atoms = cl.dictionary_fit(src, "vec_id")
+    rates = cl.atom_rates(src, atoms, "flagged")
+    rows = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(atoms)],
+                                 "atom int, direction array<double>")
+    named = vo.nearest_motifs(rows, _motifs(spark, sf), "label", 3, by_size=True).drop("direction")
+    return rates.join(named, "atom").orderBy(F.desc("gain"), "atom").limit(8)
 
 
 @query("pca_scores")
@@ -374,7 +395,7 @@ SELECT 1 AS k, round(sum(n * (ln(2 * pi() * (v + 1e-6)) + v / (v + 1e-6)))
  + 2 * count(*) * ln(any_value(n)), 3) AS bic FROM m""")
 def mixture_of_one(spark, sf):
     """With one component the likelihood has a closed form."""
-    return cl.gmm_bic(_unit(spark, sf), [1], "u").withColumn("bic", F.round("bic", 3))
+    return cl.gmm_bic(_unit(spark, sf), [1], "vec_id", "u").withColumn("bic", F.round("bic", 3))
 
 
 @query("pca_trace", f"""
@@ -403,6 +424,47 @@ def perm_counts_observed(spark, sf):
         F.col("permutations").cast("bigint").alias("permutations"))
 
 
+_SCORED = """s AS (SELECT c.label, c.vec_id, sum(c.x * w.x) AS score FROM cells c JOIN (
+  SELECT i, avg(x) AS x FROM cells WHERE label = 0 GROUP BY i) w ON w.i = c.i GROUP BY ALL)"""
+
+
+def _strongest(spark, sf, by_size):
+    unit = _unit(spark, sf)
+    scored = vo.concept_score(unit, vo.overall_mean(unit.where("label = 0"), "u"), "u")
+    return vo.strongest(scored, ["label"], "score", "vec_id", 5, by_size).select(
+        "label", F.col("rank").cast("bigint").alias("rank"), "vec_id", rounded("score").alias("score"))
+
+
+@query("strongest", f"""
+WITH {_UNIT}, {_SCORED} SELECT label, rank, vec_id, round(score, 6) + 0.0 AS score FROM (SELECT *,
+ row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def strongest(spark, sf):
+    return _strongest(spark, sf, False)
+
+
+@query("strongest_by_size", f"""
+WITH {_UNIT}, {_SCORED} SELECT label, rank, vec_id, round(score, 6) + 0.0 AS score FROM (SELECT *,
+ row_number() OVER (PARTITION BY label ORDER BY abs(score) DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def strongest_by_size(spark, sf):
+    """Either sign counts."""
+    return _strongest(spark, sf, True)
+
+
+@query("nearest_motifs_by_size", f"""
+WITH {_UNIT}, {_MOTIFS}, s AS (SELECT g.grp, m.label, sum(g.x * m.x) / any_value(gl.len) AS c
+  FROM gd g JOIN motifs m ON m.i = g.i JOIN gl ON gl.grp = g.grp GROUP BY g.grp, m.label),
+ r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY abs(c) DESC, label) AS rank FROM s)
+SELECT grp, rank, CAST(label AS STRING) AS motif, round(c, 6) AS cosine FROM r WHERE rank <= 3""")
+def nearest_motifs_by_size(spark, sf):
+    unit = _unit(spark, sf)
+    groups = vo.directions(unit.where("vec_id % 5 <> 0").withColumn("grp", F.expr("vec_id % 7")),
+                           "grp", unit.where("vec_id % 5 = 0"), "u")
+    out = vo.nearest_motifs(groups, _motifs(spark, sf), "label", 3, by_size=True)
+    return out.select("grp", F.posexplode("motifs").alias("at", "m")).select(
+        "grp", (F.col("at") + 1).cast("bigint").alias("rank"), "m.motif",
+        rounded("m.cosine").alias("cosine"))
+
+
 @query("leader_clusters")
 def leader_clusters(spark, sf):
     src = _unit(spark, sf).select("vec_id", F.col("u").alias("v"),

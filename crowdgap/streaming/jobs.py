@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from crowdgap.operators.joins import Quota
 from crowdgap.operators.ordering import dedupe, first_rows
 from crowdgap.session import new_path
-from crowdgap.sources.sinks import append_new, exists, latest
+from crowdgap.sources.live import LiveTable
+from crowdgap.sources.sinks import exists, latest
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet",
@@ -36,9 +37,18 @@ def _start(df: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: st
 def mine_stream(source: DataFrame, sink: str, key: str, order: Sequence,
                 derive: Callable[[DataFrame], DataFrame],
                 checkpoint: str | None = None) -> StreamingQuery:
-    """Derive and append the items of each batch that the sink does not hold yet."""
+    """Derive and append the items of each batch that the sink does not hold yet.
+
+    The sink is a :class:`~crowdgap.sources.live.LiveTable`: a batch reads the slots it touches.
+    """
+    table = LiveTable(source.sparkSession, sink, key)
+
     def step(batch: DataFrame, _: int) -> None:
-        append_new(derive(dedupe(batch, key, order)), sink, key)
+        batch = batch.persist()         # its slots are looked at before its rows
+        try:
+            table.append_new(derive(dedupe(batch, key, order)))
+        finally:
+            batch.unpersist()
 
     return _start(source, step, checkpoint)
 

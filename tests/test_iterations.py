@@ -162,3 +162,31 @@ def test_agreement_of_tables():
     table = np.zeros((4, 3))
     np.add.at(table, (a, b), 1)
     assert abs(cl.ari_of(table)) < .02 and cl.ari_of(np.diag([5., 7., 9.])) == 1.0
+
+
+def test_logistic_models_meet_their_conditions(spark):
+    """Gradients vanish, and a plain Newton solver finds the same coefficients."""
+    from crowdgap.operators.logistic import fit_logistic
+    rng = np.random.default_rng(8)
+    x = rng.normal(2, 3, (400, 4))
+    x[:, 3] = 1.0                                               # constant
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 2)))).astype(float)
+    df = spark.createDataFrame([(i, [*map(float, r), float(t)]) for i, (r, t) in enumerate(zip(x, y))],
+                               "i int, v array<double>").repartition(4)
+    blocks = packed(df, "v", [F.col("i") < 300, F.lit(True)])
+    for (member, columns), fit in zip([(0, (0, 1, 2, 3)), (1, (0, 2)), (0, (3,))], fit_logistic(
+            blocks, [(0, (0, 1, 2, 3)), (1, (0, 2)), (0, (3,))], 4, c=0.5)):
+        rows = slice(0, 300) if member == 0 else slice(0, 400)
+        part = x[rows][:, columns]
+        sd = part.std(0)
+        z = np.hstack([np.divide(part - part.mean(0), sd, out=np.zeros_like(part), where=sd > 1e-9),
+                       np.ones((len(part), 1))])
+        w = np.zeros(z.shape[1])
+        price = np.append(np.ones(len(columns)), 0.0)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-z @ w))
+            h = .5 * z.T @ (z * (p * (1 - p))[:, None]) + np.diag(price)
+            w -= np.linalg.solve(h, .5 * z.T @ (p - y[rows]) + price * w)
+        assert np.abs(fit.weights - w).max() < 1e-5
+        assert np.abs(fit.margins(x[rows]) - z @ w).max() < 1e-5
+    blocks.unpersist()

@@ -9,6 +9,7 @@ from crowdgap.operators import rows
 from crowdgap.operators.joins import Quota
 from crowdgap.operators.ordering import dedupe
 from crowdgap.sources import archives, sinks
+from crowdgap.sources.live import LiveTable
 from crowdgap.streaming import jobs
 
 RECORDS = "\n\n".join([
@@ -208,3 +209,47 @@ def test_rewrite_in_place(spark, tmp_path):
                            "fen", "gid")
     assert {r.fen: r.gid for r in spark.read.parquet(path).collect()} == {"a": "e1", "b": "x"}
     assert not os.path.exists(path + ".__old") and not os.path.exists(path + ".__new")
+
+
+def test_live_tables_read_touched_slots_and_swap_whole(spark, tmp_path):
+    table = LiveTable(spark, str(tmp_path / "live"), "k", slots=8)
+    assert table.read() is None and table.manifest() == {}
+    rows = spark.range(40).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    table.append_new(rows)
+    table.append_new(rows)                                    # a replayed batch adds nothing
+    assert table.read().count() == 40 and len(table.versions()) == 1
+    one = spark.range(100, 101).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    slot = one.select(table._slot()).first()[0]
+    # damage every other slot: an append that touches one slot does not read them
+    other = [p for p in table.folders(table.manifest()) if not p.endswith(f"slot={slot}")]
+    kept = {}
+    for folder in other:
+        for f in os.listdir(folder):
+            if f.endswith(".parquet"):
+                kept[f"{folder}/{f}"] = open(f"{folder}/{f}", "rb").read()
+                open(f"{folder}/{f}", "wb").write(b"not a table")
+                crc = f"{folder}/.{f}.crc"
+                if os.path.exists(crc):
+                    os.remove(crc)
+    table.append_new(one)
+    for f, data in kept.items():
+        open(f, "wb").write(data)
+    assert table.read().count() == 41 and len(table.versions()) == 2
+    before = table.read()
+    table.rewrite_with_map(spark.createDataFrame([(3, "new"), (3, "new")], "k long, v string"), "k", "v")
+    assert {r.k: r.v for r in table.read().collect()}[3] == "new" and table.read().count() == 41
+    assert before.where("v = 'new'").count() == 0 and before.count() == 41     # a running reader
+    assert table.read(version=2).where("v = 'new'").count() == 0
+    with pytest.raises(Exception, match="several values"):
+        table.rewrite_with_map(spark.createDataFrame([(4, "x"), (4, "y")], "k long, v string"), "k", "v")
+    assert table.read().count() == 41 and len(table.versions()) == 3
+    table.replace(table.read().where("k < 0"))
+    assert table.read() is None
+
+
+def test_live_table_with_two_keys_and_null_keys(spark, tmp_path):
+    table = LiveTable(spark, str(tmp_path / "live"), ["a", "b"])
+    rows = spark.createDataFrame([("x", 1), ("x", 2), (None, 1)], "a string, b int")
+    table.append_new(rows)
+    table.append_new(rows.where("a is not null"))
+    assert table.read().count() == 3

@@ -146,7 +146,7 @@ def test_components_of_a_chain(spark):
 
 def test_mixture_prefers_the_planted_number(planted):
     _, _, df = planted
-    bic = {r.k: r.bic for r in cl.gmm_bic(df, [1, 2, 4], "v", max_iter=15).collect()}
+    bic = {r.k: r.bic for r in cl.gmm_bic(df, [1, 2, 4], "id", "v", max_iter=15).collect()}
     assert bic[4] < bic[2] < bic[1]
 
 
