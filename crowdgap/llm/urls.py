@@ -5,8 +5,8 @@ with the rule's path; the longest rule wins (of equally long ones the longer hos
 ``block``). A url that no rule fits gets ``default``.
 
 The index holds the xxhash64 digests of ``host + path`` in order, and the full strings beside
-them. Spark makes every digest a url could match (suffixes of its host, path prefixes of the
-lengths that occur in rules), a task finds them all with one vectorised binary search, and hits
+them. Spark makes every digest a url could match (host suffixes of the label counts and path
+prefixes of the lengths that occur in rules), a task finds them all with one vectorised binary search, and hits
 count only if the stored string is the same, so digests that collide do no harm.
 
 The index travels as files, so its size is checked: a rule table beyond ``max_rules`` is joined on
@@ -56,11 +56,16 @@ def clean_rules(rules: DataFrame) -> DataFrame:
             .groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
 
 
-def probes(host, path, lengths: list[int]) -> Column:
-    """Every ``host + path`` string of a rule that would fit."""
+def probes(host, path, lengths: list[int], counts: list[int]) -> Column:
+    """Every ``host + path`` string of a rule that would fit.
+
+    Host suffixes of the label counts and path prefixes of the lengths that occur in rules: work
+    grows with a url's length, not with its square.
+    """
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(F.array(*[F.lit(n) for n in counts]),
+                                    lambda n: n <= F.size(labels)),
+                           lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     heads = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]),
                                  lambda n: n <= F.length(path)),
                         lambda n: F.substring(path, F.lit(1), n))
@@ -124,8 +129,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
     spark = pages.sparkSession
     rules = clean_rules(rules)
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(10_001).collect()]
-    if len(lengths) > 10_000:
-        raise ValueError("rules have more than 10,000 different path lengths")
+    counts = [r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct()
+              .limit(10_001).collect()]
+    if len(lengths) > 10_000 or len(counts) > 10_000:
+        raise ValueError("rules have more than 10,000 different path lengths or label counts")
     urls = pages.select(F.col(key), host_of(F.col(url)).alias("host"),
                         path_of(F.col(url)).alias("path"))
     if not lengths:
@@ -133,10 +140,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
                            F.lit(default).alias("verdict"))
     head = rules.limit(max_rules + 1).collect() if max_rules else []
     if not max_rules or len(head) > max_rules:
-        return joined(urls, rules, key, lengths, default)
+        return joined(urls, rules, key, lengths, counts, default)
     with tempfile.TemporaryDirectory() as folder:
         names = ship(spark, write_index(head, folder))
-    asked = urls.withColumn("probe", probes(F.col("host"), F.col("path"), lengths))
+    asked = urls.withColumn("probe", probes(F.col("host"), F.col("path"), lengths, counts))
     asked = asked.withColumn("digest", F.transform("probe", lambda p: F.xxhash64(p)))
     kind = urls.schema[key].dataType.simpleString()
 
@@ -178,14 +185,14 @@ def ship(spark: SparkSession, paths: list[str]) -> dict[str, str]:
 
 
 def joined(urls: DataFrame, rules: DataFrame, key: str, lengths: list[int],
-           default: str) -> DataFrame:
+           counts: list[int], default: str) -> DataFrame:
     """The same verdicts by a join on the digest, for rule tables of any size."""
     keyed = rules.select(F.concat("host", F.lit("\t"), "path").alias("s"),
                          F.concat("host", "path").alias("rule"), "verdict",
                          F.length("host").alias("h"))
     keyed = keyed.withColumn("d", F.xxhash64("s"))
     places = urls.select("host", "path").distinct()
-    asked = (places.withColumn("p", F.explode(probes(F.col("host"), F.col("path"), lengths)))
+    asked = (places.withColumn("p", F.explode(probes(F.col("host"), F.col("path"), lengths, counts)))
              .withColumn("d", F.xxhash64("p")))
     found = asked.join(keyed, (asked.d == keyed.d) & (asked.p == keyed.s)).groupBy(
         asked.host, asked.path).agg(F.max(F.struct(F.length("rule").alias("n"), "h", "rule",
