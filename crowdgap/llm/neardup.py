@@ -3,18 +3,19 @@
 A text's k-mers are its shingles of five words, each labelled with its occurrence number. For each
 of BANDS hash functions the PICKED smallest labelled k-mers are taken and kept in text order; their
 combination is the band's key, so texts share a key if the same k-mers were picked in the same
-order. Two texts of similarity 0.8 share none of 16 keys with a chance of about 1 in 100,000.
+order. Texts of which one word in forty differs share none of 16 keys with a chance of about 1 in
+30,000; at one word in twenty it is 1 in 3,000, at one in nine, the limit, 1 in 12.
 
-Similarity comes from a banded alignment: labelled k-mers occur once in a text, so the longest
-common subsequence of two texts is the longest increasing run of positions of common k-mers, among
-those whose positions differ by no more than unmatched k-mers allow. Aligned k-mers over all
-k-mers of both must reach 0.8.
+Similarity comes from a banded alignment of words: k-mers that both texts hold once are aligned by
+the longest increasing run of their positions, among those whose positions differ by no more than
+unmatched words allow; the words between aligned k-mers are aligned by their longest common
+subsequence. Aligned words over all words of both must reach 0.8.
 
 How the work is bounded:
 
 * Equal texts are one text (by a 128-bit digest) from the start; copies only meet in a count.
-* Texts that share a key are compared in blocks of BLOCK rows by small sketches (a byte for each
-  of BINS ranges of hash values); a larger group is more blocks on more tasks.
+* Texts that share a key are compared in blocks of BLOCK rows by small sketches of their words (a
+  byte for each of BINS ranges of hash values); a larger group is more blocks on more tasks.
 * Only pairs whose sketches allow 0.8 (3.5 standard deviations) and that nothing has linked yet
   are aligned, in their first common band, inside the task. A block emits a forest of links: fewer
   than it has rows, whatever the number of similar pairs.
@@ -41,7 +42,7 @@ from crowdgap.llm.common import materialise, mix, powers, small, texts, words_of
 from crowdgap.llm.registry import query, table
 
 WORDS, SIMILAR = 5, 0.8
-BANDS, PICKED = 16, 3
+BANDS, PICKED = 16, 2
 BINS, BLOCK = 512, 500
 NO_TEXT = np.zeros(0, np.uint64)
 
@@ -51,7 +52,7 @@ def digest_of(text) -> Column:
 
 
 def shingles(marks: np.ndarray) -> np.ndarray:
-    """Occurrence-labelled shingles of a text's word hashes, in text order."""
+    """Hashes of a text's shingles, in text order."""
     if not len(marks):
         return NO_TEXT
     k = min(WORDS, len(marks))
@@ -60,19 +61,39 @@ def shingles(marks: np.ndarray) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for i in range(k):
         h += marks[i:i + n] * weight[i]
-    h = mix(h)
+    return mix(h)
+
+
+def grams(marks: np.ndarray) -> np.ndarray:
+    """Occurrence-labelled shingles of a text's word hashes, in text order."""
+    return numbered(shingles(marks))
+
+
+def single(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a text holds once, ascending, and where."""
+    h, at, count = np.unique(shingles(line.astype(np.uint64)), return_index=True, return_counts=True)
+    return h[count == 1], at[count == 1]
+
+
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Hashes with their occurrence number mixed in, so that each is there once."""
     order = np.argsort(h, kind="stable")
     line = h[order]
     same = line[1:] == line[:-1]
     if same.any():
         begin = np.flatnonzero(np.concatenate(([True], ~same)))
-        number = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-        label = np.empty(n, np.uint64)
+        number = np.arange(len(h)) - np.repeat(begin, np.diff(np.append(begin, len(h))))
+        label = np.empty(len(h), np.uint64)
         label[order] = number
         h = mix(h + label * np.uint64(0xA0761D6478BD642F))
     return h
 
 
+def short(marks: np.ndarray) -> np.ndarray:
+    """Word hashes in four bytes each."""
+    return (marks >> np.uint64(32)).astype(np.uint32)
+
+
 def each_text(column):
     """The word hashes of each text of an Arrow column."""
     raw, at = texts(column)
@@ -119,7 +140,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(k, digest, keys) of every row; keys are null without a word."""
     def run(batches):
         for batch in small(batches, 2):
-            lines = map(shingles, each_text(batch.column(2)))
+            lines = map(grams, each_text(batch.column(2)))
             keys = [band_keys(h).view(np.int64).tolist() if len(h) else None for h in lines]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
@@ -133,16 +154,15 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 def details(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(digest, keys, sketch, line) of the texts with wanted digests.
 
-    ``line`` holds the labelled shingles in text order, four bytes each.
+    ``line`` holds the words in text order, four bytes each.
     """
     def run(batches):
         for batch in small(batches, 1):
             keys, bits, lines = [], [], []
             for marks in each_text(batch.column(1)):
-                h = shingles(marks)
-                keys.append(band_keys(h).tobytes())
-                bits.append(sketch(h).tobytes())
-                lines.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
+                keys.append(band_keys(grams(marks)).tobytes())
+                bits.append(sketch(numbered(marks)).tobytes())
+                lines.append(short(marks).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, pa.binary()) for x in (keys, bits, lines))],
                 ["digest", "keys", "sketch", "line"])
@@ -153,9 +173,10 @@ def details(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 
 def allowed(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether sketches allow 0.8 between one and each of many; ``sizes`` are shingles of both.
+    """Whether sketches allow 0.8 between one and each of many; ``sizes`` are words of both.
 
-    A sketch is a sample without replacement of the shingles of both texts.
+    A sketch is a sample without replacement of the labelled words of both texts. Aligned words are
+    common to both, so their share in any order is no less.
     """
     bins = np.maximum(((b != 0) | (a != 0)[None, :]).sum(1), 1)
     same = ((a[None, :] == b) & (b != 0)).sum(1) / bins
@@ -171,13 +192,13 @@ class Group:
         self.keys, self.bits, self.side, self.band, self.both = keys, bits, side, band, both
         self.lines = [np.frombuffer(x, np.uint32) for x in lines]
         self.n = np.array([len(x) for x in self.lines])
-        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.marks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def similarity(self, i: int, j: int) -> float:
-        if j not in self.sorted:
-            order = np.argsort(self.lines[j])
-            self.sorted[j] = self.lines[j][order], order
-        return similarity(self.lines[i], *self.sorted[j])
+        for x in (i, j):
+            if x not in self.marks:
+                self.marks[x] = single(self.lines[x])
+        return similarity(self.lines[i], self.lines[j], self.marks[i], self.marks[j])
 
     def links(self):
         """Pairs of rows of 0.8 or more that join all rows which such pairs join."""
@@ -271,29 +292,74 @@ def links_in(t: pa.Table, group: list[str]):
                                       pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
-def increasing(values: np.ndarray) -> int:
-    """Length of the longest increasing run (not contiguous) of distinct values."""
+def increasing(values: np.ndarray) -> np.ndarray:
+    """Places of a longest increasing run (not contiguous) of distinct values."""
     if len(values) < 2 or (np.diff(values) > 0).all():
-        return len(values)
+        return np.arange(len(values))
     tails: list[int] = []
-    for v in values.tolist():
+    places: list[int] = []
+    before = np.full(len(values), -1)
+    for at, v in enumerate(values.tolist()):
         i = bisect_left(tails, v)
-        if i == len(tails):
-            tails.append(v)
-        else:
-            tails[i] = v
-    return len(tails)
-
-
-def similarity(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> float:
-    """Aligned labelled shingles over all shingles of both; ``b`` sorted, with its text order."""
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    i = np.flatnonzero(b[at] == a)
-    j = order[at[i]]
-    # at 0.8 this many shingles have no partner, and a position can shift by no more
+        before[at] = places[i - 1] if i else -1
+        tails[i:i + 1] = [v]
+        places[i:i + 1] = [at]
+    out = [places[-1]]
+    while before[out[-1]] >= 0:
+        out.append(before[out[-1]])
+    return np.array(out[::-1])
+
+
+def common(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence; a bit for each member of ``b``."""
+    if not a or not b:
+        return 0
+    where: dict[int, int] = {}
+    for i, w in enumerate(b):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    open_ = full                            # a cleared bit is one step of the length
+    for w in a:
+        if w in where:
+            met = open_ & where[w]
+            open_ = ((open_ + met) | (open_ - met)) & full
+    return len(b) - open_.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, x, y) -> float:
+    """Aligned words over all words of both; ``x`` and ``y`` are their ``single`` shingles.
+
+    Less than 0.8 is a lower bound: alignment ends where 0.8 is out of reach.
+    """
     total = len(a) + len(b)
-    free = int(total - 2 * SIMILAR / (1 + SIMILAR) * total) + 1
-    m = increasing(j[np.abs(i - j) <= free])
+    need = 2 * SIMILAR / (1 + SIMILAR) * total / 2
+    free = int(total - 2 * need) + 1        # words without a partner; a position shifts by no more
+    _, of_a, of_b = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    i, j = x[1][of_a], y[1][of_b]
+    order = np.argsort(i)
+    order = order[np.abs(i - j)[order] <= free]
+    order = order[increasing(j[order])]
+    i, j = i[order], j[order]
+    size = min(WORDS, len(a), len(b))
+    # runs of one shift cover the words of their shingles; where two runs overlap, the later gives way
+    runs = np.flatnonzero(np.diff(j - i, prepend=j[:1] - i[:1] - 1) | (np.diff(i, prepend=-9) > size)
+                          ) if len(i) else i
+    m, gaps, p, q = 0, [], 0, 0
+    for lo, hi in zip(runs, np.append(runs[1:], len(i))):
+        skip = max(p - int(i[lo]), q - int(j[lo]), 0)
+        first, then, end = int(i[lo]) + skip, int(j[lo]) + skip, int(i[hi - 1]) + size
+        if first >= end:
+            continue
+        gaps.append((p, first, q, then))
+        m += end - first
+        p, q = end, then + end - first
+    gaps.append((p, len(a), q, len(b)))
+    left = sum(min(d - c, f - e) for c, d, e, f in gaps)
+    for c, d, e, f in gaps:
+        if m + left < need:
+            break
+        left -= min(d - c, f - e)
+        m += common(a[c:d].tolist(), b[e:f].tolist())
     return m / (total - m)
 
 
