@@ -6,10 +6,13 @@ Latin-1), other ASCII characters count as one blank. Nystroem landmarks, some te
 language, span the space; n-grams that no landmark holds are not counted. One-versus-rest kernel
 ridge regression is fitted on the kernel values against the landmarks, every language with the same
 weight. A text's scores are a matrix product: its presence vector times (landmark presence times
-ridge weights), made once.
+ridge weights), made once. The score is the best language's, as a share of 1, times the share of the
+text's 3-grams that some landmark holds: what the landmarks never saw is no evidence for any
+language, and a text of fewer than three bytes gives none. The n-grams of all landmarks are kept; rows are scored fewer at a time if they are many.
 
-At most ``max_rows`` texts are learned from, an equal share for each language, chosen by a hash of
-the key (a documented bound). Text and language of those rows are all that is used.
+At most ``max_rows`` different texts are learned from, an equal share for each language, chosen by
+a hash of the text (a documented bound). Text and language of those rows are all that is used.
+Languages are the model's own size and are known to the driver.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything if nothing
 could be learned. Null languages are not learned from. Ties go to the language first in order.
@@ -20,15 +23,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdgap.llm.common import carried, in_fold, small, texts
 from crowdgap.llm.registry import query, table
 
-MAX_ROWS, LANDMARKS, MAX_NGRAMS = 2_000, 200, 60_000
+MAX_ROWS, LANDMARKS = 2_000, 200
 RIDGE = 1e-3
-PIECE, ROWS = 1 << 20, 64
+PIECE, FLAGS = 1 << 20, 1 << 22
 # First codes of the 2- and 3-grams; 1-grams are bytes, and folded texts have no byte 0.
 TWO, THREE = np.uint32(1 << 8), np.uint32((1 << 8) + (1 << 16))
 
@@ -60,11 +63,11 @@ def ngram_codes(piece: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
     return [one, two, three]
 
 
-def pieces(at: np.ndarray):
-    """(first row, last row, start, end): at most ROWS texts and PIECE bytes at a time."""
+def pieces(at: np.ndarray, rows: int):
+    """(first row, last row, start, end): at most ``rows`` texts and PIECE bytes at a time."""
     n = len(at) - 1
-    for first in range(0, n, ROWS):
-        last = min(first + ROWS, n)
+    for first in range(0, n, rows):
+        last = min(first + rows, n)
         for a in range(int(at[first]), int(at[last]), PIECE):
             yield first, last, a, min(a + PIECE, int(at[last]))
 
@@ -104,14 +107,16 @@ class Model:
 
     def tables(self) -> np.ndarray:
         """Number of each known code, 0 for others."""
-        out = np.zeros(int(THREE) + (1 << 24), np.uint16)
+        out = np.zeros(int(THREE) + (1 << 24), np.int32)
         out[self.codes] = np.arange(1, len(self.codes) + 1)
         return out
 
-    def scores(self, raw: np.ndarray, at: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """Ridge output for each text and language."""
+    def scores(self, raw: np.ndarray, at: np.ndarray, number: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Ridge output for each text and language, and the known share of each text's 3-grams."""
         n, width = len(at) - 1, len(self.codes) + 1
         out = np.zeros((n, len(self.langs)), np.float32)
+        known, places = np.zeros(n, np.int64), np.maximum(np.diff(at) - 2, 0)
         flags, of = None, -1
 
         def close():
@@ -119,7 +124,7 @@ class Model:
             size = np.maximum(held.sum(1), 1)
             out[of:of + len(held)] = (held @ self.weights) / np.sqrt(size)[:, None]
 
-        for first, last, a, b in pieces(at):
+        for first, last, a, b in pieces(at, min(64, max(1, FLAGS // width))):
             if first != of:
                 if flags is not None:
                     close()
@@ -129,10 +134,12 @@ class Model:
             row = np.repeat(np.arange(last - first), np.maximum(ends, 0))
             left = at[first + 1:last + 1][row] - np.arange(a, b)
             for codes in ngram_codes(some, np.pad(left, (0, len(some) - len(left)))):
-                flags.reshape(-1)[row * width + number[codes[:b - a]]] = True
+                found = number[codes[:b - a]]
+                flags.reshape(-1)[row * width + found] = True
+            known[first:last] += np.bincount(row[found > 0], minlength=last - first)   # 3-grams
         if flags is not None:
             close()
-        return out
+        return out, known / np.maximum(places, 1)
 
 
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Model:
@@ -143,9 +150,7 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Model
     each = max(1, landmarks // len(langs))
     marks = [codes for lang in langs
              for codes in [c for other, c in rows if other == lang][:each]]
-    known, seen = np.unique(np.concatenate(marks), return_counts=True)
-    if len(known) > MAX_NGRAMS:             # the ones that most landmarks hold
-        known = np.sort(known[np.lexsort((known, -seen))[:MAX_NGRAMS]])
+    known = np.unique(np.concatenate(marks))
 
     def held(codes: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(codes), len(known)), np.float32)
@@ -169,28 +174,28 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS) -> Model
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
           max_rows: int = MAX_ROWS) -> Model:
-    """A model from at most about ``max_rows`` rows of known language."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}   # a row for each language
+    """A model from at most ``max_rows`` different texts of known language (ten of each at least)."""
+    known = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(
+        F.col("lang").isNotNull() & (F.col("text") != ""))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("text")).collect()  # a row for each language
     if not sizes:
         return fit([])
     each = max(10, max_rows // len(sizes))
-    share = F.lit(0.0)
-    for name, size in sizes.items():
-        share = F.when(F.col(lang) == name, min(1.0, each / size)).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("share")), F.lit(1_000_000))
-                         < (share * 1_000_000))
+    shares = docs.sparkSession.createDataFrame(
+        [(r[0], int(min(1.0, 1.2 * each / r[1]) * 1_000_000)) for r in sizes], "lang string, share long")
+    chosen = known.join(F.broadcast(shares), "lang").withColumn("h", F.xxhash64("text")).where(
+        F.pmod("h", F.lit(1_000_000)) < F.col("share")).select("text", "lang", "h")
 
     def run(batches):
-        for batch in small(batches, 1):
-            seen = presence(*texts(batch.column(1)))
+        for batch in small(batches, 0):
+            seen = presence(*texts(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([c.tobytes() for c in seen],
-                                                            pa.binary())], ["k", "lang", "codes"])
+                [batch.column(1), batch.column(2), pa.array([c.tobytes() for c in seen], pa.binary())],
+                ["lang", "h", "codes"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    got = chosen.select(key, text, lang).mapInArrow(run, f"k {kind}, lang string, codes binary")
-    rows = sorted(got.collect(), key=lambda r: (r.lang, r.k is None, r.k, r.codes))
+    got = chosen.mapInArrow(run, "lang string, h long, codes binary").dropDuplicates(["lang", "h"])
+    first = got.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    rows = sorted(first.where(F.col("n") <= each).collect(), key=lambda r: (r.lang, r.h))
     return fit([(r.lang, np.frombuffer(r.codes, np.int32)) for r in rows])
 
 
@@ -205,9 +210,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for batch in small(batches, 0):
             raw, at = texts(batch.column(0))
             if model.langs:
-                s = model.scores(raw, at, number)
+                s, known = model.scores(raw, at, number)
                 best = s.argmax(1) if len(s) else np.zeros(0, np.int64)
-                sure = np.clip((s.max(1, initial=-1) + 1) / 2, 0, 1).astype(np.float64)
+                sure = np.clip((s.max(1, initial=-1) + 1) / 2, 0, 1).astype(np.float64) * known
             else:
                 best, sure = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1)
             some = lettered(raw, at)

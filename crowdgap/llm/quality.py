@@ -141,7 +141,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           label: str = "quality", max_rows: int = MAX_ROWS) -> Trees:
-    """Trees from the labelled rows, at most about ``max_rows`` of them, chosen by hash."""
+    """Trees from at most ``max_rows`` labelled rows, chosen by hash; a repeated row is one."""
     known = labels.select(key, F.col(label).cast("double").alias("y")).dropna()
     share = min(1.0, max_rows / max(1, known.count()))
     chosen = known.where(hash_share(F.col(key), share)).groupBy(key).agg(F.min("y").alias("y"))
@@ -152,12 +152,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in small(batches, 1):
             x = statistics(*texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))],
-                ["k", "y", "x"])
+                [batch.column(0), batch.column(2), batch.column(3),
+                 pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "h", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.select(key, text, "y").mapInArrow(run, f"k {kind}, y double, x array<double>")
-    got = got.toPandas().sort_values("k", kind="stable")
+    got = rows.select(key, text, "y", F.xxhash64(key, text).alias("h")).mapInArrow(
+        run, f"k {kind}, y double, h long, x array<double>").dropDuplicates(["k", "h"])
+    got = got.orderBy("h").limit(max_rows).toPandas().sort_values(["k", "h"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(NAMES))
     return fit(x, (got["y"].to_numpy(np.float64) >= 0.5).astype(np.float64))
 

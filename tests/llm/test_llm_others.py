@@ -272,13 +272,55 @@ def test_kernel_scores_match_sets(monkeypatch):
     model = language.fit([("x", sets[4]), ("y", sets[5]), ("y", sets[6])])
     for size in (17, 1 << 20):
         monkeypatch.setattr(language, "PIECE", size)
-        got = model.scores(raw, at, model.tables())
+        got, share = model.scores(raw, at, model.tables())
         for i, s in enumerate(sets):
+            text = language.folded(raw[at[i]:at[i + 1]])
+            three = [int(language.THREE) + int.from_bytes(text[j:j + 3].tobytes(), "big")
+                     for j in range(len(text) - 2)]
+            assert share[i] == pytest.approx(np.isin(three, model.codes).mean() if three else 0)
             known = np.isin(model.codes, s)
             want = model.weights[known].sum(0) / np.sqrt(max(known.sum(), 1))
             assert got[i] == pytest.approx(want, abs=1e-3)
 
 
+def test_unlearned_languages_are_rejected(spark):
+    import corpus_pipeline
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(3)
+    strange = ["Το γρήγορο καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "日本語の文章はここにあります",
+               "Съешь ещё этих мягких французских булок да выпей чаю", "x",
+               " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)),
+               "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"]
+    more = spark.createDataFrame([(10 ** 6 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more, allowMissingColumns=True), sf)
+    assert kept.where("doc_id >= 1000000").count() == 0
+    lettered = docs.where("text rlike '[A-Za-z]{3}'").count()
+    assert kept.count() >= .99 * lettered
+    # texts of a language that was left out of training score below those of the others
+    model = language.learn(docs.where("lang <> 'es'"))
+    scored = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(
+        "lang is not null")
+    right = scored.where((F.col("score") >= corpus_pipeline.SURE) == (F.col("lang") != "es"))
+    assert right.count() >= .98 * scored.count()
+
+
+def test_bounds_hold_with_repeated_and_null_keys(spark, monkeypatch):
+    """A key with half of all rows, null keys and repeated rows do not break ``max_rows``."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some text "), F.col("id") % 900).alias("text"),
+        F.when(F.col("id") % 3 == 0, "en").otherwise("fr").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).distinct()
+    sizes = []
+    for module in (quality, language):
+        fit = module.fit
+        monkeypatch.setattr(module, "fit", lambda *a, fit=fit: sizes.append(len(a[0])) or fit(*a))
+    quality.learn(docs, labels.withColumn("doc_id", F.coalesce("doc_id", F.lit(7))), max_rows=300)
+    language.learn(docs, max_rows=300)
+    assert 200 <= sizes[0] <= 300 and 200 <= sizes[1] <= 300
+
+
 # Packing
 
 def pack_brute(sizes, sources, clusters, capacity):
