@@ -3,8 +3,8 @@
 A text's k-mers are its shingles of five words, each labelled with its occurrence number. For each
 of BANDS hash functions the PICKED smallest labelled k-mers are taken and kept in text order; their
 combination is the band's key, so texts share a key if the same k-mers were picked in the same
-order. Texts of which one word in forty differs share none of 16 keys with a chance of about 1 in
-30,000; at one word in twenty it is 1 in 3,000, at one in nine, the limit, 1 in 12.
+order. If one word in forty is another, texts share none of 16 keys with a chance of about 1 in 5
+million; at one in twenty it is 1 in 3,000, at one in nine, the limit, 1 in 13.
 
 Similarity comes from a banded alignment of words: k-mers that both texts hold once are aligned by
 the longest increasing run of their positions, among those whose positions differ by no more than
@@ -24,7 +24,8 @@ Comparing sketches inside a group of similar but unequal texts costs the square
 size (about 0.3 microseconds a pair); nothing is capped or dropped.
 
 A class is named by the smallest key in it. Null texts count as empty; texts without a word are
-like their exact copies only. Texts of fewer than five words are one shingle. Rows with a null
+like their exact copies only. Texts of fewer than five words are one shingle. Texts of five to
+ten words have few shingles, and one change can part them. Rows with a null
 key belong to the class of their text, and a class of null keys only is null. Rows that repeat a
 key are told apart by their texts. Extra columns are ignored. An empty table gives no rows.
 """
