@@ -169,24 +169,42 @@ def top_brute(rows, k, every):
     good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows
             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in {i: v for i, v in good if i % every == 0}.items():
+    for q in {i for i, _ in good if i % every == 0}:
+        v = min(v for i, v in good if i == q)
         s = sorted((-min(sum(a * b for a, b in zip(v, w)), topk.LARGEST), i) for i, w in good if i != q)[:k]
         out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("block, slices, piece", [(7, 3, 300), (1024, 2, 1 << 22), (1024, 1, 1 << 22)])
+def test_top_k(spark, block, slices, piece):
     rng = random.Random(2)
     rows = [(i, [rng.choice([0.0, .5, -.25, 1 / 64]) for _ in range(6)]) for i in range(60)]
     rows += [(60, None), (61, [None, 1.0]), (62, [float("nan")] * 6), (63, [float("inf")] * 6), (None, [1.0] * 6),
              (64, []), (65, [1.0]), (66, [3e9] * 6), (67, [3e9] * 6), (68, [float(1 << 30)] * 6)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
-    got = topk.top_k(df.where("vec_id % 4 = 0"), df, k=5, block=block)
+    got = topk.top_k(df.where("vec_id % 4 = 0"), df, k=5, block=block, slices=slices, piece=piece)
     assert sorted(map(tuple, got.collect())) == top_brute(rows, 5, 4)
     assert topk.top_k(df.limit(0), df).collect() == [] == topk.top_k(df, df.limit(0)).collect()
 
 
+def test_top_k_repeated_ids_vectors_and_ties(spark):
+    rng = random.Random(3)
+    far = [-1e18, 1e18]                      # sums of both signs beyond 64 bits
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(80)]
+    rows += [(i, [1.0, 1.0, 1.0, 1.0]) for i in range(100, 160)]            # one vector, many ids
+    rows += [(8, [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(9)]  # one id, many vectors
+    rows += [(12, [1.0, 0.0, 1.0, 0.0])] * 12 + [(16, [0.0] * 4), (20, [-1.0] * 4)]
+    for extra in ([], [(200, far), (201, far), (204, far[::-1])]):
+        df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>")
+        got = topk.top_k(df.where("vec_id % 4 = 0"), df, k=5, block=16)
+        want = [(*r[:3], max(r[3], -topk.LARGEST)) for r in top_brute(rows + extra, 5, 4)]
+        if not extra:
+            assert sorted(map(tuple, got.collect())) == want
+        else:
+            assert sorted(r.score for r in got.collect()) == sorted(r[3] for r in want)
+
+
 # Classifiers
 
 def accuracy(pairs):
