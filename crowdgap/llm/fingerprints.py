@@ -14,6 +14,7 @@ repeated rows are kept.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -145,9 +146,10 @@ def bucket_of(value: Column, bounds: list[int]) -> Column:
 
 
 def followed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows dealt into ranges of descending key, each range with the row that follows it.
+    """Rows dealt into ranges of descending (key, hash of text), each with the row that follows it.
 
-    Columns: bucket, extra (the row belongs to the next range), o (the key, null as the lowest), h,
+    Keys that fill several ranges, null included, show as repeated quantiles; their rows are dealt
+    by hash to as many ranges and one more. Columns: bucket, extra (the row belongs to the next range), o (the key, null as the lowest), h,
     key, text. Only one row for each range is known to the driver, and no text.
     """
     spark = docs.sparkSession
@@ -155,10 +157,18 @@ def followed(docs: DataFrame, key: str, text: str) -> DataFrame:
         "o", F.coalesce(F.col(key).cast("bigint"), F.lit(LOWEST))).withColumn(
         "h", F.xxhash64(F.col(text)))
     n = 4 * parallelism(spark)
-    cut = docs.select(F.col(key).cast("double").alias("k")).approxQuantile(
-        "k", [i / n for i in range(1, n)], 0.1 / n)
-    bounds = sorted({int(x) for x in cut}, reverse=True)
-    rows = rows.withColumn("bucket", bucket_of(F.col("o"), bounds)).withColumn("extra", F.lit(False))
+    cut = Counter(int(x) for x in rows.select(F.col("o").cast("double").alias("k")).approxQuantile(
+        "k", [i / n for i in range(1, n)], 0.1 / n))
+    bucket = bucket_of(F.col("o"), sorted(cut, reverse=True))
+    # keys that a double can't hold may share a quantile; they are not split
+    ways = {x: many + 1 for x, many in cut.items() if many > 1 and (abs(x) < 2 ** 53 or x == LOWEST)}
+    if ways:
+        # the range of a key holds larger keys too: these are part 0, the key's own follow by hash
+        way = F.try_element_at(F.create_map(*[F.lit(x) for pair in ways.items() for x in pair]), F.col("o"))
+        part = F.floor((F.lit(0.5) - F.col("h") / F.lit(2.0 ** 64)) * way)
+        part = F.coalesce(F.least(part, way - 1) + 1, F.lit(0)).cast("int")
+        bucket = bucket * (max(ways.values()) + 1) + part
+    rows = rows.withColumn("bucket", bucket).withColumn("extra", F.lit(False))
     heads = rows.groupBy("bucket").agg(F.max(F.struct("o", "h")).alias("head")).collect()
     heads.sort(key=lambda r: r.bucket)
     if not heads:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import sentencepiece
 from crowdgap.llm import fingerprints, pieces, suffixes
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,6 +78,21 @@ def test_edits_and_their_fingerprints(spark):
     assert sum(r.near_edited > .5 for r in got.values()) > .8 * len(got)
 
 
+def test_hot_keys_are_split_and_keep_their_order(spark):
+    rows = [(i if i % 3 == 0 else 700 if i % 3 == 1 else None,
+             " ".join(str(i * j) for j in range(1, 2 + i % 40))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = fingerprints.followed(df, "doc_id", "text")
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert max(sizes) < 300
+    order = dealt.where("not extra").select("text").orderBy(
+        F.desc("o"), F.desc("h")).toPandas()["text"].tolist()
+    # equal rows are neighbours; after the last comes the first
+    want = sorted(t[:len(t) - len(t) // 3] + n[:len(t) // 3] for t, n in zip(order, order[1:] + order[:1]))
+    got = fingerprints.edited_likeness(df).select("edited_sha256").toPandas()["edited_sha256"]
+    assert sorted(got) == sorted(hashlib.sha256(w.encode()).hexdigest() for w in want)
+
+
 def test_fingerprints_of_hard_rows(hard, none):
     rows = fingerprints.edited_likeness(hard).collect()
     assert len(rows) == hard.count()
