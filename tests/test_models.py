@@ -87,3 +87,40 @@ def test_cluster_label_gain_is_reported(spark, items):
     src = items.withColumn("embedding", F.array("a", F.lit(1.0)))
     got = mo.cluster_gain(src, "k", "y", [2], NOISE, restarts=1, make=mo.logit, folds=3).first()
     assert got.cluster_auc > 0.6 and got.gain > 0.05
+
+
+def test_vectors_attached_last_change_nothing(spark, items, monkeypatch):
+    """A ladder over attached vectors writes them once, beside each other, in the design only."""
+    rng = np.random.default_rng(1)
+    table = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)]) for i in range(20)],
+                                  "vid int, scores array<double>")
+    keyed = items.withColumn("vid", (F.col("k") % 20).cast("int"))
+    specs = {"base": [BLOCK], "both": [BLOCK, Block("embedding", vector="scores", width=2)]}
+    want = mo.ladder(keyed.join(table, "vid"), specs, "y", "g", k=3, base="base").collect()
+    written = {}
+    write = mo.materialise
+    monkeypatch.setattr(mo, "materialise", lambda df, kind="table": written.setdefault(kind, write(df, kind)))
+    got = mo.ladder(keyed, specs, "y", "g", k=3, base="base", vectors=(table, "vid")).collect()
+    assert "scores" not in written["inputs"].columns and "features" in written["design"].columns
+    for a, b in zip(want, got):
+        assert (a.spec, a.width) == (b.spec, b.width) and abs(a.auc - b.auc) < 1e-9
+
+
+def test_shared_newton_folds_equal_single_fits(items):
+    keep = ["k"]
+    one = mo.grouped_cv(items, [BLOCK], "y", "g", keep=keep).toPandas().set_index("k")
+    many = mo.grouped_cv(items, [BLOCK], "y", "g", mo.newton, keep=keep).toPandas().set_index("k")
+    assert (one.fold == many.fold).all() and (one.label == many.label).all()
+    assert (one[mo.SCORE] - many[mo.SCORE]).abs().max() < 1e-3
+
+
+def test_curve_scores_each_row_once(spark):
+    """All models' chances come from one read of a row's features."""
+    from crowdgap.operators import boosting as bo
+    tree = (np.array([0, -1, -1]), np.array([0, -1, -1]), np.array([1, -1, -1]),
+            np.array([2, -1, -1]), np.array([0., -1., 1.]))
+    models = [bo.Boosted(b, [tree], [np.array([0., 1.])]) for b in (0., 2.)]
+    rows = spark.createDataFrame([([0.],), ([1.],)], "x array<double>")
+    got = rows.select(bo.chances_each(models)("x", F.array(F.lit(0), F.lit(1))).alias("p")).collect()
+    want = 1 / (1 + np.exp(-np.array([[-1., 1.], [1., 3.]])))
+    assert np.allclose([r.p for r in got], want)
