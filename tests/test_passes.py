@@ -69,3 +69,19 @@ def test_a_model_keeps_only_its_rows(spark):
     blocks.unpersist()
     assert np.sum(held, axis=0).tolist() == [100, 40_000]
     assert max(m[1] for m in held) <= passes.PIECE_ROWS
+
+
+def test_density_joins_broadcast_no_vectors(spark, monkeypatch):
+    """Copies of vectors are many times their table; estimates of checkpoints do not tell."""
+    plans = []
+    cut = cl.cut
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df)
+
+    monkeypatch.setattr(cl, "cut", seen)
+    cl.density_clusters(vectors(spark, 300), "id", 0.3, 3, vector="v", pivots=4).collect()
+    links = [plan for columns, plan in plans if columns == ["a", "b", "border"]]
+    assert links and "SortMergeJoin" in links[0] and "BroadcastHashJoin" not in links[0]
+    assert not any("cell" in columns for columns, _ in plans)
