@@ -108,8 +108,9 @@ def test_vectors_attached_last_change_nothing(spark, items, monkeypatch):
 
 def test_shared_newton_folds_equal_single_fits(items):
     keep = ["k"]
-    one = mo.grouped_cv(items, [BLOCK], "y", "g", keep=keep).toPandas().set_index("k")
-    many = mo.grouped_cv(items, [BLOCK], "y", "g", mo.newton, keep=keep).toPandas().set_index("k")
+    one = mo.grouped_cv(items, [BLOCK], "y", "g", keep=keep).toPandas().set_index("k").sort_index()
+    many = mo.grouped_cv(items, [BLOCK], "y", "g", mo.newton,
+                         keep=keep).toPandas().set_index("k").sort_index()
     assert (one.fold == many.fold).all() and (one.label == many.label).all()
     assert (one[mo.SCORE] - many[mo.SCORE]).abs().max() < 1e-3
 
