@@ -125,3 +125,26 @@ def test_curve_scores_each_row_once(spark):
     got = rows.select(bo.chances_each(models)("x", F.array(F.lit(0), F.lit(1))).alias("p")).collect()
     want = 1 / (1 + np.exp(-np.array([[-1., 1.], [1., 3.]])))
     assert np.allclose([r.p for r in got], want)
+
+
+def test_curve_marks_are_the_sampled_groups(spark, items):
+    """One pass over the groups for each run gives every size's groups; rows are not looked at."""
+    from crowdgap.operators.sampling import group_holdout, sample_groups
+    split = group_holdout(items, "g", 0.2, 0)
+    jobs = [(300, 0), (300, 1), (700, 0), (None, 0)]
+    marks, uses = mo._curve_marks(items, split, "g", jobs)
+    pool = items.join(split, "g").where("not is_test")
+    for (size, run), use in zip(jobs, uses):
+        got = {r.g for r in marks.where("not is_test").where(use).collect()}
+        if size is None:
+            assert got == {r.g for r in pool.collect()}
+            continue
+        hashed = {}
+        for r in pool.select("g", F.md5(F.concat(F.lit(f"{100 + run}:"), "g")).alias("h")).collect():
+            hashed.setdefault((r.h, r.g), []).append(r)
+        want, n = set(), 0
+        for (_, g), rows in sorted(hashed.items()):
+            if n < size:
+                want.add(g)
+            n += len(rows)
+        assert got == want == {r.g for r in sample_groups(pool, "g", size, 100 + run).collect()}
