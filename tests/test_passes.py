@@ -85,3 +85,14 @@ def test_density_joins_broadcast_no_vectors(spark, monkeypatch):
     links = [plan for columns, plan in plans if columns == ["a", "b", "border"]]
     assert links and "SortMergeJoin" in links[0] and "BroadcastHashJoin" not in links[0]
     assert not any("cell" in columns for columns, _ in plans)
+
+
+def test_runs_of_few_rows_share_the_cores(spark, monkeypatch):
+    """Hundreds of runs meet every row in a pass: some thousand rows are worth several tasks."""
+    from crowdgap.operators import clustering as cl
+    rows = spark.range(4000).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(1.0)).alias("v"))
+    found, real = [], cl.packed
+    monkeypatch.setattr(cl, "packed", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    cl.kmeans_many(rows, [2], 1, 0, "v", ["c"], "id").count()
+    cl.stability_ari(rows, "id", [2], 2, restarts=1, vector="v").count()
+    assert [x.getNumPartitions() for x in found] == [4, 4]
