@@ -148,3 +148,18 @@ def test_curve_marks_are_the_sampled_groups(spark, items):
                 want.add(g)
             n += len(rows)
         assert got == want == {r.g for r in sample_groups(pool, "g", size, 100 + run).collect()}
+
+
+def test_boosting_reads_the_written_design(items, monkeypatch):
+    """A design that is written already is not written again, and test rows are scored once."""
+    from crowdgap.operators import boosting as bo
+
+    def again(*_):
+        raise AssertionError("written again")
+
+    monkeypatch.setattr(bo, "materialise", again)
+    written, write = [], mo.materialise
+    monkeypatch.setattr(mo, "materialise", lambda df, kind="table": written.append(kind) or write(df, kind))
+    assert mo.grouped_cv(items, [BLOCK], "y", "g", small, 3, ["flagged"]).count() == 3000
+    got = mo.batch_value(items, [BLOCK], "y", "g", "batch", "new", "rating", make=small).toPandas()
+    assert len(got) and written.count("scored") == 1

@@ -8,6 +8,7 @@ from crowdgap.operators import boosting as bo
 from crowdgap.operators import clustering as cl
 from crowdgap.operators import passes
 from crowdgap.operators import vectors as vo
+from crowdgap.session import materialise
 
 
 def vectors(spark, n, d=4):
@@ -96,3 +97,12 @@ def test_runs_of_few_rows_share_the_cores(spark, monkeypatch):
     cl.kmeans_many(rows, [2], 1, 0, "v", ["c"], "id").count()
     cl.stability_ari(rows, "id", [2], 2, restarts=1, vector="v").count()
     assert [x.getNumPartitions() for x in found] == [4, 4]
+
+
+def test_small_files_of_many_rows_are_dealt_again(spark):
+    """A written table of equal rows is one small file; its pieces still go to all cores."""
+    rows = materialise(spark.range(20000).coalesce(1).select(F.array(F.lit(1.0)).alias("v")), "equal")
+    assert rows.rdd.getNumPartitions() == 1
+    got = passes.packed(rows, "v", written=True, least=1000)
+    assert got.getNumPartitions() == 8 and passes.summed(got, lambda x, u: x.sum(0))[0] == 20000
+    got.unpersist()
