@@ -123,7 +123,7 @@ def words_of(raw: np.ndarray, at: np.ndarray, seed: int = 21
 
     A word without a blank in it for longer than a piece counts as several words.
     """
-    hashes = byte_table(seed)
+    hashes = np.where(BLANK, np.uint64(0), byte_table(seed))
     power = powers(0x9E3779B97F4A7C15, PIECE + 1)
     begins, marks, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in byte_pieces(raw):
@@ -135,10 +135,13 @@ def words_of(raw: np.ndarray, at: np.ndarray, seed: int = 21
         begin = np.flatnonzero(solid & first)
         if not len(begin):
             continue
-        size = np.add.reduceat(solid.astype(np.int64), begin)
+        last = np.ones(len(piece), bool)        # a blank or another text after it
+        last[:-1] = first[1:] | ~solid[1:]
+        size = np.flatnonzero(solid & last) - begin + 1
         edges = np.concatenate(([0], begin, [len(piece)]))
         place = np.arange(len(piece)) - np.repeat(edges[:-1], np.diff(edges))
-        weighted = np.where(solid, hashes[piece] * power[place], np.uint64(0))
+        weighted = hashes[piece]                # blanks count nothing
+        weighted *= power[place]
         begins.append(begin + a)
         marks.append(mix(np.add.reduceat(weighted, begin) + size.astype(np.uint64)))
         sizes.append(size)

@@ -116,7 +116,9 @@ def band_keys(h: np.ndarray) -> np.ndarray:
         order = (h[None, :] ^ SHIFTS[i:i + step, None]) * FACTORS[i:i + step, None]
         order ^= order >> np.uint64(32)
         if len(h) > count:
-            picked[i:i + step] = np.argpartition(order, count - 1, axis=1)[:, :count]
+            for j in range(count):              # hashes differ, so the smallest is one place
+                at = picked[i:i + step, j] = order.argmin(axis=1)
+                order[np.arange(len(at)), at] = np.uint64(2 ** 64 - 1)
         else:
             picked[i:i + step] = np.arange(count)
     picked.sort(axis=1)                     # text order

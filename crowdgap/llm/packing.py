@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdgap.llm import neardup
+from crowdgap.llm.common import materialise
 from crowdgap.llm.registry import query, table
 
 CAPACITY, PER_GROUP = 2048, 20_000
@@ -115,10 +116,13 @@ def pack_group(sizes, sources, clusters, capacity: int) -> tuple[np.ndarray, lis
     return np.array(out, np.int64).reshape(-1, 5), bins.room
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+def pack(docs: DataFrame, key: str = "doc_id", text: str | None = "text", source: str = "source",
          cluster: str | None = None, size: str | None = None, capacity: int = CAPACITY,
          per_group: int = PER_GROUP) -> DataFrame:
-    """(key, piece, bin, start, size): where each piece of each document goes."""
+    """(key, piece, bin, start, size): where each piece of each document goes.
+
+    ``text`` is read only where ``cluster`` or ``size`` are not named.
+    """
     kind = docs.schema[key].dataType
     groups = max(1, -(-docs.count() // per_group))
     same = F.col(cluster).cast("string") if cluster else F.when(
@@ -149,10 +153,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def pack_classes(docs: DataFrame) -> DataFrame:
     """``pack`` with the classes of near copies as clusters."""
-    named = docs.select("doc_id", "text", "source", neardup.digest_of(F.col("text")).alias("digest"))
-    found = named.join(neardup.labels(docs), "digest")
-    return pack(found.withColumn("label", F.when(F.col("text") != "", F.hex("label"))),
-                cluster="label")
+    # texts are read for their digest and size only: narrow rows are joined, once
+    named = docs.select("doc_id", "source", neardup.digest_of(F.col("text")).alias("digest"),
+                        token_estimate(F.col("text")).alias("size"), (F.col("text") != "").alias("some"))
+    found = named.join(neardup.labels(docs), "digest").select(
+        "doc_id", "source", "size", F.when(F.col("some"), F.hex("label")).alias("label"))
+    return pack(materialise(found, "sized"), text=None, cluster="label", size="size")
 
 
 @query("op8_best_fit_packing")

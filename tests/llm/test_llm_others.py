@@ -588,3 +588,30 @@ def test_nothing_else_needs_this_package():
     others = [f for f in root.rglob("*.py") if "llm" not in f.relative_to(root).parts]
     assert len(others) > 30
     assert not [f for f in others if "crowdgap.llm" in f.read_text() or "import llm" in f.read_text()]
+
+
+def test_texts_stay_out_of_the_join_of_packing(hard, monkeypatch):
+    """Digest and size are taken where a text is read; the classes are joined to narrow rows, once."""
+    seen, write = [], packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, kind: seen.append(df) or write(df, kind))
+    got = packing.pack_classes(hard).toPandas()
+    rows = hard.toPandas()
+    sizes = sorted(0 if t is None else -(-len(t.encode()) // 4) for t in rows.text)
+    assert [sorted(x.columns) for x in seen] == [["doc_id", "label", "size", "source"]]
+    assert got["size"].sum() == sum(sizes)
+
+
+def test_words_and_their_sizes_are_the_plain_ones():
+    """Words end at blanks and at the ends of texts, whatever stands in the next text."""
+    import pyarrow as pa
+    from crowdgap.llm.common import texts, words_of
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab \t\né") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    raw, at = texts(pa.array([*lines, None, "", "last"]))
+    row, marks, size = words_of(raw, at)
+    want = [(i, w) for i, t in enumerate([*lines, "", "", "last"]) for w in t.encode().split()]
+    assert row.tolist() == [i for i, _ in want] and size.tolist() == [len(w) for _, w in want]
+    named = {}
+    for (_, w), m in zip(want, marks.tolist()):
+        assert named.setdefault(w, m) == m
+    assert len(set(named.values())) == len(named)
