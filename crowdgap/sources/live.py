@@ -93,11 +93,16 @@ class LiveTable:
                  if s.getPath().getName().startswith("slot=")]
         return {name: sorted(slots)} if slots else {}
 
-    def append_new(self, df: DataFrame) -> None:
-        """Append the rows whose key the table does not hold yet (safe to repeat)."""
-        live = self.manifest()
-        touched = [r.slot for r in df.select(self._slot().alias("slot")).distinct().collect()]
-        known = self.read(df.schema, touched=touched) if live else None
+    def append_new(self, df: DataFrame, keyed: DataFrame | None = None) -> None:
+        """Append the rows whose key the table does not hold yet (safe to repeat).
+
+        ``keyed`` is a cheaper table that holds all keys of ``df``, to see which slots it touches; an
+        empty table has none to look at.
+        """
+        live, known = self.manifest(), None
+        if live:
+            slots = (df if keyed is None else keyed).select(self._slot().alias("slot")).distinct()
+            known = self.read(df.schema, touched=[r.slot for r in slots.collect()])
         if known is not None:
             df = df.join(known.select(*self.keys), self.keys, "left_anti")
         new = self._write(df)

@@ -44,11 +44,8 @@ def mine_stream(source: DataFrame, sink: str, key: str, order: Sequence,
     table = LiveTable(source.sparkSession, sink, key)
 
     def step(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()         # its slots are looked at before its rows
-        try:
-            table.append_new(derive(dedupe(batch, key, order)))
-        finally:
-            batch.unpersist()
+        # a row's slot is known from its key alone, so neither copies nor ranks are made for it
+        table.append_new(derive(dedupe(batch, key, order)), batch)
 
     return _start(source, step, checkpoint)
 

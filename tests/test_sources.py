@@ -253,3 +253,31 @@ def test_live_table_with_two_keys_and_null_keys(spark, tmp_path):
     table.append_new(rows)
     table.append_new(rows.where("a is not null"))
     assert table.read().count() == 3
+
+
+def test_rows_that_go_into_a_live_table_are_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        seen.add(1)
+        return i
+
+    table = LiveTable(spark, str(tmp_path / "live"), "k")
+    table.append_new(spark.range(50).select(counted("id").alias("k")))
+    assert seen.value == 50 and table.read().count() == 50
+    more = spark.range(40, 70)
+    table.append_new(more.select(counted("id").alias("k")), more.withColumnRenamed("id", "k"))
+    assert seen.value == 80 and sorted(r.k for r in table.read().collect()) == list(range(70))
+
+
+def test_a_mining_batch_is_not_kept(spark, tmp_path, monkeypatch):
+    path, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    src = spark.range(60).select((F.col("id") % 20).alias("k"), F.col("id").alias("seq"),
+                                 (F.col("id") / 20).cast("int").alias("part"))
+    _files(spark, src, path, 3)
+    monkeypatch.setattr(type(src), "persist", lambda *_: pytest.fail("a batch is kept"))
+    jobs.mine_stream(jobs.read_files(spark, path, src.schema, files_per_batch=1), sink, "k", ["seq"],
+                     lambda b: b).awaitTermination()
+    assert sorted(map(tuple, LiveTable(spark, sink, "k").read().select("k", "seq").collect())) == [
+        (i, i) for i in range(20)]
