@@ -108,7 +108,9 @@ def name_of(piece) -> Column:
 
 
 def count_of(b, letters: str) -> Column:
-    return F.length(col(b)) - F.length(F.translate(col(b), letters, ""))
+    # texts without a letter are searched by bytes; F.translate looks up every character
+    rest = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), letters, col(b))
+    return F.length(col(b)) - F.length(rest)
 
 
 def phase(b, full, opening_max: int = 12) -> Column:
@@ -131,32 +133,51 @@ def is_own(piece, mover) -> Column:
 
 # ---------------------------------------------------------------- attack map
 
+# A set of squares is a 64-bit number for each board, square i at bit i.
+
+def _bits(marks: np.ndarray) -> np.ndarray:
+    """Boards x 64 truth values as sets."""
+    return np.packbits(marks, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _squares(sets: np.ndarray) -> np.ndarray:
+    """Sets as boards x 64 zeros and ones."""
+    return np.unpackbits(np.ascontiguousarray(sets, "<u8").view(np.uint8).reshape(-1, 8), axis=1,
+                         bitorder="little")
+
+
 def _shift(plane: np.ndarray, move) -> np.ndarray:
-    """Move a stack of 8x8 planes by rows and files; what leaves the board is lost."""
-    out = np.zeros_like(plane)
+    """Move sets by rows and files; what leaves the board is lost."""
     dr, df = move
-    out[:, max(dr, 0):8 + min(dr, 0), max(df, 0):8 + min(df, 0)] = \
-        plane[:, max(-dr, 0):8 + min(-dr, 0), max(-df, 0):8 + min(-df, 0)]
-    return out
+    kept = sum(1 << q for q in range(64) if 0 <= q % 8 + df < 8)
+    by = 8 * dr + df
+    plane = plane & np.uint64(kept)
+    return plane << np.uint64(by) if by > 0 else plane >> np.uint64(-by)
 
 
-def _reach(kind: str, white: bool, plane: np.ndarray, empty: np.ndarray) -> np.ndarray:
-    """How many pieces of a plane attack each square."""
-    total = np.zeros(plane.shape, dtype=np.uint8)
+def _reach(kind: str, white: bool, plane: np.ndarray, empty: np.ndarray) -> list[np.ndarray]:
+    """The squares that pieces of a plane attack, one set for each direction.
+
+    In one direction a square has one attacker at most: the first piece met hides all behind it.
+    """
     if kind in "bqr":
-        moves = (DIAGONAL if kind != "r" else []) + (STRAIGHT if kind != "b" else [])
-        for move in moves:
-            front = plane
-            for _ in range(7):
-                front = _shift(front, move)
-                total += front
-                front = front & empty
-        return total
+        out = []
+        for move in (DIAGONAL if kind != "r" else []) + (STRAIGHT if kind != "b" else []):
+            front = met = _shift(plane, move)
+            for _ in range(6):
+                front = _shift(front & empty, move)
+                met = met | front
+            out.append(met)
+        return out
     forward = -1 if white else 1
     moves = {"p": [(forward, -1), (forward, 1)], "n": JUMPS, "k": STRAIGHT + DIAGONAL}[kind]
-    for move in moves:
-        total += _shift(plane, move)
-    return total
+    return [_shift(plane, move) for move in moves]
+
+
+def _count(digits: list[np.ndarray], hits: np.ndarray) -> None:
+    """Add one on the squares of a set; ``digits`` are the binary digits of all squares' counts."""
+    for i, d in enumerate(digits):
+        digits[i], hits = d ^ hits, d & hits
 
 
 _MAP = "w string, b string, w_low string, b_low string, top_target int, loose_target boolean"
@@ -164,43 +185,50 @@ _MAP = "w string, b string, w_low string, b_low string, top_target int, loose_ta
 
 def _attack_map(boards: pd.Series, origin: pd.Series) -> pd.DataFrame:
     n = len(boards)
-    grid = np.frombuffer("".join(boards).encode("ascii"), dtype=np.uint8).reshape(n, 8, 8)
-    empty = grid == ord(".")
+    grid = np.frombuffer("".join(boards).encode("ascii"), dtype=np.uint8).reshape(n, 64)
+    empty = _bits(grid == ord("."))
     start = origin.fillna(-1).to_numpy().astype(int)
-    here = (np.arange(64)[None, :] == start[:, None]).reshape(n, 8, 8)
-    aims = np.zeros((n, 8, 8), dtype=bool)
-    worth = np.zeros((n, 8, 8), dtype=np.int8)
-    out = {}
+    here = np.where((start >= 0) & (start < 64), np.uint64(1) << (start % 64).astype(np.uint64),
+                    np.uint64(0))
+    aims = np.zeros(n, np.uint64)
+    worth: dict[int, np.ndarray] = {}
+    attacked, out = {}, {}
     for name, white in (("w", True), ("b", False)):
-        count = np.zeros((n, 8, 8), dtype=np.uint8)
-        low = np.full((n, 8, 8), ord("~"), dtype=np.uint8)
-        for kind, value in VALUES.items():
-            plane = grid == ord(kind.upper() if white else kind)
+        digits = [np.zeros(n, np.uint64) for _ in range(5)]     # 16 attackers at most
+        seen, low = np.zeros(n, np.uint64), np.full((n, 64), ord("~"), np.uint8)
+        for kind, value in sorted(VALUES.items(), key=lambda e: e[1]):
+            plane = _bits(grid == ord(kind.upper() if white else kind))
             if not plane.any():
                 continue
-            worth[plane] = value
-            hits = _reach(kind, white, plane, empty)
-            count += hits
-            low = np.where(hits > 0, np.minimum(low, 48 + value), low)
+            worth[value] = worth.get(value, np.uint64(0)) | plane
+            every = np.zeros(n, np.uint64)
+            for hits in _reach(kind, white, plane, empty):
+                _count(digits, hits)
+                every |= hits
+            low -= _squares(every & ~seen) * np.uint8(ord("~") - 48 - value)
+            seen |= every
             mine = plane & here
             if mine.any():
-                aims |= _reach(kind, white, mine, empty) > 0
-        out[name], out[name + "_low"] = count, low.astype(np.uint8)
-    upper = (grid >= ord("A")) & (grid <= ord("Z"))
-    ours = (upper & here).any(axis=(1, 2))[:, None, None]
+                for hits in _reach(kind, white, mine, empty):
+                    aims |= hits
+        attacked[name], out[name + "_low"] = seen, low
+        out[name] = sum((_squares(d) << np.uint8(i) for i, d in enumerate(digits)), np.uint8(48))
+    upper = _bits((grid >= ord("A")) & (grid <= ord("Z")))
+    ours = (upper & here) != 0
     enemy = np.where(ours, ~upper & ~empty, upper) & aims
-    guards = np.where(ours, out["b"], out["w"])
+    guarded = np.where(ours, attacked["b"], attacked["w"])
+    top = np.where(enemy != 0, 0, -1)
+    for value in sorted(worth):
+        top[(enemy & worth[value]) != 0] = value
 
     def text(planes):
-        flat = np.ascontiguousarray(planes.reshape(n, 64)).view("S64").ravel()
+        flat = np.ascontiguousarray(planes, np.uint8).view("S64").ravel()
         return [x.decode("ascii") for x in flat]
 
     return pd.DataFrame({
-        "w": text(out["w"] + 48), "b": text(out["b"] + 48), "w_low": text(out["w_low"]),
-        "b_low": text(out["b_low"]),
-        "top_target": np.where(enemy, worth, -1).reshape(n, 64).max(axis=1).astype(np.int32)
-        if n else np.zeros(0, np.int32),
-        "loose_target": (enemy & (guards == 0)).any(axis=(1, 2))})
+        "w": text(out["w"]), "b": text(out["b"]), "w_low": text(out["w_low"]),
+        "b_low": text(out["b_low"]), "top_target": top.astype(np.int32),
+        "loose_target": (enemy & ~guarded) != 0})
 
 
 def attack_map(b, origin=None) -> Column:

@@ -1,7 +1,10 @@
 """Board features on hand-made positions, and the attack map against a square-by-square walk."""
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from crowdgap.functions import boards as bd
@@ -117,3 +120,41 @@ def test_phase_threshold_moves(spark):
 def test_rim_and_toward_king(spark):
     r = one(spark, "4k3/8/8/8/8/8/8/4K2R w - - 0 40", "h1h7")
     assert r.to_rim and r.toward_their_king and r.long_move and r.endgame
+
+
+def test_attack_maps_count_like_a_walk_over_the_squares_and_cost_little():
+    rng = np.random.default_rng(4)
+    boards = pd.Series(["".join(r) for r in rng.choice(list("PpNnBbRrQqKk........"), (10_000, 64))])
+    took = []
+    for _ in range(3):
+        start = time.process_time()
+        got = bd._attack_map(boards, pd.Series(rng.integers(0, 64, len(boards))))
+        took.append(time.process_time() - start)
+    assert min(took) < 0.2          # 0.44 s when every square was a number of its own
+
+    def attackers(b, sq, white):
+        found = []
+        for q in range(64):
+            kind = b[q].lower()
+            if b[q] == "." or b[q].isupper() != white:
+                continue
+            forward = -1 if white else 1
+            moves = {"p": [(forward, -1), (forward, 1)], "n": bd.JUMPS, "b": bd.DIAGONAL,
+                     "r": bd.STRAIGHT}.get(kind, bd.STRAIGHT + bd.DIAGONAL)
+            for dr, df in moves:
+                for i in range(1, 8 if kind in "bqr" else 2):
+                    r, f = q // 8 + dr * i, q % 8 + df * i
+                    if not (0 <= r < 8 and 0 <= f < 8):
+                        break
+                    if r * 8 + f == sq:
+                        found.append(bd.VALUES[kind])
+                    if b[r * 8 + f] != ".":
+                        break
+        return found
+
+    for i in range(20):
+        for sq in range(64):
+            for name in "wb":
+                want = attackers(boards[i], sq, name == "w")
+                assert ord(got[name][i][sq]) - 48 == len(want)
+                assert got[name + "_low"][i][sq] == (chr(48 + min(want)) if want else "~")
