@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from crowdgap.operators import models as mo
@@ -163,3 +164,32 @@ def test_boosting_reads_the_written_design(items, monkeypatch):
     assert mo.grouped_cv(items, [BLOCK], "y", "g", small, 3, ["flagged"]).count() == 3000
     got = mo.batch_value(items, [BLOCK], "y", "g", "batch", "new", "rating", make=small).toPandas()
     assert len(got) and written.count("scored") == 1
+
+
+def test_a_gradient_reads_a_written_table_and_writes_no_design(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y)],
+                               "a double, b double, y int").repartition(3)
+    block = [mo.Block("s", {"a": 0.0, "b": 0.0})]
+    kinds = []
+    write = mo.materialise
+    monkeypatch.setattr(mo, "materialise", lambda d, kind: kinds.append(kind) or write(d, kind))
+    one = {r.name: r.coefficient for r in mo.logit_report(df, block, "y").collect()}
+    assert kinds == ["inputs"]
+    two = {r.name: r.coefficient for r in mo.logit_report(write(df), block, "y", written=True).collect()}
+    assert kinds == ["inputs"] and max(abs(one[n] - two[n]) for n in one) < 1e-9
+
+
+def test_quantiles_are_asked_of_columns_with_many_values_only(spark, monkeypatch):
+    from crowdgap.operators import boosting
+    rows = spark.range(3000).select(F.array(
+        (F.col("id") % 7).cast("double"), (F.col("id") / 3000), F.lit(1.0)).alias("a"))
+    asked = []
+    real = F.percentile_approx
+    monkeypatch.setattr(boosting.F, "percentile_approx", lambda c, *a: asked.append(c) or real(c, *a))
+    edges = boosting.bin_edges(rows.select(array_to_vector("a").alias("x")), "x", 255)
+    assert asked == ["c1"]
+    assert list(edges[0]) == list(range(7)) and list(edges[2]) == [1.0]
+    assert 200 < len(edges[1]) <= 256 and edges[1][-1] == 2999 / 3000
