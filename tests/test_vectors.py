@@ -208,3 +208,20 @@ def test_missing_vector_fails_the_job(spark):
     with pytest.raises(Exception, match="no vector for key"):
         attach_vectors(spark.range(3), frame(spark, np.zeros((2, 2))).withColumnRenamed("v", "embedding"),
                        "id").collect()
+
+
+@pytest.mark.parametrize("keys", [500, 3, 0])
+def test_start_rows_send_vectors_of_chosen_rows_only(spark, monkeypatch, keys):
+    """Also where keys repeat or are null; every task would send START_ROWS vectors otherwise."""
+    monkeypatch.setattr(cl, "START_ROWS", 20)
+    src = spark.range(500).select(F.when(F.lit(keys > 0), F.col("id") % max(keys, 1)).alias("k"),
+                                  F.array(F.col("id") % max(keys, 1) + 0.5).alias("v"))
+    taken = []
+    real = type(src).where
+    monkeypatch.setattr(type(src), "where", lambda d, c: taken.append(real(d, c)) or taken[-1])
+    got, use = cl.start_rows(src.repartition(8), "k", "v", 3, [F.lit(True)])
+    monkeypatch.undo()
+    order = src.select("k", F.md5(F.concat_ws(":", F.lit("3"), F.col("k").cast("string"))).alias("h"), "v")
+    want = [r.v for r in order.orderBy("h", "k").limit(20).collect()]
+    assert got.tolist() == [list(map(float, v)) for v in want] and use.shape == (1, 20) and use.all()
+    assert len(taken) == 1 and taken[0].count() in {500: [20], 3: [166, 167], 0: [500]}[keys]
