@@ -225,3 +225,17 @@ def test_start_rows_send_vectors_of_chosen_rows_only(spark, monkeypatch, keys):
     want = [r.v for r in order.orderBy("h", "k").limit(20).collect()]
     assert got.tolist() == [list(map(float, v)) for v in want] and use.shape == (1, 20) and use.all()
     assert len(taken) == 1 and taken[0].count() in {500: [20], 3: [166, 167], 0: [500]}[keys]
+
+
+def test_kmeans_computes_its_input_for_the_passes_and_for_the_labels_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        seen.add(1)
+        return [1.0, float(i % 2), i / 1000]
+
+    rows = cl.kmeans_many(spark.range(60).select("id", vector("id").alias("v")), [2], 3, 0, "v", ["c"],
+                          "id").select("id", "c").collect()
+    assert seen.value == 120
+    assert len({(r.id % 2, r.c) for r in rows}) == 2
