@@ -193,3 +193,63 @@ def test_quantiles_are_asked_of_columns_with_many_values_only(spark, monkeypatch
     assert asked == ["c1"]
     assert list(edges[0]) == list(range(7)) and list(edges[2]) == [1.0]
     assert 200 < len(edges[1]) <= 256 and edges[1][-1] == 2999 / 3000
+
+
+def test_newton_folds_write_plain_columns(items, monkeypatch):
+    """No vector is written, and the groups' folds are joined once, not once more for the encoders."""
+    plans, write = {}, mo.materialise
+    monkeypatch.setattr(mo, "materialise", lambda df, kind="table": plans.setdefault(kind, df) and write(df, kind))
+    fits, fit = [], mo.StringIndexer.fit
+    monkeypatch.setattr(mo.StringIndexer, "fit", lambda self, df: fits.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or fit(self, df))
+    odd = items.withColumn("cat", F.when(F.col("k") % 7 > 0, F.col("cat")))
+    keep = ["k"]
+    got = mo.grouped_cv(odd, [BLOCK], "y", "g", mo.newton, keep=keep).toPandas().set_index("k").sort_index()
+    assert mo.FEATURES not in plans["design"].columns and {"__x0", "__x6"} <= set(plans["design"].columns)
+    assert len(fits) == 1 and "Join" not in fits[0]
+    monkeypatch.undo()
+    want = mo.grouped_cv(odd, [BLOCK], "y", "g", keep=keep).toPandas().set_index("k").sort_index()
+    assert (got.width == want.width).all() and (got.fold == want.fold).all()
+    assert (got[mo.SCORE] - want[mo.SCORE]).abs().max() < 1e-3
+
+
+def test_shared_newton_sums_are_the_plain_ones():
+    """One standardisation for all folds, also where a column is constant in the first of them."""
+    from crowdgap.operators import logistic as lo
+    rng = np.random.default_rng(3)
+    n, d = 9001, 3
+    x = np.hstack([rng.normal(5, 2, (n, d)), rng.integers(0, 2, (n, 1))]).astype(float)
+    use = rng.random((2, n)) < 0.7
+    x[use[0], 1] = 4.0
+    models = []
+    for member, columns in ((0, [0, 1, 2]), (1, [0, 1, 2]), (1, [0, 2])):
+        own = x[use[member]][:, columns]
+        scale = np.where(own.std(0) < 1e-12, np.inf, own.std(0))
+        models.append((member, np.array(columns), own.mean(0), scale, rng.normal(size=len(columns) + 1)))
+    want = []
+    for member, columns, mean, scale, w in models:
+        rows = x[use[member]]
+        z = np.hstack([(rows[:, columns] - mean) / scale, np.ones((len(rows), 1))])
+        p = 1 / (1 + np.exp(-z @ w))
+        y = rows[:, -1]
+        want += [[-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()], z.T @ (p - y),
+                 (z.T @ (z * (p * (1 - p))[:, None])).ravel()]
+    assert np.allclose(lo.newton_sums(x, use, models), np.concatenate(want), rtol=1e-9, atol=1e-7)
+    groups = lo.shared_columns(models)
+    assert [g[3] for g in groups] == [[0, 1], [2]]
+    flat = lo.moments(x, use).reshape(2, -1)
+    assert np.allclose(flat[1], [use[1].sum(), *x[use[1]].sum(0), *(x[use[1]] ** 2).sum(0)])
+
+
+def test_auc_meets_no_row_with_a_running_total(spark):
+    from crowdgap.operators import metrics
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 2 else int(g), int(rng.integers(0, 2)), float(np.round(rng.random(), 2)))
+            for g in rng.integers(0, 3, 2000)]
+    got = metrics.auc(spark.createDataFrame(rows, "g int, y int, p double"), "y", "p", ["g"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        pos = np.array([p for g, y, p in rows if g == r.g and y])
+        neg = np.array([p for g, y, p in rows if g == r.g and not y])
+        wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
+        assert abs(r.auc - wins / (len(pos) * len(neg))) < 1e-12 and r.n == len(pos) + len(neg)
