@@ -106,3 +106,12 @@ def test_small_files_of_many_rows_are_dealt_again(spark):
     got = passes.packed(rows, "v", written=True, least=1000)
     assert got.getNumPartitions() == 8 and passes.summed(got, lambda x, u: x.sum(0))[0] == 20000
     got.unpersist()
+
+
+def test_pieces_pass_one_python_worker(spark):
+    """Packing is the only Python step behind a kept piece: no second worker of a task holds it too."""
+    blocks = passes.packed(vectors(spark, 2_000), "v", [F.col("id") < 10])
+    assert "PythonRDD" not in blocks._jrdd.toDebugString()
+    x, use = blocks.first()
+    assert x.shape[1] == 4 and use.sum() == 10 and blocks.is_cached
+    blocks.unpersist()
