@@ -253,3 +253,25 @@ def test_auc_meets_no_row_with_a_running_total(spark):
         neg = np.array([p for g, y, p in rows if g == r.g and not y])
         wins = (pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()
         assert abs(r.auc - wins / (len(pos) * len(neg))) < 1e-12 and r.n == len(pos) + len(neg)
+
+def test_chances_of_rows_that_name_different_models(spark):
+    """A validation's rows name the models of their own fold: each model scores a part of a batch."""
+    from crowdgap.operators import boosting as bo
+    edges = [np.array([0., 1.])]
+    tree = (np.array([0, -1, -1]), np.array([0, -1, -1]), np.array([1, -1, -1]),
+            np.array([2, -1, -1]), np.array([0., -1., 1.]))
+    models = [bo.Boosted(b, [tree], edges) for b in (0., 2., 4., 6.)]
+    rows = [(i, [float(i % 2)], i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, x array<double>, late boolean").coalesce(1)
+    which = F.when(F.col("late"), F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(0), F.lit(1)))
+    got = {r.i: r.p for r in df.select("i", bo.chances_each(models)("x", which).alias("p")).collect()}
+    for i, (x,), late in rows:
+        want = [1 / (1 + np.exp(-(models[m].base + (1. if x else -1.)))) for m in ((2, 3) if late else (0, 1))]
+        assert np.allclose(got[i], want)
+
+
+def test_boosted_cluster_gain_scores_every_fold(spark, items):
+    src = items.withColumn("embedding", F.array("a", F.lit(1.0)))
+    got = mo.cluster_gain(src, "k", "y", [2], NOISE, restarts=1, folds=3,
+                          make=lambda t: mo.small_gbm(t, 3)).first()
+    assert got.cluster_auc > 0.6 and got.gain > 0.05
