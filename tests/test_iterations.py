@@ -190,3 +190,30 @@ def test_logistic_models_meet_their_conditions(spark):
         assert np.abs(fit.weights - w).max() < 1e-5
         assert np.abs(fit.margins(x[rows]) - z @ w).max() < 1e-5
     blocks.unpersist()
+
+
+def test_models_of_one_task_equal_those_of_passes(spark, sample, monkeypatch):
+    """Rows dealt to one task per model, or passes over pieces of all rows: the same trees' margins."""
+    x, y = sample
+    b = bo.Booster(rounds=6, rate=.3, leaves=6, min_rows=15)
+    jobs = [bo.Job(F.col("fold") != 0), bo.Job(F.lit(True)), bo.Job(F.lit(True), (0, 2)), bo.Job(F.lit(False))]
+    passes = []
+    real = bo.Booster._passes
+    monkeypatch.setattr(bo.Booster, "_passes", lambda self, rows, jobs, *a: passes.append(jobs) or real(
+        self, rows, jobs, *a))
+    roots: list[list] = [[], [], []]
+    apart = b.fit_many(frame(spark, x, y), jobs, roots[0])
+    assert not passes
+    monkeypatch.setattr(bo, "APART_ROWS", 300)          # only the fold's and the empty model fit a task
+    mixed = b.fit_many(frame(spark, x, y), jobs, roots[1])
+    assert passes == [[1, 2]]
+    monkeypatch.setattr(bo, "APART_ROWS", -1)
+    monkeypatch.setattr(bo, "LEAST_ROWS", 50)
+    monkeypatch.setattr(bo, "REFRESH", 2)
+    shared = b.fit_many(frame(spark, x, y), jobs, roots[2])
+    assert passes[1:] == [[0, 1, 2, 3]]
+    for one, two, three in zip(apart, mixed, shared):
+        assert len(one.trees) == len(two.trees) == len(three.trees) == 6
+        assert np.abs(one.margins(x) - three.margins(x)).max() < 1e-9
+        assert np.abs(two.margins(x) - three.margins(x)).max() < 1e-9
+    assert len(roots[0]) == 3 and all(np.allclose(a, r) for a, r in zip(roots[0], roots[2]))
