@@ -275,3 +275,25 @@ def test_boosted_cluster_gain_scores_every_fold(spark, items):
     got = mo.cluster_gain(src, "k", "y", [2], NOISE, restarts=1, folds=3,
                           make=lambda t: mo.small_gbm(t, 3)).first()
     assert got.cluster_auc > 0.6 and got.gain > 0.05
+
+
+class _Asked(Exception):
+    pass
+
+
+def _settings_of(spark, monkeypatch, query):
+    """The settings of the boosted models that a registered query fits."""
+    from crowdgap.operators import boosting as bo
+    from crowdgap.plans import QUERIES
+
+    def asked(self, *_, **__):
+        raise _Asked(self.rounds, self.rate, self.leaves, self.depth)
+
+    monkeypatch.setattr(bo.Booster, "fit_many", asked)
+    with pytest.raises(_Asked) as e:
+        QUERIES[query](spark, "/root/testdata/sf0.001").collect()
+    return e.value.args
+
+
+def test_cluster_gain_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "cluster_gain") == (120, 0.1, 8, 3)
