@@ -297,3 +297,10 @@ def _settings_of(spark, monkeypatch, query):
 
 def test_cluster_gain_fits_the_studys_trees(spark, monkeypatch):
     assert _settings_of(spark, monkeypatch, "cluster_gain") == (120, 0.1, 8, 3)
+
+
+STUDY = (300, 0.06, 15, None)
+
+
+def test_difficulty_by_flag_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "difficulty_by_flag") == STUDY
