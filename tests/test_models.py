@@ -304,3 +304,7 @@ STUDY = (300, 0.06, 15, None)
 
 def test_difficulty_by_flag_fits_the_studys_trees(spark, monkeypatch):
     assert _settings_of(spark, monkeypatch, "difficulty_by_flag") == STUDY
+
+
+def test_difficulty_calibration_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "difficulty_calibration") == STUDY
