@@ -308,3 +308,7 @@ def test_difficulty_by_flag_fits_the_studys_trees(spark, monkeypatch):
 
 def test_difficulty_calibration_fits_the_studys_trees(spark, monkeypatch):
     assert _settings_of(spark, monkeypatch, "difficulty_calibration") == STUDY
+
+
+def test_score_at_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "score_at") == STUDY
