@@ -312,3 +312,7 @@ def test_difficulty_calibration_fits_the_studys_trees(spark, monkeypatch):
 
 def test_score_at_fits_the_studys_trees(spark, monkeypatch):
     assert _settings_of(spark, monkeypatch, "score_at") == STUDY
+
+
+def test_batch_value_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "batch_value") == STUDY
