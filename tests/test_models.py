@@ -316,3 +316,7 @@ def test_score_at_fits_the_studys_trees(spark, monkeypatch):
 
 def test_batch_value_fits_the_studys_trees(spark, monkeypatch):
     assert _settings_of(spark, monkeypatch, "batch_value") == STUDY
+
+
+def test_learning_curve_fits_the_studys_trees(spark, monkeypatch):
+    assert _settings_of(spark, monkeypatch, "learning_curve") == STUDY
