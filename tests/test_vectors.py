@@ -239,3 +239,46 @@ def test_kmeans_computes_its_input_for_the_passes_and_for_the_labels_only(spark)
                           "id").select("id", "c").collect()
     assert seen.value == 120
     assert len({(r.id % 2, r.c) for r in rows}) == 2
+
+
+def brute_silhouette(x, lab):
+    d = np.sqrt(np.maximum(((x[:, None] - x) ** 2).sum(-1), 0))
+    out = []
+    for i in range(len(x)):
+        same = lab == lab[i]
+        a = d[i][same].sum() / max(same.sum() - 1, 1)
+        b = min(d[i][lab == c].mean() for c in set(lab) - {lab[i]})
+        out.append(0.0 if same.sum() < 2 else (b - a) / max(a, b))
+    return float(np.mean(out))
+
+
+def test_silhouette_of_pieces_that_meet_in_pairs(spark, monkeypatch):
+    """Many pieces in several partitions give the sums of one; a row alone in its cluster scores 0."""
+    from crowdgap.operators import passes
+    rng = np.random.default_rng(2)
+    x, lab = rng.normal(size=(300, 4)), rng.integers(0, 3, 300)
+    lab[7] = 9
+    x[10] = x[11]
+    df = spark.createDataFrame([(i, [float(a) for a in v], int(c)) for i, (v, c) in enumerate(zip(x, lab))],
+                               "id int, v array<double>, lab int").repartition(4)
+    one = cl.silhouette(df, "lab", "id", "v", None).first()
+    monkeypatch.setattr(passes, "PIECE_ROWS", 20)
+    monkeypatch.setattr(passes, "LEAST_ROWS", 100)
+    monkeypatch.setattr(cl, "PAIR_ROWS", 7)
+    monkeypatch.setattr(cl, "PAIR_COLUMNS", 11)
+    many = cl.silhouette(df, "lab", "id", "v", None).first()
+    assert one.n == many.n == 300
+    assert one.silhouette == pytest.approx(brute_silhouette(x, lab), abs=1e-9)
+    assert many.silhouette == pytest.approx(one.silhouette, abs=1e-9)
+    none = cl.silhouette(df.where("lab > 99"), "lab", "id", "v", None).first()
+    assert none.n == 0 and none.silhouette is None
+
+
+def test_hierarchy_is_scored_on_every_row(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1300, 3)) + np.repeat([[4, 0, 0], [0, 4, 0]], 650, 0)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id int, e array<double>")
+    got = cl.hier_vs_kmeans(df, "id", 3, 1, vector="e").first()
+    labels = dict(cl.bisecting(df, 3, 0, "e", "hier").select("id", "hier").collect())
+    want = brute_silhouette(x, np.array([labels[i] for i in range(1300)]))
+    assert got.silhouette == pytest.approx(want, abs=1e-9)
