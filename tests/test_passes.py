@@ -115,3 +115,40 @@ def test_pieces_pass_one_python_worker(spark):
     x, use = blocks.first()
     assert x.shape[1] == 4 and use.sum() == 10 and blocks.is_cached
     blocks.unpersist()
+
+
+def test_narrow_pieces_lose_nothing_and_repeated_vectors_take_little(spark):
+    rng = np.random.default_rng(4)
+    vectors = np.repeat(rng.normal(size=(5, 40)), 400, 0)
+    x = np.hstack([rng.integers(0, 2, (2000, 3)), rng.normal(size=(2000, 1)), vectors,
+                   rng.integers(0, 900, (2000, 1)) / 7]).astype(float)
+    x[3, 0], x[4, 3], x[5, 3] = np.nan, -0.0, np.inf
+    kept = passes.narrowed(x)
+    again = passes.widened(kept)
+    assert np.array_equal(x.view(np.int64), again.view(np.int64))
+    size = sum(t.nbytes + (0 if c is None else c.nbytes) for _, t, c in kept[1])
+    assert size < x.nbytes / 12
+    assert passes.widened(passes.narrowed(np.zeros((0, 3)))).shape == (0, 3)
+
+    rows = materialise(spark.range(3000).select(F.array(
+        (F.col("id") % 3).cast("double"), F.rand(1), F.lit(2.0)).alias("v"), (F.col("id") % 2 == 0).alias("e")), "v")
+    sums = []
+    for narrow in (False, True):
+        got = passes.packed(rows, "v", [F.col("e")], written=True, narrow=narrow)
+        sums.append(passes.summed(got, lambda x, u: np.concatenate([x.sum(0), x[u[0]].sum(0)])))
+        got.unpersist()
+    assert np.array_equal(*sums)
+
+
+def test_narrow_pieces_stay_where_their_files_are_read(spark, monkeypatch):
+    """A design of few bytes and many numbers is not dealt again, which would write all its numbers."""
+    monkeypatch.setattr(passes, "MOST_NUMBERS", 2000)
+    rows = materialise(spark.range(6000).repartition(8).select(F.array(F.lit(1.0), F.lit(2.0)).alias("v")), "few")
+    plan = []
+    real = passes.cached
+    monkeypatch.setattr(passes, "cached", lambda df, pack: plan.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or real(df, pack))
+    got = passes.packed(rows, "v", written=True, least=100, narrow=True)
+    assert passes.summed(got, lambda x, u: x.sum(0)).tolist() == [6000, 12000]
+    assert "Repartition 6, true" not in plan[0] and "RoundRobin" not in plan[0] and ", true" not in plan[0]
+    got.unpersist()
