@@ -1,5 +1,7 @@
 """Boosted trees and shared k-means passes against plain versions of the same rules."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -217,3 +219,35 @@ def test_models_of_one_task_equal_those_of_passes(spark, sample, monkeypatch):
         assert np.abs(one.margins(x) - three.margins(x)).max() < 1e-9
         assert np.abs(two.margins(x) - three.margins(x)).max() < 1e-9
     assert len(roots[0]) == 3 and all(np.allclose(a, r) for a, r in zip(roots[0], roots[2]))
+
+
+def test_rounds_of_passes_keep_bins_once(spark, sample, monkeypatch):
+    """A round makes new margins only, and a pass has one Python step behind each kept RDD."""
+    x, y = sample
+    monkeypatch.setattr(bo, "APART_ROWS", -1)
+    monkeypatch.setattr(bo, "LEAST_ROWS", 50)
+    seen = []
+    real = bo.Booster._round
+    monkeypatch.setattr(bo.Booster, "_round", lambda self, blocks, *a: seen.append(
+        (blocks._jrdd.rdd().toDebugString(), [len(pickle.dumps(m)) for _, m in blocks.collect()])) or real(
+        self, blocks, *a))
+    bo.Booster(rounds=3, rate=.3, leaves=4).fit(frame(spark, x, y))
+    assert len(seen) == 3
+    assert sum(seen[2][1]) < 400 * 8 + 8 * 300          # a double for each row
+    assert [plan.count("PythonRDD[") for plan, _ in seen] == [1, 2, 3]
+
+
+def test_a_score_reads_the_written_rows(spark, monkeypatch):
+    """The trees of a score read its written inputs; the design is not written a second time."""
+    from crowdgap.operators import models as mo
+    rng = np.random.default_rng(1)
+    rows = [(i, float(rng.normal()), bool(i % 2), 1500.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, a double, y boolean, rating double")
+
+    def again(*_):
+        raise AssertionError("written again")
+
+    monkeypatch.setattr(bo, "materialise", again)
+    got = mo.score_at(df, df.select("k"), [mo.Block("s", {"a": 0.0}), mo.Block("r", {"rating": 0.0})], "y", "k",
+                      ["a"], 1900.0, "rating", lambda t: mo.gbm(t, max_iter=2))
+    assert got.where("hit and predicted between 0 and 1").count() == 200
