@@ -282,3 +282,22 @@ def test_hierarchy_is_scored_on_every_row(spark):
     labels = dict(cl.bisecting(df, 3, 0, "e", "hier").select("id", "hier").collect())
     want = brute_silhouette(x, np.array([labels[i] for i in range(1300)]))
     assert got.silhouette == pytest.approx(want, abs=1e-9)
+
+
+def test_components_keep_estimates_small(spark, monkeypatch):
+    """A checkpoint inherits its plan's estimate; a product of them in every round outgrows the driver."""
+    bits = []
+    real = type(spark.range(1)).join
+
+    def joined(self, *a, **k):
+        out = real(self, *a, **k)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "join", joined)
+    nodes = spark.range(64).withColumnRenamed("id", "k")
+    edges = nodes.where("k > 0").select(F.col("k").alias("a"), (F.col("k") - 1).alias("b"))
+    order = F.xxhash64("a") % 1000
+    got = cl.connected_components(nodes, edges.orderBy(order), "k").collect()
+    assert {r.root for r in got} == {0} and len(bits) >= 8
+    assert max(bits) < 500
